@@ -28,7 +28,7 @@ from .common import slices, table
 
 BLANK = "▁"
 #: Words that a Python worker remembers before it starts anew: memory alone depends on it.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Symbols that the merge rounds hold at a time.
 ROUND_SYMBOLS = 1 << 20
 NONE = np.int64(1) << 60
@@ -172,7 +172,7 @@ class Vocabulary:
             moved = np.cumsum(keep) - 1
             symbol, first, word, pair = symbol[keep], first[keep], word[keep], pair[keep]
             at = moved[at]
-            touched = np.unique(np.concatenate((at, at[at > 0] - 1)))
+            touched = np.concatenate((at, at[at > 0] - 1))
             right = np.minimum(touched + 1, len(symbol) - 1)
             same = (right > touched) & (word[right] == word[touched])
             pair[touched] = np.where(same, self.merged(symbol[touched], symbol[right]), -1)
@@ -191,8 +191,8 @@ class Vocabulary:
             ids[np.repeat(~plain, lengths)] = np.concatenate(parts)
             first = np.repeat(first, lengths)
             symbol = ids
-        bounds = np.searchsorted(first, np.cumsum(sizes)[:-1])
-        return np.split(symbol, bounds)
+        bounds = np.searchsorted(first, np.append(0, np.cumsum(sizes))).tolist()
+        return [symbol[a:b] for a, b in zip(bounds, bounds[1:])]
 
     def decode(self, ids) -> str:
         """The text of ids: pieces joined, runs of bytes read as UTF-8, one leading blank dropped."""
