@@ -1,9 +1,9 @@
 """The queries of this subpackage."""
 
-from . import decontaminate, line_dedup, pieces, url_filter
+from . import decontaminate, line_dedup, near_dedup, pieces, url_filter
 
 QUERIES: dict = {}
 SQL: dict = {}
-for module in (url_filter, pieces, line_dedup, decontaminate):
+for module in (url_filter, pieces, line_dedup, near_dedup, decontaminate):
     QUERIES |= module.QUERIES
     SQL |= module.SQL
