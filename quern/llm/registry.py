@@ -1,9 +1,9 @@
 """The queries of this subpackage."""
 
-from . import decontaminate, line_dedup, near_dedup, pieces, url_filter
+from . import decontaminate, line_dedup, lm_score, near_dedup, pieces, quality, quality_rules, url_filter
 
 QUERIES: dict = {}
 SQL: dict = {}
-for module in (url_filter, pieces, line_dedup, near_dedup, decontaminate):
+for module in (url_filter, pieces, line_dedup, near_dedup, quality_rules, decontaminate, quality, lm_score):
     QUERIES |= module.QUERIES
     SQL |= module.SQL
