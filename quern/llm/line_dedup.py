@@ -138,8 +138,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> D
     found = stored(suspects(docs, filter_bits(plan_bytes(docs)), min_chars), "line-suspects")
     counted = found.groupBy("key").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keep"))
     repeated = counted.filter(F.col("n") >= min_docs).select("key", "keep")
-    lost = found.join(repeated, "key").filter(F.col("doc_id") != F.col("keep")).select("doc_id", "key").distinct()
-    return lost.groupBy("doc_id").agg(F.collect_list("key").alias("drop"))
+    lost = found.join(repeated, "key").filter(F.col("doc_id") != F.col("keep")).select("doc_id", "key")
+    return lost.groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, hashes_only: bool = False) -> DataFrame:

@@ -1,9 +1,9 @@
 """The queries of this subpackage."""
 
-from . import decontaminate, line_dedup, lm_score, near_dedup, pieces, quality, quality_rules, url_filter
+from . import decontaminate, line_dedup, lm_score, near_dedup, pieces, pii, quality, quality_rules, secrets_scan, url_filter
 
 QUERIES: dict = {}
 SQL: dict = {}
-for module in (url_filter, pieces, line_dedup, near_dedup, quality_rules, decontaminate, quality, lm_score):
+for module in (url_filter, pieces, pii, line_dedup, near_dedup, quality_rules, decontaminate, quality, lm_score, secrets_scan):
     QUERIES |= module.QUERIES
     SQL |= module.SQL
