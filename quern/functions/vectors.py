@@ -1,0 +1,29 @@
+"""Vector expressions over array columns."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def doubles(v: Column) -> Column:
+    return F.transform(v, lambda x: x.cast("double"))
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def norm(v: Column) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """0 where either vector is all zeros."""
+    n = norm(a) * norm(b)
+    return F.when(n == 0, F.lit(0.0)).otherwise(dot(a, b) / n)
+
+
+def unit(v: Column) -> Column:
+    n = norm(v)
+    return F.transform(v, lambda x: F.when(n == 0, F.lit(0.0)).otherwise(x.cast("double") / n))

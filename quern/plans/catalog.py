@@ -1,4 +1,10 @@
 """The registered queries of the library and the SQL that checks them."""
 
+from . import retrieval
+from .inputs import sql
+
 QUERIES: dict = {}
 SQL: dict = {}
+for module in (retrieval,):
+    QUERIES |= module.QUERIES
+    SQL |= {name: sql(text) for name, text in module.SQL.items()}
