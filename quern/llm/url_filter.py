@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,7 +71,7 @@ def build_index(entries: list[bytes], folder: str) -> list[str]:
     order = sorted((xxhash.xxh64_intdigest(e), e) for e in set(entries))
     digests = np.array([d for d, _ in order], np.uint64)
     offsets = np.concatenate(([0], np.cumsum([len(e) for _, e in order], dtype=np.int64))).astype(np.int64)
-    name = f"urls-{xxhash.xxh64_hexdigest(b''.join(e + bytes(1) for _, e in order))}"
+    name = f"urls-{uuid.uuid4().hex}"
     files = []
     for kind, data in (("digests", digests.tobytes()), ("offsets", offsets.tobytes()), ("strings", b"".join(e for _, e in order))):
         files.append(os.path.join(folder, f"{name}.{kind}"))
