@@ -57,3 +57,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
 def plan_bytes(df: DataFrame) -> int:
     """Spark's own estimate of a table's size, from metadata."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def computed(df: DataFrame, name: str, expression: Column) -> DataFrame:
+    """df with a column that is evaluated once a row: a generator's output is not copied into the lambdas that use it."""
+    return df.select("*", F.explode(F.array(expression)).alias(name))

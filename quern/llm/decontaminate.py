@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import computed, stored, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -61,9 +61,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window_words: int = 10)
     found = begins.select("doc_id", F.struct((F.col("p") - F.col("o") + 1).alias("s"), "len", "tokens", "items").alias("c"))
     candidates = found.groupBy("doc_id").agg(F.collect_list("c").alias("c"))
     # verify over the window's size, then count the words under the union of what holds
-    joined = candidates.join(texts, "doc_id").withColumn("w", words_of(F.col("text")))
+    joined = computed(candidates.join(texts, "doc_id"), "w", words_of(F.col("text")))
     fits = F.filter("c", lambda c: (c["s"] + c["len"] - 1 <= F.size("w")) & (F.slice("w", c["s"], c["len"]) == c["tokens"]))
-    held = joined.select("doc_id", F.size("w").alias("n_words"), fits.alias("c")).filter(F.size("c") > 0)
+    held = computed(joined, "fit", fits).select("doc_id", F.size("w").alias("n_words"), F.col("fit").alias("c")).filter(F.size("c") > 0)
     spans = F.array_sort(F.transform("c", lambda c: F.struct(c["s"].alias("s"), (c["s"] + c["len"]).alias("e"))))
     union = F.aggregate(
         spans,

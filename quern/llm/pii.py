@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import computed, stored, table
 from .spans import matches, spans_text, tagged
 
 KINDS = ("email", "ip", "card", "phone")
@@ -73,7 +73,8 @@ def scanned(docs: DataFrame) -> DataFrame:
     """(doc_id, own, base, found): base spans, and instances with the characters around them; own tells equal doc_ids apart."""
     own = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     text = F.col("text")
-    found = own.select("doc_id", F.xxhash64("text").alias("own"), base_spans(text).alias("base"), matches(text, INSTANCE, text.rlike(r"[0-9]|[\[(](?i:at)[\])]")).alias("all"), "text")
+    based = computed(own.withColumn("own", F.xxhash64("text")), "base", base_spans(text))
+    found = computed(based, "all", matches(text, INSTANCE, text.rlike(r"[0-9]|[\[(](?i:at)[\])]")))
     around = F.transform(
         "all",
         lambda x: F.struct(

@@ -11,17 +11,16 @@ def matches(text: Column, pattern: str, guard: Column) -> Column:
 
     A split by the pattern gives what stands between matches, so the places are running sums of lengths.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
     empty = F.array().cast("array<struct<s:int,e:int,m:string>>")
+    # the last part has no match after it: its null ends the sums and is dropped
     placed = F.aggregate(
-        F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, m: F.struct(F.length(b).alias("gap"), m.alias("m"))),
+        F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda b, m: F.struct(F.length(b).alias("gap"), F.length(m).alias("n"), m.alias("m"))),
         F.struct(F.lit(0).alias("at"), empty.alias("out")),
         lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("s"), (acc["at"] + x["gap"] + F.length(x["m"])).alias("e"), x["m"].alias("m")))).alias("out"),
+            (acc["at"] + x["gap"] + x["n"]).alias("at"),
+            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("s"), (acc["at"] + x["gap"] + x["n"]).alias("e"), x["m"].alias("m")))).alias("out"),
         ),
-        lambda acc: acc["out"],
+        lambda acc: F.filter(acc["out"], lambda x: x["m"].isNotNull()),
     )
     return F.when(guard & text.rlike(pattern), placed).otherwise(empty)
 
