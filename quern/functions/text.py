@@ -40,11 +40,14 @@ def matched(c: Column, patterns) -> Column:
     return reduce(lambda a, b: a + b, [c.rlike(p).cast("int") for p in patterns])
 
 
-def first_best(scores: list[tuple[str, Column]]) -> tuple[Column, Column]:
-    """The name of the highest score, the first of equal ones, and that score."""
-    top = F.greatest(*(s for _, s in scores)) if len(scores) > 1 else scores[0][1]
-    name = reduce(lambda acc, x: F.when(x[1] == top, F.lit(x[0])).otherwise(acc), reversed(scores), F.lit(None).cast("string"))
-    return name, top
+def best_of(scores: list[tuple[str, Column]]) -> Column:
+    """struct<minus, n, name> of the highest score, the first of equal ones; each score is evaluated once."""
+    return F.array_min(F.array(*(F.struct((-s).alias("minus"), F.lit(n).alias("n"), F.lit(name).alias("name")) for n, (name, s) in enumerate(scores))))
+
+
+def once(df, name: str, expression: Column):
+    """df with a column that is evaluated once a row: a generator's output is not copied into what uses it."""
+    return df.select("*", F.explode(F.array(expression)).alias(name))
 
 
 def clamp(c: Column) -> Column:
