@@ -1,10 +1,10 @@
 """The registered queries of the library and the SQL that checks them."""
 
-from . import query_log, retrieval
+from . import evaluation, quality, query_log, retrieval
 from .inputs import sql
 
 QUERIES: dict = {}
 SQL: dict = {}
-for module in (retrieval, query_log):
+for module in (retrieval, query_log, quality, evaluation):
     QUERIES |= module.QUERIES
     SQL |= {name: sql(text) for name, text in module.SQL.items()}
