@@ -143,8 +143,12 @@ def multi_vector(rows: DataFrame, as_of: str, semantic: str = "vec", created: st
     return rows.withColumn("parts", F.struct(F.col(semantic).alias("semantic"), structural_vector().alias("structural"), temporal_vector(as_of, created=created).alias("temporal")))
 
 
+def scaled(vec: Column, weight: float) -> Column:
+    return F.transform(vec, lambda x: x.cast("double") * weight)
+
+
 def combine_vectors(parts: dict[str, Column]) -> Column:
-    return F.concat(*(F.transform(c, lambda x, w=PART_WEIGHTS[n]: x.cast("double") * w) for n, c in parts.items()))
+    return F.concat(*(scaled(c, PART_WEIGHTS[n]) for n, c in parts.items()))
 
 
 def multi_vector_search(corpus: DataFrame, queries: DataFrame, kinds: tuple[str, ...], k: int) -> DataFrame:
@@ -153,7 +157,7 @@ def multi_vector_search(corpus: DataFrame, queries: DataFrame, kinds: tuple[str,
     from .dense import knn
 
     total = sum(PART_WEIGHTS[n] for n in kinds)
-    joined = F.concat(*(F.transform(unit(F.col(n)), lambda x, w=PART_WEIGHTS[n] / total: x * np.sqrt(w)) for n in kinds))
+    joined = F.concat(*(scaled(unit(F.col(n)), float(np.sqrt(PART_WEIGHTS[n] / total))) for n in kinds))
     return knn(corpus.select("doc_id", joined.alias("vec")), queries.select("query_id", joined.alias("vec")), k, "dot")
 
 

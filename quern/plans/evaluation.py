@@ -121,7 +121,7 @@ def _runs(spark, sf_dir):
     """A run a customer: scores from its balance and key."""
     c = read(spark, sf_dir, "customer")
     x = F.pmod(F.col("c_custkey") * 37, F.lit(100)) / 100
-    runs = c.select(F.col("c_custkey").alias("run_id"), F.col("c_mktsegment").alias("experiment"), F.col("c_custkey").alias("ts"), x.alias("retrieval"), (1 - x * 0.5).alias("generation"), (0.3 + x * 0.4).alias("rag"), (F.abs("c_acctbal") / 10).alias("mean_ms"))
+    runs = c.select(F.col("c_custkey").alias("run_id"), F.col("c_mktsegment").alias("experiment"), F.col("c_custkey").alias("ts"), x.alias("retrieval"), (1 - x * 0.5).alias("generation"), (0.3 + x * 0.4).alias("rag"), (F.abs("c_acctbal") / 7).alias("mean_ms"))
     return E.overall_score(runs)
 
 
@@ -209,7 +209,7 @@ p as (select id, case when len(w) = 0 then 0 else len(list_intersect(list_distin
   case when len(s) = 0 then 0 else least(1, case when len(s) > 1 then 0.3 / (1 + list_var_samp(list_transform(s, lambda x: cast(len(list_filter(string_split(x, ' '), lambda y: y <> '')) as double))) / 100) else 0.3 end
     + 0.2 * least(1, len(list_intersect(list_distinct(w), [{', '.join(f"'{t}'" for t in E.TRANSITIONS)}])) / greatest(1, len(s) - 1)) + 0.5 * case when len(w) between 10 and 200 then 1 when len(w) < 10 then len(w) / 10 else greatest(0.5, 200 / len(w)) end) end as coherence,
   case when len(w) = 0 then 0 else least(1, 0.4 * len(list_distinct(w)) / len(w) + 0.3 * (len(list_filter(raw, lambda x: regexp_matches(x, '[0-9]'))) + len(list_filter(raw, lambda x: regexp_matches(x, '^[A-Z].')))) / len(w) + 0.15) end as informativeness from i)"""
-_R = """with r as (select c_custkey as run_id, c_mktsegment as experiment, (c_custkey * 37 % 100) / 100 as x, abs(c_acctbal) / 10 as ms from customer),
+_R = """with r as (select c_custkey as run_id, c_mktsegment as experiment, (c_custkey * 37 % 100) / 100 as x, abs(c_acctbal) / 7 as ms from customer),
 o as (select run_id, experiment, x as retrieval, 1 - x * 0.5 as generation, 0.3 + x * 0.4 as rag, greatest(0, least(1, 0.3 * x + 0.25 * (1 - x * 0.5) + 0.35 * (0.3 + x * 0.4) + 0.1 * greatest(0, 1 - ms / 1000))) as overall from r)"""
 _AB = f"""{_R}, u as (select *, case when (cast('0x' || substr(md5(cast(run_id as varchar)), 1, 8) as bigint) % 100) / 100 < 0.5 then 'A' else 'B' end as arm from o),
 y as (select experiment, run_id as user_id, arm, overall + case when arm = 'A' and experiment = 'BUILDING' then 0.2 else 0 end as score from u),
