@@ -20,8 +20,6 @@ repeated rows); an empty table gives an empty table.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,7 +126,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
     found = stored(scanned(docs), "pii")
     each = found.filter(F.size("found") > 0).select("doc_id", "own", "base", F.explode("found").alias("x")).dropDuplicates(["doc_id", "own", "x"])
     covered = F.filter("base", lambda b: (b["s"] < F.col("x.e")) & (F.col("x.s") < b["e"]))
-    shape = reduce(lambda c, r: F.regexp_replace(c, *r), ((r"[0-9]+", "9"), (r"[A-Za-z]+", "a")), F.col("x.m"))
+    digits = F.length(digits_of(F.col("x.m")))
+    shape = F.when(F.col("x.m").rlike(r"[\[(](?i:at)[\])]"), "name").when(digits < 10, "short").when(digits <= 15, "middle").otherwise("long")
     instances = each.select(
         F.xxhash64("doc_id", "own", "x.s", "x.e").alias("id"), "doc_id", "own", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("x.m").alias("m"),
         F.when(F.size(covered) > 0, covered[0]["kind"]).alias("kind"), shape.alias("shape"), F.col("x.before").alias("before"), F.col("x.after").alias("after"),
