@@ -12,10 +12,11 @@ coordinate with the probability of their weighted Jaccard similarity.
    paired with the members that are not yet of its class. Pairs are checked by signature, then exactly by their shingles, and
    classes are joined. A bucket of n near copies costs about n pairs a round, not n squared.
 3. What stays apart in a bucket after the rounds is compared in full: each member outside the bucket's largest class with all
-   members of other classes. So every pair that shares a bucket is verified or already of one class.
+   members of other classes, by one bit of each coordinate inside the join; pairs that agree go on as above. So every pair that
+   shares a bucket is compared or already of one class.
 
 A pair at similarity 0.8 shares no bucket with probability (1 - 0.8^6)^32 = 6e-5, and less above. The signature check drops a
-pair at 0.8 with probability below 1e-9.
+pair at 0.8 with probability below 1e-9, the bits inside the join below 1e-7.
 
 Defined cases: a null text, or one without words, is a class of its own; a text of fewer words than a shingle is one shingle;
 words are split at white space and A-Z lower-cased; with weighted=False (the default) an element counts once, else by its
@@ -112,7 +113,7 @@ def band_keys(signatures: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def signature_table(docs: DataFrame, words: int, weighted: bool) -> DataFrame:
-    """(doc_id, print, bands, short): of each document with words."""
+    """(doc_id, print, bands, short, bits): of each document with words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "raw", 1 << 20):
@@ -131,16 +132,18 @@ def signature_table(docs: DataFrame, words: int, weighted: bool) -> DataFrame:
                     s = dart_signatures(np.concatenate(cells), np.repeat(np.arange(len(ids)), [len(c) for c in cells]), len(ids))
                     keys = band_keys(s)
                     short = (mixed(s) & np.uint64(255)).astype(np.uint8)
+                    bits = np.packbits(short & 1, axis=1).view(np.int64)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": pa.array(ids, pa.int64()),
                         "print": pa.array(prints, pa.binary()),
                         "bands": pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())),
                         "short": pa.array([x.tobytes() for x in short], pa.binary()),
+                        "bits": pa.array(list(bits), pa.list_(pa.int64())),
                     }
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("raw")).mapInArrow(sign, "doc_id long, print binary, bands array<long>, short binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("raw")).mapInArrow(sign, "doc_id long, print binary, bands array<long>, short binary, bits array<long>")
 
 
 def shingle_table(docs: DataFrame, words: int, weighted: bool) -> DataFrame:
@@ -229,7 +232,7 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, threshold: float = 0
     shared = spread.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     buckets = stored(spread.join(shared, "key", "left_semi").select("key", "id"), "buckets")
     met = buckets.select("id").distinct()
-    shorts = stored(reps.join(met, "id", "left_semi").select("id", "short"), "shorts")
+    shorts = stored(reps.join(met, "id", "left_semi").select("id", "short", "bits"), "shorts")
     candidates = docs.withColumn("_id", F.col("doc_id").cast("long")).join(met.withColumnRenamed("id", "_id"), "_id", "left_semi").dropDuplicates(["_id"])
     cells = stored(shingle_table(candidates, words, weighted), "shingles")
 
@@ -244,10 +247,12 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, threshold: float = 0
         if turn < ROUNDS:
             pairs = held.join(ends.select("key", "lead"), "key").filter(F.col("class") != F.col("lead.class")).select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"))
         else:
-            split = held.join(ends.select("key"), "key", "left_semi")
+            split = held.join(ends.select("key"), "key", "left_semi").join(shorts.select("id", "bits"), "id")
             sizes = split.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "class")).alias("most"))
-            outside = split.join(sizes, "key").filter(F.col("class") != F.col("most.class")).select("key", F.col("id").alias("i"), F.col("class").alias("c"), F.col("most.class").alias("main"))
-            both = outside.join(split, "key").filter((F.col("c") != F.col("class")) & ((F.col("i") < F.col("id")) | (F.col("class") == F.col("main"))))
+            outside = split.join(sizes, "key").filter(F.col("class") != F.col("most.class")).select("key", F.col("id").alias("i"), F.col("class").alias("c"), F.col("most.class").alias("main"), F.col("bits").alias("_b"))
+            apart = sum(F.bit_count(F.col("bits")[n].bitwiseXOR(F.col("_b")[n])) for n in range(COORDINATES // 64))
+            near = apart <= int(COORDINATES * ((1 - threshold) / 2 + 0.14))
+            both = outside.join(split, "key").filter((F.col("c") != F.col("class")) & ((F.col("i") < F.col("id")) | (F.col("class") == F.col("main"))) & near)
             pairs = both.select(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b"))
         new = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         if not new.head(1):
@@ -260,11 +265,10 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, threshold: float = 0
         edges = edges.union(found)
         if found.head(1):
             label = components(edges)
+    # a representative is the least doc_id of its copies, so the least representative is the least doc_id of the class
     joined = member.join(label, "id", "left").select("doc_id", F.coalesce("class", "id").alias("class_id"))
-    alone = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(joined, "doc_id", "left")
-    least = joined.groupBy("class_id").agg(F.min("doc_id").alias("_least"))
-    named = alone.join(least, "class_id", "left")
-    return named.select("doc_id", F.coalesce("_least", "doc_id").alias("class_id"))
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(joined, "doc_id", "left")
+    return every.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
