@@ -1,6 +1,7 @@
 """LM scoring by cross-entropy difference: a target and a background bigram model over one vocabulary.
 
-The vocabulary is the VOCABULARY commonest words of all documents; others share one unknown word. Both models are bigram models
+The vocabulary is the commonest words of all documents, VOCABULARY at most (all words above the count at which that many are
+left, in steps of a 64th of a doubling); others share one unknown word. Both models are bigram models
 smoothed towards their unigrams (Dirichlet): p(w | v) = (c(v, w) + M p(w)) / (c(v) + M). A document's score is the mean over its
 tokens of the background loss less the target loss: above 0, it is more like the target.
 
@@ -28,9 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import plan_bytes, slices, stored, table, text_bytes
 
-VOCABULARY, SMOOTHING, SHARD_TOKENS, HEAVY = 65_534, 200.0, 1_000_000, 20_000
+VOCABULARY, SMOOTHING, SHARD_TOKENS, HEAVY = 65_534, 200.0, 500_000, 20_000
 #: Tokens that a task gathers before it sends them on.
-FLUSH_TOKENS = 1_000_000
+FLUSH_TOKENS = 500_000
 #: Labels are broadcast to mark target documents only up to this size.
 BROADCAST_BYTES = 32 << 20
 BITS = 34
@@ -118,7 +119,14 @@ def unigram_models(texts: DataFrame) -> Model:
     counted = texts.select("raw", "target").mapInArrow(count, "word binary, n long, t long, docs long, own_docs long")
     words = stored(counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum("docs").alias("docs"), F.sum("own_docs").alias("own_docs")), "words")
     totals = words.filter(F.col("word").isNull()).first()
-    top = words.filter(F.col("word").isNotNull()).orderBy(F.desc("n"), "word").limit(VOCABULARY).select("word", "n", "t").collect()
+    own = words.filter(F.col("word").isNotNull()).withColumn("step", F.floor(F.log2("n") * 64))
+    left, least = VOCABULARY, None
+    for row in sorted(own.groupBy("step").agg(F.count("*").alias("words")).collect(), reverse=True):  # a few thousand steps
+        left -= row.words
+        if left < 0:
+            break
+        least = row.step
+    top = [] if least is None else sorted(own.filter(F.col("step") >= least).select("word", "n", "t").collect(), key=lambda r: (-r.n, bytes(r.word)))  # at most VOCABULARY
     return Model([(bytes(r.word), r.n, r.t) for r in top], (totals.n, totals.t, totals.docs, totals.own_docs) if totals else (0, 0, 0, 0))
 
 
