@@ -11,12 +11,13 @@ coordinate with the probability of their weighted Jaccard similarity.
 2. Representatives with a band key in common meet in buckets. In a few rounds each bucket's leader (another one each round) is
    paired with the members that are not yet of its class. Pairs are checked by signature, then exactly by their shingles, and
    classes are joined. A bucket of n near copies costs about n pairs a round, not n squared.
-3. What stays apart in a bucket after the rounds is compared in full: each member outside the bucket's largest class with all
-   members of other classes, by one bit of each coordinate inside the join; pairs that agree go on as above. So every pair that
-   shares a bucket is compared or already of one class.
+3. What stays apart in a bucket after the rounds is compared in full, in blocks: the members outside the bucket's largest class
+   with all members of other classes. A block holds a bounded number of members with their shingles; a row is two blocks, whose
+   exact similarities are one matrix product, and only links that join classes leave it. So every pair that shares a bucket is
+   compared or already of one class, and no row is made for a pair.
 
 A pair at similarity 0.8 shares no bucket with probability (1 - 0.8^6)^32 = 6e-5, and less above. The signature check drops a
-pair at 0.8 with probability below 1e-9, the bits inside the join below 1e-7.
+pair at 0.8 with probability below 1e-9; the blocks drop none.
 
 Defined cases: a null text, or one without words, is a class of its own; a text of fewer words than a shingle is one shingle;
 words are split at white space and A-Z lower-cased; with weighted=False (the default) an element counts once, else by its
@@ -39,6 +40,8 @@ BANDS, ROWS = 32, 6
 COORDINATES = BANDS * ROWS
 #: Rounds of leaders before the rest of a bucket is compared in full.
 ROUNDS = 3
+#: Members of a block and bytes of their shingles, about, and the shingles that a matrix product takes at a time.
+BLOCK_MEMBERS, BLOCK_BYTES, BLOCK_COLUMNS = 256, 2 << 20, 1 << 14
 #: Words that a worker remembers the hashes of.
 REMEMBERED = 500_000
 GOLD, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -113,7 +116,7 @@ def band_keys(signatures: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def signature_table(docs: DataFrame, words: int, weighted: bool) -> DataFrame:
-    """(doc_id, print, bands, short, bits): of each document with words."""
+    """(doc_id, print, bands, short): of each document with words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "raw", 1 << 20):
@@ -132,18 +135,16 @@ def signature_table(docs: DataFrame, words: int, weighted: bool) -> DataFrame:
                     s = dart_signatures(np.concatenate(cells), np.repeat(np.arange(len(ids)), [len(c) for c in cells]), len(ids))
                     keys = band_keys(s)
                     short = (mixed(s) & np.uint64(255)).astype(np.uint8)
-                    bits = np.packbits(short & 1, axis=1).view(np.int64)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": pa.array(ids, pa.int64()),
                         "print": pa.array(prints, pa.binary()),
                         "bands": pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())),
                         "short": pa.array([x.tobytes() for x in short], pa.binary()),
-                        "bits": pa.array(list(bits), pa.list_(pa.int64())),
                     }
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("raw")).mapInArrow(sign, "doc_id long, print binary, bands array<long>, short binary, bits array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("raw")).mapInArrow(sign, "doc_id long, print binary, bands array<long>, short binary")
 
 
 def shingle_table(docs: DataFrame, words: int, weighted: bool) -> DataFrame:
@@ -199,6 +200,93 @@ def similar(pairs: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def bucket_blocks(held: DataFrame, shorts: DataFrame, cells: DataFrame) -> DataFrame:
+    """(key, outside, block, m): the members of each bucket of more than two members and one class, in blocks.
+
+    held: (key, id, class). outside: not of the bucket's largest class. m: array<struct<id, class, bands, cells>>.
+    """
+    sized = held.join(cells.select("id", F.length("cells").cast("long").alias("b")), "id")
+    most = sized.groupBy("key", "class").agg(F.count("*").alias("n"), F.sum("b").alias("b")).groupBy("key")
+    most = most.agg(F.max(F.struct("n", "class", "b")).alias("main"), F.sum("n").alias("n"), F.sum("b").alias("b"), F.count("*").alias("classes")).filter("classes > 1 and n > 2")
+    outside = F.col("class") != F.col("main.class")
+    members = F.when(outside, F.col("n") - F.col("main.n")).otherwise(F.col("main.n"))
+    size = F.when(outside, F.col("b") - F.col("main.b")).otherwise(F.col("main.b"))
+    number = F.greatest(F.ceil(members / BLOCK_MEMBERS), F.ceil(size / BLOCK_BYTES), F.lit(1))
+    dealt = held.join(most, "key").select("key", "id", "class", outside.alias("outside"), F.pmod(F.xxhash64("id", F.lit(97)), number).alias("block"))
+    full = dealt.join(shorts.select("id", "bands"), "id").join(cells, "id")
+    return full.groupBy("key", "outside", "block").agg(F.collect_list(F.struct("id", "class", "bands", "cells")).alias("m"))
+
+
+def shared_cells(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of x shares with each of y, all of them sorted without repeats."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    columns = np.intersect1d(np.unique(np.concatenate(x)), np.unique(np.concatenate(y)), assume_unique=True)
+
+    def held(sets: list[np.ndarray], part: np.ndarray) -> np.ndarray:
+        found = np.zeros((len(sets), len(part)), np.float32)
+        for row, own in zip(found, sets):
+            own = own[np.searchsorted(own, part[0]) : np.searchsorted(own, part[-1], "right")]
+            at = np.searchsorted(part, own)
+            row[at[part[at] == own]] = 1
+        return found
+
+    for i in range(0, len(columns), BLOCK_COLUMNS):
+        part = columns[i : i + BLOCK_COLUMNS]
+        out += held(x, part) @ held(y, part).T
+    return out
+
+
+def block_links(held: DataFrame, shorts: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links at that exact similarity which join the classes of each bucket. held: (key, id, class).
+
+    A pair is compared in the first bucket that it shares. Of two blocks, links that others already imply are left out.
+    """
+    blocks = stored(bucket_blocks(held, shorts, cells), "blocks")
+
+    def members(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        ids, classes = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("id", "class"))
+        return ids, classes, rows.field("bands").flatten().to_numpy().reshape(len(ids), -1), [np.frombuffer(c, np.uint64) for c in rows.field("cells").to_pylist()]
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends: list[tuple[int, int]] = []
+            for i in range(batch.num_rows):
+                key = batch.column("key")[i].as_py()
+                (ids, classes, bands, own), (ids2, classes2, bands2, own2) = (members(batch.column(c)[i].values) for c in ("m", "m2"))
+                todo = classes[:, None] != classes2
+                if batch.column("same")[i].as_py():
+                    todo &= ids[:, None] < ids2
+                for n in range(int((bands[0] == key).argmax())):  # a key has its band's number in it, so all hold it at one place
+                    todo &= bands[:, n][:, None] != bands2[:, n]
+                rows, columns = np.flatnonzero(todo.any(axis=1)), np.flatnonzero(todo.any(axis=0))
+                if not len(rows):
+                    continue
+                x, y = [own[r] for r in rows], [own2[c] for c in columns]
+                both = shared_cells(x, y)
+                total = np.array([len(c) for c in x])[:, None] + np.array([len(c) for c in y])
+                hits = np.argwhere((both >= threshold * (total - both) - 1e-6) & todo[np.ix_(rows, columns)])
+                root: dict[int, int] = {}
+
+                def top(c: int, root: dict[int, int] = root) -> int:
+                    while root.get(c, c) != c:
+                        root[c] = root.get(root[c], root[c])
+                        c = root[c]
+                    return c
+
+                for r, c in hits:
+                    p, q = top(int(classes[rows[r]])), top(int(classes2[columns[c]]))
+                    if p != q:
+                        root[p] = q
+                        ends.append((int(ids[rows[r]]), int(ids2[columns[c]])))
+            if ends:
+                yield pa.RecordBatch.from_pydict({"a": pa.array([min(e) for e in ends], pa.int64()), "b": pa.array([max(e) for e in ends], pa.int64())})
+
+    left = blocks.filter("outside").select("key", F.col("block").alias("_block"), "m")
+    right = blocks.select("key", "outside", "block", F.col("m").alias("m2"))
+    met = left.join(right, "key").filter(~F.col("outside") | (F.col("_block") <= F.col("block")))
+    return met.select("key", "m", "m2", (F.col("outside") & (F.col("_block") == F.col("block"))).alias("same")).mapInArrow(link, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, class): the least id that each node of the undirected edges (a, b) is joined to.
 
@@ -232,7 +320,7 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, threshold: float = 0
     shared = spread.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     buckets = stored(spread.join(shared, "key", "left_semi").select("key", "id"), "buckets")
     met = buckets.select("id").distinct()
-    shorts = stored(reps.join(met, "id", "left_semi").select("id", "short", "bits"), "shorts")
+    shorts = stored(reps.join(met, "id", "left_semi").select("id", "short", "bands"), "shorts")
     candidates = docs.withColumn("_id", F.col("doc_id").cast("long")).join(met.withColumnRenamed("id", "_id"), "_id", "left_semi").dropDuplicates(["_id"])
     cells = stored(shingle_table(candidates, words, weighted), "shingles")
 
@@ -247,19 +335,16 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, threshold: float = 0
         if turn < ROUNDS:
             pairs = held.join(ends.select("key", "lead"), "key").filter(F.col("class") != F.col("lead.class")).select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"))
         else:
-            split = held.join(ends.select("key"), "key", "left_semi").join(shorts.select("id", "bits"), "id")
-            sizes = split.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "class")).alias("most"))
-            outside = split.join(sizes, "key").filter(F.col("class") != F.col("most.class")).select("key", F.col("id").alias("i"), F.col("class").alias("c"), F.col("most.class").alias("main"), F.col("bits").alias("_b"))
-            apart = sum(F.bit_count(F.col("bits")[n].bitwiseXOR(F.col("_b")[n])) for n in range(COORDINATES // 64))
-            near = apart <= int(COORDINATES * ((1 - threshold) / 2 + 0.14))
-            both = outside.join(split, "key").filter((F.col("c") != F.col("class")) & ((F.col("i") < F.col("id")) | (F.col("class") == F.col("main"))) & near)
-            pairs = both.select(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b"))
+            found = stored(block_links(held, shorts, cells, threshold), "edges")
+            edges = edges.union(found)
+            if found.head(1):
+                label = components(edges)
+            break
         new = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         if not new.head(1):
-            if turn < ROUNDS and turn:
+            if turn:
                 continue
-            if not turn:
-                break
+            break
         found = stored(similar(agreeing(new, shorts, threshold), cells, threshold), "edges")
         tried = tried.union(new)
         edges = edges.union(found)

@@ -60,6 +60,47 @@ def test_near_dedup_of_repeated_rows_and_nothing(spark):
     assert near_dedup.near_duplicate_classes(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_shared_cells(monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_COLUMNS", 3)
+    r = random.Random(5)
+    x, y = ([np.array(sorted(r.sample(range(40), r.randrange(1, 30))), np.uint64) for _ in range(n)] for n in (5, 7))
+    assert near_dedup.shared_cells(x, y).tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in y] for a in x]
+    assert not near_dedup.shared_cells(x[:1], [x[0] + np.uint64(100)]).any()
+
+
+def _joined(edges):
+    """The components of edges as a set of frozen sets."""
+    root = {}
+
+    def top(n):
+        while root.setdefault(n, n) != n:
+            n = root[n]
+        return n
+
+    for a, b in edges:
+        root[top(a)] = top(b)
+    return {frozenset(m for m in root if top(m) == n) for n in map(top, list(root))}
+
+
+def test_block_links_join_what_all_pairs_join(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 4)
+    r = random.Random(8)
+    cores = [r.sample(range(10_000), 40) for _ in range(3)]
+    cells = {i: sorted({*r.sample(cores[i % 3], r.randrange(34, 41)), *r.sample(range(10_000, 20_000), r.randrange(4))}) for i in range(60)}
+    bands = {i: [n * 1000 + (i % 3 if r.random() < 0.6 else 10 + r.randrange(4)) for n in range(3)] for i in cells}
+    label = {i: 100 + i % 3 if i < 18 else i for i in cells}
+    members = {k: [i for i in cells if k in bands[i]] for k in {k for b in bands.values() for k in b}}
+    like = lambda a, b: 5 * len(set(cells[a]) & set(cells[b])) >= 4 * len(set(cells[a]) | set(cells[b]))
+    want = {(a, b) for m in members.values() if len(m) > 2 for a in m for b in m if a < b and label[a] != label[b] and like(a, b)}
+    held = spark.createDataFrame([(k, i, label[i]) for k, m in members.items() for i in m], "key long, id long, class long")
+    shorts = spark.createDataFrame([(i, None, b) for i, b in bands.items()], "id long, short binary, bands array<long>")
+    sets = spark.createDataFrame([(i, bytearray(np.array(c, np.uint64).tobytes())) for i, c in cells.items()], "id long, cells binary")
+    got = [tuple(x) for x in near_dedup.block_links(held, shorts, sets, 0.8).collect()]
+    assert got and set(got) <= want and len(want) > len(set(got))
+    known = [(i, -c) for i, c in label.items()]
+    assert _joined([*known, *got]) == _joined([*known, *want])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 30)] + [(100, 101), (105, 101)]
     got = dict(map(tuple, near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()))
