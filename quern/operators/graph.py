@@ -1,7 +1,8 @@
 """Entities of documents and the graph of documents that share them.
 
 Extraction needs match positions of many patterns, so it is one Arrow batch function; all else is joins and grouping. The
-self-join by entity is bounded by max_df, the most documents that an entity may have to make edges (none by default).
+self-join by entity takes every entity, however common: documents of one are dealt to blocks of about BLOCK, and two blocks meet
+under one key, so no key holds a common entity whole. The edges themselves are as many as pairs of documents that share a form.
 Level joins write each frontier out, so lineage stays short and survives lost executors.
 """
 
@@ -34,10 +35,12 @@ ALIASES = {
 }
 RELATIONS = (("causal", ("because", "due to", "resulted in", "caused", "led to", "impact")), ("hierarchical", ("part of", "belongs to", "under", "division of", "department")), ("reference", ("see", "refer to", "mentioned in", "according to", "as stated in")))
 SEQUENCE = ("before", "after", "following", "previous", "next")
+#: Documents of one entity that a block of the join by entity holds, about.
+BLOCK = 256
 
 
 def extract_entities(docs: DataFrame, case_sensitive: bool = False) -> DataFrame:
-    """(doc_id, entity_type, text, position, context, confidence) of each match; case-insensitive as a rule, case_sensitive for use at scale."""
+    """(doc_id, entity_type, text, position, context, confidence) of each match; case-insensitive as a rule."""
     rules = [(kind, re.compile(p, 0 if case_sensitive else re.IGNORECASE)) for kind, ps in PATTERNS.items() for p in ps]
     title, legal = re.compile(r"(?:mr|mrs|ms|dr|ceo|director|manager|president)\s*\.?\s*$"), re.compile(r"\b(?:inc|corp|llc|ltd|company|corporation)\b")
 
@@ -108,21 +111,21 @@ def entity_index(entities: DataFrame) -> DataFrame:
     return entities.groupBy("canonical", "entity_type").agg(F.countDistinct("doc_id").alias("documents"), F.sum("mentions").alias("mentions"))
 
 
-def doc_edges(entities: DataFrame, docs: DataFrame, max_df: int | None = None) -> DataFrame:
+def doc_edges(entities: DataFrame, docs: DataFrame) -> DataFrame:
     """(src, dst, strength, type, shared): the newer document (higher doc_id) to each older one that shares a canonical form, strength above 0.1.
 
-    An entity is rare if at most three documents had it when the newer one came: a running count.
+    An entity is rare if at most three documents had it when the newer one came: if that is no later than its third document.
     """
-    w = Window.partitionBy("canonical").orderBy("doc_id")
     own = entities.groupBy("doc_id", "canonical").agg(F.max("confidence").alias("confidence"), F.collect_set("entity_type").alias("types"))
-    own = own.withColumn("seen", F.row_number().over(w))
-    if max_df is not None:
-        common = own.groupBy("canonical").agg(F.count("*").alias("n")).filter(F.col("n") > max_df)
-        own = own.join(common, "canonical", "left_anti")
-    old = own.select("canonical", F.col("doc_id").alias("dst"))
-    pairs = own.join(old, "canonical").filter(F.col("doc_id") > F.col("dst"))
+    first = own.select("canonical", "doc_id").withColumn("seen", F.row_number().over(Window.partitionBy("canonical").orderBy("doc_id"))).filter(F.col("seen") <= 3)
+    forms = own.groupBy("canonical").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    own = own.join(forms.join(first.groupBy("canonical").agg(F.max("doc_id").alias("third")), "canonical"), "canonical")
+    own = own.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks")).withColumn("every", F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    new = own.select("canonical", "doc_id", "confidence", "types", (F.col("doc_id") <= F.col("third")).alias("early"), F.col("block").alias("a"), F.explode("every").alias("b"))
+    old = own.select("canonical", F.col("doc_id").alias("dst"), F.col("block").alias("b"), F.explode("every").alias("a"))
+    pairs = new.join(old, ["canonical", "a", "b"]).filter(F.col("doc_id") > F.col("dst"))
     sizes = entities.groupBy("doc_id").agg(F.count("*").alias("n"))
-    edges = pairs.groupBy(F.col("doc_id").alias("src"), "dst").agg(F.count("*").alias("shared_n"), F.avg("confidence").alias("c"), F.count_if(F.col("seen") <= 3).alias("rare"), F.array_sort(F.collect_set("canonical")).alias("shared"), F.array_distinct(F.flatten(F.collect_list("types"))).alias("types"))
+    edges = pairs.groupBy(F.col("doc_id").alias("src"), "dst").agg(F.count("*").alias("shared_n"), F.avg("confidence").alias("c"), F.count_if("early").alias("rare"), F.array_sort(F.collect_set("canonical")).alias("shared"), F.array_distinct(F.flatten(F.collect_list("types"))).alias("types"))
     edges = edges.join(sizes.select(F.col("doc_id").alias("src"), F.col("n").alias("a")), "src").join(sizes.select(F.col("doc_id").alias("dst"), F.col("n").alias("b")), "dst")
     strength = F.least(F.col("shared_n") * 0.2, F.lit(0.8)) + F.col("c") * 0.2 + F.least(F.col("rare") * 0.1, F.lit(0.3))
     strength = F.least(F.lit(1.0), F.when(F.least("a", "b") / F.greatest("a", "b") < 0.3, strength * 0.8).otherwise(strength))
@@ -152,8 +155,8 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "strength", "type").union(edges.select("dst", "src", "strength", "type"))
 
 
-def multi_hop(edges: DataFrame, starts: DataFrame, targets: DataFrame, hops: int = 3, least: float = 0.1, top: int = 5) -> DataFrame:
-    """(query_id, end, path, types, strength, hops): per query from starts (query_id, doc_id) to targets (query_id, doc_id).
+def multi_hop(edges: DataFrame, starts: DataFrame, targets: DataFrame | None = None, hops: int = 3, least: float = 0.1, top: int = 5) -> DataFrame:
+    """(query_id, end, path, types, strength, hops): per query from starts (query_id, doc_id) to targets (query_id, doc_id), or to all documents.
 
     A node is reached by the fewest hops, then the highest product of strengths, then the smallest parent.
     """
@@ -168,7 +171,7 @@ def multi_hop(edges: DataFrame, starts: DataFrame, targets: DataFrame, hops: int
         front = _kept(best.select("query_id", F.col("dst").alias("end"), F.concat("b.path", F.array("dst")).alias("path"), F.concat("b.types", F.array("b.type")).alias("types"), F.col("b.p").alias("strength"), F.lit(hop).alias("hops")), "frontier")
         seen = seen.union(front.select("query_id", "end"))
         found = front if found is None else found.union(front)
-    hits = found.join(targets.select("query_id", F.col("doc_id").alias("end")).distinct(), ["query_id", "end"], "left_semi")
+    hits = found if targets is None else found.join(targets.select("query_id", F.col("doc_id").alias("end")).distinct(), ["query_id", "end"], "left_semi")
     w = Window.partitionBy("query_id").orderBy(F.desc("strength"), "end")
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 

@@ -256,7 +256,7 @@ def truncate_text(spark, sf_dir):
 
 
 def _entities(spark, sf_dir):
-    return graph.merge_entities(graph.extract_entities(notes(spark, sf_dir), case_sensitive=True))
+    return graph.merge_entities(graph.extract_entities(notes(spark, sf_dir)))
 
 
 def extract_entities(spark, sf_dir):
@@ -284,7 +284,7 @@ def entity_index(spark, sf_dir):
 
 
 def _edges(spark, sf_dir):
-    return graph.doc_edges(_entities(spark, sf_dir), notes(spark, sf_dir), max_df=12)
+    return graph.doc_edges(_entities(spark, sf_dir), notes(spark, sf_dir))
 
 
 def doc_edges(spark, sf_dir):
@@ -304,9 +304,8 @@ def _starts(spark, sf_dir):
 
 
 def _paths(spark, sf_dir):
-    """From every twentieth note to the sixty that follow it."""
-    targets = _starts(spark, sf_dir).select("query_id", F.explode(F.sequence(F.col("doc_id") + 1, F.col("doc_id") + 60)).alias("doc_id"))
-    return graph.multi_hop(graph._kept(_edges(spark, sf_dir), "edges"), _starts(spark, sf_dir), targets)
+    """From every twentieth note to all others."""
+    return graph.multi_hop(graph._kept(_edges(spark, sf_dir), "edges"), _starts(spark, sf_dir))
 
 
 def multi_hop(spark, sf_dir):
