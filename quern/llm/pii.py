@@ -1,9 +1,10 @@
 r"""Personal data: base patterns, and bootstrapped contextual extraction.
 
 The base spans are exact. They seed the method, which runs on a table of instances: each identifier-like token of any document
-(a run with five digits or more, or one with a written-out at sign) with the words around it. A seed is an instance that a base
-span covers; it has that span's kind. An instance's contexts are lexical patterns: its last word before, its last two words
-before, and the word before with the word after, each with the instance's shape.
+(a run with five digits or more, or one with a written-out at sign) with the words around it, and each base span that holds none,
+as plain e-mails do. A seed is an instance that a base span covers; it has that span's kind. An instance's contexts are lexical
+patterns: its last word before, its last two words before, and the word before with the word after, each with the instance's
+shape: a class of its count of digits, or one shape for e-mails and names with a written-out at sign.
 
 Spark scores the pattern-instance graph in ROUNDS rounds: a pattern's confidence in a kind is the share of its instances that
 are known of the kind, shrunk by PRIOR unknown ones, and counts only with MIN_SUPPORT distinct known instances; an instance's
@@ -72,7 +73,10 @@ def scanned(docs: DataFrame) -> DataFrame:
     own = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     text = F.col("text")
     based = computed(own.withColumn("own", F.xxhash64("text")), "base", base_spans(text))
-    found = computed(based, "all", matches(text, INSTANCE, text.rlike(r"[0-9]|[\[(](?i:at)[\])]")))
+    tokens = computed(based, "tokens", matches(text, INSTANCE, text.rlike(r"[0-9]|[\[(](?i:at)[\])]")))
+    bare = F.filter("base", lambda b: ~F.exists("tokens", lambda x: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    spelt = F.transform(bare, lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"), F.substring(text, b["s"] + 1, b["e"] - b["s"]).alias("m")))
+    found = computed(tokens, "all", F.concat("tokens", spelt))
     around = F.transform(
         "all",
         lambda x: F.struct(
@@ -127,10 +131,11 @@ def find_pii(docs: DataFrame) -> DataFrame:
     each = found.filter(F.size("found") > 0).select("doc_id", "own", "base", F.explode("found").alias("x")).dropDuplicates(["doc_id", "own", "x"])
     covered = F.filter("base", lambda b: (b["s"] < F.col("x.e")) & (F.col("x.s") < b["e"]))
     digits = F.length(digits_of(F.col("x.m")))
-    shape = F.when(F.col("x.m").rlike(r"[\[(](?i:at)[\])]"), "name").when(digits < 10, "short").when(digits <= 15, "middle").otherwise("long")
+    kind = F.when(F.size(covered) > 0, covered[0]["kind"])
+    shape = F.when(F.col("x.m").rlike(r"[\[(](?i:at)[\])]") | kind.eqNullSafe("email"), "name").when(digits < 10, "short").when(digits <= 15, "middle").otherwise("long")
     instances = each.select(
         F.xxhash64("doc_id", "own", "x.s", "x.e").alias("id"), "doc_id", "own", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("x.m").alias("m"),
-        F.when(F.size(covered) > 0, covered[0]["kind"]).alias("kind"), shape.alias("shape"), F.col("x.before").alias("before"), F.col("x.after").alias("after"),
+        kind.alias("kind"), shape.alias("shape"), F.col("x.before").alias("before"), F.col("x.after").alias("after"),
     )
     instances = stored(instances, "pii-instances")
     new = bootstrap(instances.select("id", "m", "kind", "shape", "before", "after"))
