@@ -4,8 +4,8 @@ A document is a bag of passages of PASSAGE_WORDS words. Every passage is encoded
 pairs with a few word statistics. The model learns, from document labels alone, a hidden layer, gated attention weights
 a_k ~ exp(w . (tanh(V h_k) * sigmoid(U h_k))) and a logistic score of the weighted passage representation sum a_k h_k.
 
-Training takes a bounded sample of labelled documents, TRAIN_DOCS by hash order, and TRAIN_PASSAGES evenly spaced passages of
-each; scoring takes every passage of every document. doc_id, lang, source and labels are never inputs of a score.
+Training takes a bounded sample of labelled documents, TRAIN_DOCS by hash order, and scoring every document, both with every
+passage. The sample's encoded passages stand in a file of the driver and are read a batch of documents at a time. doc_id, lang, source and labels are never inputs of a score.
 
 Defined cases: a null or empty text is one passage without characters and gets a score like any other; a text of any length is
 scored whole, a slice of passages at a time; equal texts get equal scores; without labels of both kinds every score is their
@@ -14,6 +14,7 @@ mean, or 1 if there are none; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, text_bytes
+from .common import slices, stored, table, text_bytes
 
-PASSAGE_WORDS, TRAIN_DOCS, TRAIN_PASSAGES = 64, 4000, 8
+PASSAGE_WORDS, TRAIN_DOCS = 64, 4000
 HIDDEN, ATTENTION, EPOCHS, RATE = 24, 12, 40, 0.01
 THRESHOLD = 0.7
 
@@ -113,14 +114,15 @@ class AttentionModel:
         return _sigmoid(z @ self.p["o"] + self.p["b"])
 
     def fit(self, x: np.ndarray, starts: np.ndarray, y: np.ndarray, seed: int = 7) -> AttentionModel:
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
+        lots = [slice(i, i + 8192) for i in range(0, len(x), 8192)]
+        self.mean = sum(x[s].sum(axis=0, dtype=float) for s in lots) / len(x)
+        self.scale = np.sqrt(sum(((x[s] - self.mean) ** 2).sum(axis=0) for s in lots) / len(x)) + 1e-3
         if len(set(y.tolist())) < 2:
             self.constant = float(y[0]) if len(y) else 1.0
             return self
         ends = np.append(starts[1:], len(x))
         r, p = np.random.default_rng(seed), self.p
         m, v, t = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0
-        xs = (x - self.mean) / self.scale
         for epoch in range(EPOCHS):
             order = r.permutation(len(y))
             for i in range(0, len(order), 128):
@@ -128,7 +130,7 @@ class AttentionModel:
                 rows = np.concatenate([np.arange(starts[j], ends[j]) for j in pick])
                 n = ends[pick] - starts[pick]
                 bag, at = np.repeat(np.arange(len(pick)), n), np.cumsum(n) - n
-                xb = xs[rows]
+                xb = (x[rows] - self.mean) / self.scale
                 h = np.tanh(xb @ p["W"] + p["c"])
                 tv, su = np.tanh(h @ p["V"]), _sigmoid(h @ p["U"])
                 a = np.exp((tv * su) @ p["w"])
@@ -167,18 +169,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", docs_limit
             found = []
             for raw in batch.column("raw").to_pylist():
                 texts, stats = passages(raw)
-                at = np.unique(np.linspace(0, len(texts) - 1, TRAIN_PASSAGES).astype(int))
-                found.append(encode([texts[i] for i in at], [stats[i] for i in at]).tobytes())
+                found.append(b"".join(encode(texts[i : i + 4096], stats[i : i + 4096]).tobytes() for i in range(0, len(texts), 4096)))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "y": batch.column("y"), "x": pa.array(found, pa.binary())})
 
-    rows = sorted(sample.mapInArrow(cut, "doc_id long, y double, x binary").collect(), key=lambda r: r.doc_id)  # at most docs_limit
-    model = AttentionModel(N_FEATURES)
-    if not rows:
-        model.constant = 1.0
-        return model
-    bags = [np.frombuffer(r.x, np.float32).reshape(-1, N_FEATURES) for r in rows]
-    sizes = np.array([len(b) for b in bags])
-    return model.fit(np.concatenate(bags).astype(np.float64), np.cumsum(sizes) - sizes, np.array([r.y for r in rows]))
+    bags = stored(sample.mapInArrow(cut, "doc_id long, y double, x binary"), "quality-bags").sort("doc_id")
+    model, sizes, y = AttentionModel(N_FEATURES), [], []
+    with tempfile.TemporaryFile() as file:
+        for r in bags.toLocalIterator():  # at most docs_limit, a partition at a time
+            file.write(r.x)
+            sizes.append(len(r.x) // (4 * N_FEATURES))
+            y.append(r.y)
+        if not y:
+            model.constant = 1.0
+            return model
+        file.flush()
+        return model.fit(np.memmap(file, np.float32, "r").reshape(-1, N_FEATURES), np.cumsum(sizes) - sizes, np.array(y))
 
 
 def score_quality(docs: DataFrame, model: AttentionModel, column: str = "score") -> DataFrame:
