@@ -5,11 +5,11 @@ models, one of random strings and one of ordinary identifiers, give each pair of
 ratio, and a token whose mean ratio is above a threshold is a secret of kind `random`. A pair's probability backs off to its
 second character's, so that characters which ordinary words lack tell even after a character that they lack too.
 
-The models are trained on labelled samples drawn from all documents: the values that the base patterns found are random
-strings, plain words are ordinary. Their tables are counts of character pairs, at most 67 x 67 entries by construction, and enter
+The models are trained on all documents: the values that the base patterns found are random strings, plain words, each with its
+count, are ordinary. Their tables are counts of character pairs, at most 67 x 67 entries by construction, and enter
 the query as one literal array. Everything is DataFrame functions; texts are never shuffled.
 
-Defined cases: a null or empty text has no spans; long texts are scanned whole; without samples of either kind no span is added;
+Defined cases: a null or empty text has no spans; long texts are scanned whole; without strings of either kind no span is added;
 repeated rows give repeated rows; an empty table gives an empty table.
 """
 
@@ -29,8 +29,9 @@ ACCESS, HEX = r"AKIA[A-Z0-9]+", r"[0-9a-f]{16,}"
 #: Characters of the models; all others share the last place, and a token begins and ends there.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 STATES = len(ALPHABET) + 1
-#: Tokens that the method judges: long, with a letter and a digit.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{16,}+"
+#: Tokens that the method judges: SHORTEST characters or more, with a letter.
+SHORTEST = 12
+TOKEN = rf"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{{{SHORTEST},}}+"
 ORDINARY = r"(?<![A-Za-z0-9+/_=.@-])[A-Za-z_-]{8,}+(?![A-Za-z0-9+/_=@])"
 THRESHOLD, SMOOTHING, BACK_OFF = 1.0, 0.5, 20.0
 
@@ -69,18 +70,31 @@ def ratios(found: DataFrame) -> list[float] | None:
     return [round(a - b, 4) for a, b in zip(logs[True], logs[False])]
 
 
+def outside(token: Column, base: Column) -> Column:
+    """The parts of a token outside base spans, as array<struct<s, e, m>>; parts too short, or without a letter, are left out."""
+    part = lambda s, e: F.struct(s.alias("s"), e.alias("e"), F.substring(token["m"], s - token["s"] + 1, e - s).alias("m"))
+    touching = F.array_sort(F.filter(base, lambda b: (b["s"] < token["e"]) & (token["s"] < b["e"])))
+    cut = F.aggregate(
+        touching,
+        F.struct(token["s"].alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out")),
+        lambda acc, b: F.struct(F.greatest(acc["at"], b["e"]).alias("at"), F.when(b["s"] > acc["at"], F.concat(acc["out"], F.array(part(acc["at"], b["s"])))).otherwise(acc["out"]).alias("out")),
+        lambda acc: F.when(acc["at"] < token["e"], F.concat(acc["out"], F.array(part(acc["at"], token["e"])))).otherwise(acc["out"]),
+    )
+    return F.filter(cut, lambda x: (x["e"] - x["s"] >= SHORTEST) & x["m"].rlike("[A-Za-z]"))
+
+
 def scanned(docs: DataFrame) -> DataFrame:
-    """(doc_id, base, tokens, values): base spans, tokens to judge outside them, and the samples' random strings."""
+    """(doc_id, base, tokens, values): base spans, tokens to judge outside them, and the random strings."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = computed(computed(docs.select("doc_id", text.alias("text")), "base", base_spans(F.col("text"))), "all", matches(F.col("text"), TOKEN, F.col("text").rlike("[0-9]")))
-    free = F.filter("all", lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
+    own = computed(computed(docs.select("doc_id", text.alias("text")), "base", base_spans(F.col("text"))), "all", matches(F.col("text"), TOKEN, F.lit(True)))
+    free = F.when(F.size("base") == 0, F.col("all")).otherwise(F.flatten(F.transform("all", lambda t: outside(t, F.col("base")))))
     values = F.transform("base", lambda b: F.regexp_extract(F.substring(F.col("text"), b["s"] + 1, b["e"] - b["s"]), r"([A-Za-z0-9+/_=-]+)\.?$", 1))
     return own.select("doc_id", "base", free.alias("tokens"), values.alias("values"))
 
 
-def ordinary_samples(docs: DataFrame) -> DataFrame:
-    """Transitions of plain words: one word of each line of text is sample enough, and all documents give some."""
-    words = docs.select(F.explode(F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(rf"(?m)^[^\n]*?({ORDINARY})"), F.lit(1))).alias("w"))
+def ordinary_words(docs: DataFrame) -> DataFrame:
+    """(w, n): every plain word of all documents with its count."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(ORDINARY), F.lit(0))).alias("w"))
     return words.groupBy("w").agg(F.count("*").alias("n"))
 
 
@@ -88,7 +102,7 @@ def find_secrets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, base, added): span arrays for each document."""
     found = stored(scanned(docs), "secrets")
     random = found.select(F.explode("values").alias("w")).filter(F.length("w") >= 12).groupBy("w").agg(F.count("*").alias("n"))
-    both = random.select(F.lit(True).alias("random"), "w", "n").union(ordinary_samples(docs).select(F.lit(False), "w", "n"))
+    both = random.select(F.lit(True).alias("random"), "w", "n").union(ordinary_words(docs).select(F.lit(False), "w", "n"))
     table_ = ratios(both.select("random", "n", F.explode(pairs(F.col("w"))).alias("pair")))
     if table_ is None:
         added = F.array().cast("array<struct<s:int,k:int,e:int,kind:string>>")
