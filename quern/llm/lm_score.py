@@ -1,15 +1,17 @@
 """LM scoring by cross-entropy difference: a target and a background bigram model over one vocabulary.
 
-The vocabulary is the commonest words of all documents, VOCABULARY at most (all words above the count at which that many are
-left, in steps of a 64th of a doubling); others share one unknown word. Both models are bigram models
-smoothed towards their unigrams (Dirichlet): p(w | v) = (c(v, w) + M p(w)) / (c(v) + M). A document's score is the mean over its
-tokens of the background loss less the target loss: above 0, it is more like the target.
-
-Counts cover all documents and grow with them, so no task holds a whole model. Bigrams are dealt to shards by a one-to-one mix
-of their key, about SHARD_TOKENS tokens a shard. Tasks send sorted keys with counts, packed by shard; a shard adds them up. For
-scoring, tasks send each shard its keys and the documents that hold them, and get sums of loss differences by document back. The
-few bigrams that hold a large share of all tokens (at most HEAVY of them) are scored where they stand, so none fills a shard.
-Only the vocabulary and those bigrams are broadcast; both have fixed bounds.
+The vocabulary is every word of all documents. Both models are bigram models smoothed towards their unigrams (Dirichlet):
+p(w | v) = (c(v, w) + M p(w)) / (c(v) + M). A document's score is the mean over its tokens of the background loss less the target
+loss: above 0, it is more like the target.
+
+Counts cover all documents and grow with them, so no task holds a whole model. The COMMON commonest words at most (those above the
+count at which that many are left, in steps of a 64th of a doubling) have small ids, and their counts are broadcast; every other
+word goes by its 64-bit hash and bigrams by a 64-bit mix of both words, so two share counts with a chance of pairs over 2^64. A bigram
+is dealt to a shard by itself if its second word is common, else by that word, which then has all its counts in one shard: none
+of these words has more than about a COMMON-th of all tokens. About SHARD_TOKENS tokens make a shard. Tasks send sorted keys with
+counts, packed by shard; a shard adds them up. For scoring, tasks send each shard its keys and the documents that hold them, and
+get sums of loss differences by document back. The few bigrams that hold a large share of all tokens (at most HEAVY of them) are
+scored where they stand, so none fills a shard. Only the common words and those bigrams are broadcast; neither bound changes a score.
 
 Defined cases: a null text, or one without words, has 0 tokens and score 0; words are split at white space, A-Z lower-cased;
 without target documents the target model is uniform; rows with the same doc_id are scored each; empty tables give empty tables.
@@ -23,59 +25,69 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import plan_bytes, slices, stored, table, text_bytes
 
-VOCABULARY, SMOOTHING, SHARD_TOKENS, HEAVY = 65_534, 200.0, 500_000, 20_000
+COMMON, SMOOTHING, SHARD_TOKENS, HEAVY = 65_534, 200.0, 500_000, 20_000
 #: Tokens that a task gathers before it sends them on.
 FLUSH_TOKENS = 500_000
 #: Labels are broadcast to mark target documents only up to this size.
 BROADCAST_BYTES = 32 << 20
-BITS = 34
-MASK, ODD = np.uint64((1 << BITS) - 1), np.uint64(0x2545F4914F6CDD1D)
+#: Set in the ids of words that aren't common.
+RARE = 1 << 63
 
 
-class Model:
-    """The shared vocabulary with both unigram models: word -> 1.., 0 the unknown word, the last id the start of a text."""
-
-    def __init__(self, rows: list[tuple[bytes, int, int]], totals: tuple[int, int, int, int]):
-        self.ids = {w: i + 1 for i, (w, _, _) in enumerate(rows)}
-        tokens, target_tokens, docs, target_docs = totals
-        n = len(rows) + 1
-        self.start = n
-        self.tokens = tokens
-        self.counts = np.zeros((2, n + 1))
-        self.counts[:, 1:n] = np.array([r[1:] for r in rows], float).reshape(-1, 2).T
-        self.counts[:, 0] = np.array([tokens, target_tokens]) - self.counts[:, 1:n].sum(axis=1)
-        self.counts[:, n] = docs, target_docs
-        self.unigram = (self.counts[:, :n] + 1) / (self.counts[:, :n].sum(axis=1)[:, None] + n)
-
-    def gain(self, keys: np.ndarray, n: np.ndarray, t: np.ndarray) -> np.ndarray:
-        """log p_target - log p_background of each bigram, from its counts in all documents and in the target."""
-        v, w = (keys >> np.uint64(17)).astype(np.int64), (keys & np.uint64(131071)).astype(np.int64)
-        p = [(c + SMOOTHING * self.unigram[i][w]) / (self.counts[i][v] + SMOOTHING) for i, c in ((0, n), (1, t))]
-        return np.log(p[1]) - np.log(p[0])
+class Ids(dict):
+    """word -> 1.. of the common words, a hash of any other."""
 
-    def bigrams(self, raw: bytes) -> np.ndarray:
-        get = self.ids.get
-        ids = np.array([get(w, 0) for w in raw.lower().split()], np.uint64)
-        return (np.append(np.uint64(self.start), ids[:-1]) << np.uint64(17)) | ids if len(ids) else ids
+    def __missing__(self, word: bytes) -> int:
+        return xxhash.xxh64_intdigest(word) | RARE
 
 
-def dealt(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shard of each key and its name there, which fits 32 bits."""
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A one-to-one mix of 64-bit numbers."""
     with np.errstate(over="ignore"):
-        m = (keys * ODD) & MASK
-    return (m % np.uint64(shards)).astype(np.int64), (m // np.uint64(shards)).astype(np.uint32)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
 
 
-def undealt(shard: int, names: np.ndarray, shards: int) -> np.ndarray:
-    inverse = np.uint64(pow(int(ODD), -1, 1 << BITS))
-    with np.errstate(over="ignore"):
-        return ((names.astype(np.uint64) * np.uint64(shards) + np.uint64(shard)) * inverse) & MASK
+class Model:
+    """The common words with both their counts, and the sizes of both models; the id after the last is the start of a text."""
+
+    def __init__(self, rows: list[tuple[bytes, int, int]], totals: tuple[int, int, int, int], words: int):
+        self.ids = Ids({w: i + 1 for i, (w, _, _) in enumerate(rows)})
+        self.start, self.words = len(rows) + 1, words + 1
+        self.tokens, self.totals = totals[0], totals[:2]
+        self.counts = np.zeros((2, self.start + 1))
+        self.counts[:, 1 : self.start] = np.array([r[1:] for r in rows], float).reshape(-1, 2).T
+        self.counts[:, self.start] = totals[2:]
+        self.after = self.context(*self.counts)
+
+    def context(self, n: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """What a word adds to the gain of the bigram that it begins."""
+        return np.log(n + SMOOTHING) - np.log(t + SMOOTHING)
+
+    def gain(self, n: np.ndarray, t: np.ndarray, own_n: np.ndarray, own_t: np.ndarray) -> np.ndarray:
+        """log p_target - log p_background of bigrams but for their first word's part, from their counts and their second word's."""
+        p = [c + SMOOTHING * (own + 1) / (total + self.words) for c, own, total in zip((n, t), (own_n, own_t), self.totals)]
+        return np.log(p[1]) - np.log(p[0])
+
+    def bigrams(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The key of each token's bigram, and the ids of its words."""
+        ids = np.array([self.ids[w] for w in raw.lower().split()], np.uint64)
+        before = np.append(np.uint64(self.start), ids[:-1]) if len(ids) else ids
+        with np.errstate(over="ignore"):
+            return mixed(mixed(before) + ids), before, ids
+
+
+def dealt(keys: np.ndarray, words: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each bigram with its second word."""
+    return (mixed(np.where(words >= np.uint64(RARE), words, keys)) % np.uint64(shards)).astype(np.int64)
 
 
 def marked(docs: DataFrame, target: DataFrame) -> DataFrame:
@@ -120,74 +132,88 @@ def unigram_models(texts: DataFrame) -> Model:
     words = stored(counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum("docs").alias("docs"), F.sum("own_docs").alias("own_docs")), "words")
     totals = words.filter(F.col("word").isNull()).first()
     own = words.filter(F.col("word").isNotNull()).withColumn("step", F.floor(F.log2("n") * 64))
-    left, least = VOCABULARY, None
-    for row in sorted(own.groupBy("step").agg(F.count("*").alias("words")).collect(), reverse=True):  # a few thousand steps
+    left, least = COMMON, None
+    steps = sorted(own.groupBy("step").agg(F.count("*").alias("words")).collect(), reverse=True)  # a few thousand
+    for row in steps:
         left -= row.words
         if left < 0:
             break
         least = row.step
-    top = [] if least is None else sorted(own.filter(F.col("step") >= least).select("word", "n", "t").collect(), key=lambda r: (-r.n, bytes(r.word)))  # at most VOCABULARY
-    return Model([(bytes(r.word), r.n, r.t) for r in top], (totals.n, totals.t, totals.docs, totals.own_docs) if totals else (0, 0, 0, 0))
+    top = [] if least is None else sorted(own.filter(F.col("step") >= least).select("word", "n", "t").collect(), key=lambda r: (-r.n, bytes(r.word)))  # at most COMMON
+    return Model([(bytes(r.word), r.n, r.t) for r in top], (totals.n, totals.t, totals.docs, totals.own_docs) if totals else (0, 0, 0, 0), sum(row.words for row in steps))
+
 
+COUNTED = ("names", "words", "n", "t")
 
-def bigram_counts(texts: DataFrame, held, shards: int) -> DataFrame:
-    """(shard, names, n, t): each shard's sorted bigrams with their counts, packed."""
+
+def bigram_gains(texts: DataFrame, held, shards: int) -> DataFrame:
+    """(shard, names, words, n, gain, after): each shard's sorted bigrams with second words, counts and gains, packed; after is a rare second word's own part."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
 
-        def flush(parts, own):
-            keys, at = np.unique(np.concatenate(parts), return_inverse=True)
+        def flush(parts, words, own):
+            keys, first, at = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
+            words = np.concatenate(words)[first]
             n = np.bincount(at, minlength=len(keys)).astype(np.uint32)
             t = np.bincount(at, np.repeat(own, [len(p) for p in parts]), len(keys)).astype(np.uint32)
-            shard, names = dealt(keys, shards)
-            order = np.lexsort((names, shard))
-            shard, names, n, t = shard[order], names[order], n[order], t[order]
+            shard = dealt(keys, words, shards)
+            order = np.argsort(shard, kind="stable")
+            shard, columns = shard[order], [z[order] for z in (keys, words, n, t)]
             starts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
             ends = np.append(starts[1:], len(shard))
-            yield pa.RecordBatch.from_pydict({"shard": pa.array(shard[starts], pa.int64())} | {c: pa.array([z[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()) for c, z in (("names", names), ("n", n), ("t", t))})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array(shard[starts], pa.int64())} | {c: pa.array([z[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()) for c, z in zip(COUNTED, columns)})
 
-        parts, own, size = [], [], 0
+        parts, words, own, size = [], [], [], 0
         for batch in slices(batches, "raw"):
             for raw, mine in zip(batch.column("raw").to_pylist(), batch.column("target").to_pylist()):
-                b = model.bigrams(raw)
+                b, _, ids = model.bigrams(raw)
                 if len(b):
                     parts.append(b)
+                    words.append(ids)
                     own.append(float(mine))
                     size += len(b)
-            if size >= FLUSH_TOKENS:
-                yield from flush(parts, own)
-                parts, own, size = [], [], 0
+                if size >= FLUSH_TOKENS:
+                    yield from flush(parts, words, own)
+                    parts, words, own, size = [], [], [], 0
         if size:
-            yield from flush(parts, own)
+            yield from flush(parts, words, own)
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, n, t = (np.frombuffer(b"".join(pdf[c]), np.uint32) for c in ("names", "n", "t"))
+        model = held.value
+        names, words, n, t = (np.frombuffer(b"".join(pdf[c]), z) for c, z in zip(COUNTED, (np.uint64, np.uint64, np.uint32, np.uint32)))
         order = np.argsort(names, kind="stable")
         names = names[order]
         starts = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
         n, t = (np.add.reduceat(z[order].astype(np.int64), starts) for z in (n, t))
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "names": [names[starts].tobytes()], "n": [n.tobytes()], "t": [t.tobytes()]})
-
-    sent = texts.select("raw", "target").mapInArrow(send, "shard long, names binary, n binary, t binary")
-    return sent.groupBy("shard").applyInPandas(add, "shard long, names binary, n binary, t binary")
-
-
-def heavy_bigrams(counts: DataFrame, model: Model, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and loss differences of the bigrams with at least a HEAVY-th of all tokens: at most HEAVY of them."""
+        names, words = names[starts], words[order][starts]
+        rare = words >= np.uint64(RARE)
+        own, after = np.zeros((2, len(names))), np.zeros(len(names))
+        own[:, ~rare] = model.counts[:, words[~rare].astype(np.int64)]
+        at = np.unique(words[rare], return_inverse=True)[1]
+        own[:, rare] = [np.bincount(at, z[rare])[at] for z in (n, t)]
+        after[rare] = model.context(*own[:, rare])
+        gain = model.gain(n, t, *own)
+        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]]} | {c: [z.tobytes()] for c, z in (("names", names), ("words", words), ("n", n), ("gain", gain), ("after", after))})
+
+    sent = texts.select("raw", "target").mapInArrow(send, "shard long, names binary, words binary, n binary, t binary")
+    return sent.groupBy("shard").applyInPandas(add, "shard long, names binary, words binary, n binary, gain binary, after binary")
+
+
+def heavy_bigrams(counts: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and gains of the bigrams of common second words with at least a HEAVY-th of all tokens: at most HEAVY of them."""
     least = max(2, model.tokens // HEAVY)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, names, n, t in zip(*(batch.column(c).to_pylist() for c in ("shard", "names", "n", "t"))):
-                n, t = np.frombuffer(n, np.int64), np.frombuffer(t, np.int64)
-                at = np.flatnonzero(n >= least)
-                keys = undealt(shard, np.frombuffer(names, np.uint32)[at], shards)
-                yield pa.RecordBatch.from_pydict({"key": pa.array(keys.astype(np.int64), pa.int64()), "n": pa.array(n[at], pa.int64()), "t": pa.array(t[at], pa.int64())})
+            for names, words, n, gain in zip(*(batch.column(c).to_pylist() for c in ("names", "words", "n", "gain"))):
+                at = np.flatnonzero((np.frombuffer(n, np.int64) >= least) & (np.frombuffer(words, np.uint64) < np.uint64(RARE)))
+                yield pa.RecordBatch.from_pydict({"key": pa.array(np.frombuffer(names, np.int64)[at], pa.int64()), "gain": pa.array(np.frombuffer(gain, float)[at], pa.float64())})
 
-    rows = sorted(counts.mapInArrow(pick, "key long, n long, t long").collect())
-    keys = np.array([r.key for r in rows], np.uint64)
-    return keys, model.gain(keys, np.array([r.n for r in rows], float), np.array([r.t for r in rows], float))
+    rows = counts.select("names", "words", "n", "gain").mapInArrow(pick, "key long, gain double").collect()
+    keys = np.array([r.key for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.array([r.gain for r in rows], float)[order]
 
 
 def score_documents(docs: DataFrame, target: DataFrame) -> DataFrame:
@@ -197,21 +223,27 @@ def score_documents(docs: DataFrame, target: DataFrame) -> DataFrame:
     model = unigram_models(texts)
     shards = max(4, -(-model.tokens // SHARD_TOKENS))
     held = spark.sparkContext.broadcast(model)
-    counts = stored(bigram_counts(texts, held, shards), "bigrams")
-    common = spark.sparkContext.broadcast(heavy_bigrams(counts, model, shards))
+    counts = stored(bigram_gains(texts, held, shards), "bigrams")
+    common = spark.sparkContext.broadcast(heavy_bigrams(counts, model))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, (heavy, gains) = held.value, common.value
         lot, task = 0, TaskContext.get().partitionId()
 
         def flush(ids, parts):
-            sizes = np.array([len(p) for p in parts])
-            keys, owner = np.concatenate(parts), np.repeat(np.arange(len(parts), dtype=np.uint16), sizes)
+            sizes = np.array([len(p[0]) for p in parts])
+            keys, before, words = (np.concatenate(z) for z in zip(*parts))
+            owner = np.repeat(np.arange(len(parts)), sizes)
+            last = np.append(owner[1:] != owner[:-1], True)[: len(keys)]
+            common = before < np.uint64(RARE)
+            sums = np.bincount(owner[common], model.after[before[common].astype(np.int64)], len(ids))
             at = np.minimum(np.searchsorted(heavy, keys), max(0, len(heavy) - 1))
             here = heavy[at] == keys if len(heavy) else np.zeros(len(keys), bool)
-            sums = np.bincount(owner[here], gains[at[here]], len(ids)) if len(heavy) else np.zeros(len(ids))
-            keys, owner = keys[~here], owner[~here]
-            shard, names = dealt(keys, shards)
+            if len(heavy):
+                sums += np.bincount(owner[here], gains[at[here]], len(ids))
+            owner = (owner * 2 + last).astype(np.uint16)
+            keys, owner, words = keys[~here], owner[~here], words[~here]
+            shard, names = dealt(keys, words, shards), keys
             order = np.lexsort((names, shard))
             shard, names, owner = shard[order], names[order], owner[order]
             starts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.zeros(0, np.int64)
@@ -227,25 +259,26 @@ def score_documents(docs: DataFrame, target: DataFrame) -> DataFrame:
             for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("raw").to_pylist()):
                 ids.append(-1 if doc is None else doc)
                 parts.append(model.bigrams(raw))
-                size += len(parts[-1])
-                if size >= FLUSH_TOKENS or len(ids) == 65_000:
+                size += len(parts[-1][0])
+                if size >= FLUSH_TOKENS or len(ids) == 32_000:
                     yield from flush(ids, parts)
                     ids, parts, size, lot = [], [], 0, lot + 1
         if ids:
             yield from flush(ids, parts)
 
     def answer(asked: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
-        model, out = held.value, []
+        out = []
         if len(counted):
-            names = np.frombuffer(counted["names"].iloc[0], np.uint32)
-            n, t = (np.frombuffer(counted[c].iloc[0], np.int64).astype(float) for c in ("n", "t"))
-            gain = model.gain(undealt(int(counted["shard"].iloc[0]), names, shards), n, t)
+            names = np.frombuffer(counted["names"].iloc[0], np.uint64)
+            gain, after = (np.frombuffer(counted[c].iloc[0], float) for c in ("gain", "after"))
         for lot, wanted, owner, sizes, sums in zip(*(asked[c] for c in ("lot", "names", "owner", "sizes", "sums"))):
             if wanted is None:
                 out.append((lot, owner, sizes, sums))
             else:
-                found, at = np.unique(np.frombuffer(owner, np.uint16), return_inverse=True)
-                part = np.bincount(at, gain[np.searchsorted(names, np.frombuffer(wanted, np.uint32))], len(found))
+                owner = np.frombuffer(owner, np.uint16)  # twice the document's place, and 1 for its last token, which begins no bigram
+                found, at = np.unique(owner >> 1, return_inverse=True)
+                place = np.searchsorted(names, np.frombuffer(wanted, np.uint64))
+                part = np.bincount(at, gain[place] + np.where(owner & 1, 0, after[place]), len(found))
                 out.append((lot, found.tobytes(), None, part.astype(np.float32).tobytes()))
         return pd.DataFrame(out, columns=["lot", "owner", "sizes", "sums"])
 
@@ -257,7 +290,7 @@ def score_documents(docs: DataFrame, target: DataFrame) -> DataFrame:
         return pd.DataFrame({"doc_id": ids, "n_tokens": sizes, "score": total / np.maximum(sizes, 1)})
 
     asked = texts.select("doc_id", "raw").mapInArrow(ask, "shard long, lot long, names binary, owner binary, sizes binary, sums binary")
-    answers = asked.groupBy("shard").cogroup(counts.groupBy("shard")).applyInPandas(answer, "lot long, owner binary, sizes binary, sums binary")
+    answers = asked.groupBy("shard").cogroup(counts.select("shard", "names", "gain", "after").groupBy("shard")).applyInPandas(answer, "lot long, owner binary, sizes binary, sums binary")
     return answers.groupBy("lot").applyInPandas(gather, "doc_id long, n_tokens long, score double").withColumn("score", F.round("score", 6))
 
 
