@@ -147,7 +147,10 @@ COUNTED = ("names", "words", "n", "t")
 
 
 def bigram_gains(texts: DataFrame, held, shards: int) -> DataFrame:
-    """(shard, names, words, n, gain, after): each shard's sorted bigrams with second words, counts and gains, packed; after is a rare second word's own part."""
+    """(shard, names, heavy, gain, after): each shard's sorted bigrams with their gains, packed.
+
+    heavy: whether a HEAVY-th of all tokens or more are this bigram, with a common second word; after: a rare second word's own part.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
@@ -194,23 +197,23 @@ def bigram_gains(texts: DataFrame, held, shards: int) -> DataFrame:
         own[:, rare] = [np.bincount(at, z[rare])[at] for z in (n, t)]
         after[rare] = model.context(*own[:, rare])
         gain = model.gain(n, t, *own)
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]]} | {c: [z.tobytes()] for c, z in (("names", names), ("words", words), ("n", n), ("gain", gain), ("after", after))})
+        heavy = np.where(rare | (n < max(2, model.tokens // HEAVY)), 0, 1).astype(np.uint8)
+        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]]} | {c: [z.tobytes()] for c, z in (("names", names), ("heavy", heavy), ("gain", gain.astype(np.float32)), ("after", after.astype(np.float32)))})
 
     sent = texts.select("raw", "target").mapInArrow(send, "shard long, names binary, words binary, n binary, t binary")
-    return sent.groupBy("shard").applyInPandas(add, "shard long, names binary, words binary, n binary, gain binary, after binary")
+    return sent.groupBy("shard").applyInPandas(add, "shard long, names binary, heavy binary, gain binary, after binary")
 
 
-def heavy_bigrams(counts: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and gains of the bigrams of common second words with at least a HEAVY-th of all tokens: at most HEAVY of them."""
-    least = max(2, model.tokens // HEAVY)
+def heavy_bigrams(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and gains of the heavy bigrams: at most HEAVY of them."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for names, words, n, gain in zip(*(batch.column(c).to_pylist() for c in ("names", "words", "n", "gain"))):
-                at = np.flatnonzero((np.frombuffer(n, np.int64) >= least) & (np.frombuffer(words, np.uint64) < np.uint64(RARE)))
-                yield pa.RecordBatch.from_pydict({"key": pa.array(np.frombuffer(names, np.int64)[at], pa.int64()), "gain": pa.array(np.frombuffer(gain, float)[at], pa.float64())})
+            for names, heavy, gain in zip(*(batch.column(c).to_pylist() for c in ("names", "heavy", "gain"))):
+                at = np.flatnonzero(np.frombuffer(heavy, np.uint8))
+                yield pa.RecordBatch.from_pydict({"key": pa.array(np.frombuffer(names, np.int64)[at], pa.int64()), "gain": pa.array(np.frombuffer(gain, np.float32)[at].astype(float), pa.float64())})
 
-    rows = counts.select("names", "words", "n", "gain").mapInArrow(pick, "key long, gain double").collect()
+    rows = counts.select("names", "heavy", "gain").mapInArrow(pick, "key long, gain double").collect()
     keys = np.array([r.key for r in rows], np.int64).view(np.uint64)
     order = np.argsort(keys)
     return keys[order], np.array([r.gain for r in rows], float)[order]
@@ -224,7 +227,7 @@ def score_documents(docs: DataFrame, target: DataFrame) -> DataFrame:
     shards = max(4, -(-model.tokens // SHARD_TOKENS))
     held = spark.sparkContext.broadcast(model)
     counts = stored(bigram_gains(texts, held, shards), "bigrams")
-    common = spark.sparkContext.broadcast(heavy_bigrams(counts, model))
+    common = spark.sparkContext.broadcast(heavy_bigrams(counts))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, (heavy, gains) = held.value, common.value
@@ -270,7 +273,7 @@ def score_documents(docs: DataFrame, target: DataFrame) -> DataFrame:
         out = []
         if len(counted):
             names = np.frombuffer(counted["names"].iloc[0], np.uint64)
-            gain, after = (np.frombuffer(counted[c].iloc[0], float) for c in ("gain", "after"))
+            gain, after = (np.frombuffer(counted[c].iloc[0], np.float32).astype(float) for c in ("gain", "after"))
         for lot, wanted, owner, sizes, sums in zip(*(asked[c] for c in ("lot", "names", "owner", "sizes", "sums"))):
             if wanted is None:
                 out.append((lot, owner, sizes, sums))
