@@ -94,11 +94,13 @@ def test_url_index_confirms_collisions(tmp_path, monkeypatch):
     assert index.contains([b"a.com", b"c.com", b"b.com"]).tolist() == [True, False, True]
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("index_bytes", [64 << 20, 0])
+def test_decontamination(spark, monkeypatch, index_bytes):
+    monkeypatch.setattr(decontaminate, "HOT_ROWS", 2)
     w = "zero one two three four five six seven eight nine ten eleven twelve".split()
     bench = [("b1", " ".join(w)), ("b2", "Short Item here"), ("b3", " ... "), ("b4", None), ("b5", "the the the the the the the the the the the"), ("b6", " ".join(w))]
     docs = [(1, "x " + " ".join(w[:10]) + " y"), (2, "x " + " ".join(w[:9]) + " y"), (3, "a short, item-HERE. short item here"), (4, None), (5, ""), (6, "the " * 15), (7, " ".join(w) + " " + " ".join(w)), (8, "É " + " ".join(w).upper())]
-    got = {r.doc_id: (r.n_words, r.n_hit, ",".join(r.items)) for r in decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id string, text string")).collect()}
+    got = {r.doc_id: (r.n_words, r.n_hit, ",".join(r.items)) for r in decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id string, text string"), index_bytes=index_bytes).collect()}
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW))
     for i, t in docs:
         own, hit, items = split(t), set(), set()
@@ -112,3 +114,15 @@ def test_decontamination(spark):
                         items.add(b)
         assert got[i] == (len(own), len(hit), ",".join(sorted(items)))
     assert sum(v[1] > 0 for v in got.values()) == 5
+
+
+@pytest.mark.parametrize("index_bytes", [64 << 20, 0])
+def test_decontamination_of_repeated_and_null_ids(spark, index_bytes):
+    item = "zero one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, item, 5), (1, "just eleven other words that stand in this text for once", 6), (None, item, 7), (1, item, 5)], "doc_id long, text string, window_id int")
+    bench = spark.createDataFrame([("b", item)], "item_id string, text string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.items) for r in decontaminate.contamination(docs, bench, index_bytes=index_bytes).collect())
+    assert got == [(0, 11, 11, ["b"]), (1, 11, 0, []), (1, 11, 11, ["b"]), (1, 11, 11, ["b"])]
+    kept = decontaminate.drop_contaminated(docs, bench, index_bytes=index_bytes)
+    assert kept.columns == docs.columns and [r.window_id for r in kept.collect()] == [6]
+    assert decontaminate.drop_contaminated(docs, bench.filter("false")).count() == 4
