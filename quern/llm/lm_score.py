@@ -1,20 +1,24 @@
 """LM scoring by cross-entropy difference: a target and a background bigram model over one vocabulary.
 
 The vocabulary is every word of all documents. Both models are bigram models smoothed towards their unigrams (Dirichlet):
-p(w | v) = (c(v, w) + M p(w)) / (c(v) + M). A document's score is the mean over its tokens of the background loss less the target
-loss: above 0, it is more like the target.
+p(w | v) = (c(v, w) + M p(w)) / (c(v) + M) with p(w) = (c(w) + 1) / (T + V). The background has every document, its counts
+scaled to the target's T tokens, so that both models are of one size and are smoothed alike. A document is scored by models that
+have not seen it: its own counts are taken out of the background, and out of the target if it belongs to it. The score is the
+mean over its tokens of the background loss less the target loss: above 0, it is more like the target.
 
 Counts cover all documents and grow with them, so no task holds a whole model. The COMMON commonest words at most (those above the
 count at which that many are left, in steps of a 64th of a doubling) have small ids, and their counts are broadcast; every other
-word goes by its 64-bit hash and bigrams by a 64-bit mix of both words, so two share counts with a chance of pairs over 2^64. A bigram
-is dealt to a shard by itself if its second word is common, else by that word, which then has all its counts in one shard: none
-of these words has more than about a COMMON-th of all tokens. About SHARD_TOKENS tokens make a shard. Tasks send sorted keys with
-counts, packed by shard; a shard adds them up. For scoring, tasks send each shard its keys and the documents that hold them, and
-get sums of loss differences by document back. The few bigrams that hold a large share of all tokens (at most HEAVY of them) are
-scored where they stand, so none fills a shard. Only the common words and those bigrams are broadcast; neither bound changes a score.
+word goes by its 64-bit hash and bigrams by a 64-bit mix of both words, so two share counts with a chance of pairs over 2^64. A
+task sends each shard the bigrams of a lot of documents with the documents that hold them, packed. A bigram is dealt to a shard by
+itself if its second word is common, else by that word, which then has all its counts in one shard: none of these words has more
+than about a COMMON-th of all tokens. A shard, of about SHARD_TOKENS tokens, adds up its counts, takes each document's own out and
+returns sums of loss differences by document. The few bigrams that would fill a large part of a shard and hold a HEAVY-th of all
+tokens are counted beforehand (at most HEAVY of them) and scored where they stand. Only the common words and those bigrams are
+broadcast; neither bound changes a score.
 
 Defined cases: a null text, or one without words, has 0 tokens and score 0; words are split at white space, A-Z lower-cased;
-without target documents the target model is uniform; rows with the same doc_id are scored each; empty tables give empty tables.
+without target documents every score is 0; rows with the same doc_id are scored each, and are the target's if their doc_id is; a
+null doc_id stays null and is never the target's; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -30,15 +34,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plan_bytes, slices, stored, table, text_bytes
+from .common import slices, stored, table, text_bytes
 
 COMMON, SMOOTHING, SHARD_TOKENS, HEAVY = 65_534, 200.0, 500_000, 20_000
-#: Tokens that a task gathers before it sends them on.
-FLUSH_TOKENS = 500_000
-#: Labels are broadcast to mark target documents only up to this size.
-BROADCAST_BYTES = 32 << 20
+#: Tokens and documents of a lot, which a task gathers before it sends them on.
+FLUSH_TOKENS, FLUSH_DOCS = 500_000, 16_000
+#: Target documents are marked by a broadcast of their ids only up to this number.
+BROADCAST_IDS = 2_000_000
 #: Set in the ids of words that aren't common.
 RARE = 1 << 63
+NO_ID = -(1 << 63)
 
 
 class Ids(dict):
@@ -61,39 +66,38 @@ class Model:
 
     def __init__(self, rows: list[tuple[bytes, int, int]], totals: tuple[int, int, int, int], words: int):
         self.ids = Ids({w: i + 1 for i, (w, _, _) in enumerate(rows)})
-        self.start, self.words = len(rows) + 1, words + 1
-        self.tokens, self.totals = totals[0], totals[:2]
+        self.start, self.tokens = len(rows) + 1, totals[0]
+        self.scale, self.size = totals[1] / max(1, totals[0]), totals[1] + words + 1
         self.counts = np.zeros((2, self.start + 1))
         self.counts[:, 1 : self.start] = np.array([r[1:] for r in rows], float).reshape(-1, 2).T
         self.counts[:, self.start] = totals[2:]
-        self.after = self.context(*self.counts)
 
     def context(self, n: np.ndarray, t: np.ndarray) -> np.ndarray:
-        """What a word adds to the gain of the bigram that it begins."""
-        return np.log(n + SMOOTHING) - np.log(t + SMOOTHING)
+        """What a word adds to the gain of a bigram that it begins, from its counts without the document's."""
+        return np.log(self.scale * n + SMOOTHING) - np.log(t + SMOOTHING)
 
     def gain(self, n: np.ndarray, t: np.ndarray, own_n: np.ndarray, own_t: np.ndarray) -> np.ndarray:
         """log p_target - log p_background of bigrams but for their first word's part, from their counts and their second word's."""
-        p = [c + SMOOTHING * (own + 1) / (total + self.words) for c, own, total in zip((n, t), (own_n, own_t), self.totals)]
-        return np.log(p[1]) - np.log(p[0])
+        m = SMOOTHING / self.size
+        return np.log(t + m * (own_t + 1)) - np.log(self.scale * n + m * (self.scale * own_n + 1))
 
-    def bigrams(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The key of each token's bigram, and the ids of its words."""
-        ids = np.array([self.ids[w] for w in raw.lower().split()], np.uint64)
-        before = np.append(np.uint64(self.start), ids[:-1]) if len(ids) else ids
-        with np.errstate(over="ignore"):
-            return mixed(mixed(before) + ids), before, ids
+    def word_ids(self, raw: bytes) -> np.ndarray:
+        return np.array([self.ids[w] for w in raw.lower().split()], np.uint64)
 
 
-def dealt(keys: np.ndarray, words: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each bigram with its second word."""
-    return (mixed(np.where(words >= np.uint64(RARE), words, keys)) % np.uint64(shards)).astype(np.int64)
+def packed(x: np.ndarray) -> bytes:
+    """Counts in the least bytes that hold them all."""
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0)).tobytes()
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, f"u{max(1, len(raw) // max(1, n))}")
 
 
 def marked(docs: DataFrame, target: DataFrame) -> DataFrame:
     """(doc_id, raw, target): target holds doc_ids."""
     ids = target.select(F.col("doc_id").cast("long").alias("doc_id")).filter(F.col("doc_id").isNotNull()).distinct().withColumn("_t", F.lit(True))
-    if plan_bytes(target) <= BROADCAST_BYTES:
+    if target.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("raw"))
     return own.join(ids, "doc_id", "left").select("doc_id", "raw", F.coalesce("_t", F.lit(False)).alias("target"))
@@ -143,80 +147,137 @@ def unigram_models(texts: DataFrame) -> Model:
     return Model([(bytes(r.word), r.n, r.t) for r in top], (totals.n, totals.t, totals.docs, totals.own_docs) if totals else (0, 0, 0, 0), sum(row.words for row in steps))
 
 
-COUNTED = ("names", "words", "n", "t")
+def heavy_bigrams(texts: DataFrame, held, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes, in order, and both counts of the bigrams that occur bound times or more: only words as frequent can make one."""
+    model = held.value
+    if not (model.counts[0, 1:] >= bound).sum():
+        return np.zeros(0, np.uint32), np.zeros((2, 0))
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
+        frequent = np.append(model.counts[0] >= bound, False)
+        found = Counter(), Counter()
 
-def bigram_gains(texts: DataFrame, held, shards: int) -> DataFrame:
-    """(shard, names, heavy, gain, after): each shard's sorted bigrams with their gains, packed.
+        def flush():
+            return pa.RecordBatch.from_pydict({"code": pa.array(list(found[0]), pa.int64()), "n": pa.array(list(found[0].values()), pa.int64()), "t": pa.array([found[1][c] for c in found[0]], pa.int64())})
 
-    heavy: whether a HEAVY-th of all tokens or more are this bigram, with a common second word; after: a rare second word's own part.
+        for batch in slices(batches, "raw"):
+            for mine in (False, True):
+                own = [model.word_ids(raw) for raw, m in zip(batch.column("raw").to_pylist(), batch.column("target").to_pylist()) if m == mine]
+                for ids in own:
+                    w = np.append(np.uint64(model.start), np.minimum(ids, np.uint64(model.start + 1))).astype(np.int64)
+                    at = np.flatnonzero(frequent[w[1:]] & frequent[w[:-1]])
+                    codes, n = np.unique(w[at] << 16 | w[at + 1], return_counts=True)
+                    for k in range(1 + mine):
+                        for c, x in zip(codes.tolist(), n.tolist()):
+                            found[k][c] += x
+            if len(found[0]) > 300_000:
+                yield flush()
+                found[0].clear()
+                found[1].clear()
+        yield flush()
+
+    sums = texts.select("raw", "target").mapInArrow(count, "code long, n long, t long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    rows = sorted(sums.filter(F.col("n") >= bound).collect())  # at most HEAVY
+    return np.array([r.code for r in rows], np.uint32), np.array([(r.n, r.t) for r in rows], float).reshape(-1, 2).T
+
+
+PARTS = ("names", "words", "place", "own", "word")
+
+
+def sent_lots(texts: DataFrame, held, heavy, shards: int) -> DataFrame:
+    """(shard, lot, names, words, place, own, word, sizes, sums): what each shard has to score, and a row for each lot.
+
+    names: bigrams, both words common (32 bits, words is null) or with a hash (64 bits, words has the second); place: 4 times the
+    document's place in its lot, 2 more in the target, 1 more if the bigram ends it; own, word: the document's counts of the
+    bigram and of its second word. A lot's own row has doc_ids, sizes and the sums of what needs no shard.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
+        model, (codes, heavy_counts), task = held.value, heavy.value, TaskContext.get().partitionId()
 
-        def flush(parts, words, own):
-            keys, first, at = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
-            words = np.concatenate(words)[first]
-            n = np.bincount(at, minlength=len(keys)).astype(np.uint32)
-            t = np.bincount(at, np.repeat(own, [len(p) for p in parts]), len(keys)).astype(np.uint32)
-            shard = dealt(keys, words, shards)
-            order = np.argsort(shard, kind="stable")
-            shard, columns = shard[order], [z[order] for z in (keys, words, n, t)]
-            starts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
-            ends = np.append(starts[1:], len(shard))
-            yield pa.RecordBatch.from_pydict({"shard": pa.array(shard[starts], pa.int64())} | {c: pa.array([z[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()) for c, z in zip(COUNTED, columns)})
-
-        parts, words, own, size = [], [], [], 0
+        def flush(docs, parts, flags, lot):
+            sizes = np.array([len(p) for p in parts])
+            w = np.concatenate(parts)
+            flags = np.array(flags, np.int64)
+            owner = np.repeat(np.arange(len(parts)), sizes)
+            first = np.append(True, owner[1:] != owner[:-1])[: len(w)]
+            last = np.append(owner[1:] != owner[:-1], True)[: len(w)]
+            local = pd.factorize(w)[0].astype(np.int64)
+            group = pd.factorize(owner * (len(w) + 1) + local)[0].astype(np.int64)
+            word = np.bincount(group)[group] if len(w) else group  # the document's count of each token's word
+            before, own_before, local_before = (np.where(first, s, np.roll(x, 1)) for x, s in ((w, w.dtype.type(model.start)), (word, 1), (local, len(w))))
+            rare_before = before >= np.uint64(RARE)
+            at = np.where(rare_before, 0, before).astype(np.int64)
+            part = model.context(model.counts[0][at] - own_before, model.counts[1][at] - flags[owner] * own_before)
+            sums = np.bincount(owner, np.where(rare_before, 0, part), len(docs))
+            # one row for each bigram of a document
+            pair = pd.factorize(group * (len(w) + 1) + local_before)[0]
+            own = np.bincount(pair)
+            ends = np.bincount(pair, last).astype(np.int64)
+            pick = np.zeros(len(own), np.int64)
+            pick[pair[::-1]] = np.arange(len(pair))[::-1]
+            w, before, owner, word = w[pick], before[pick], owner[pick], word[pick]
+            both = (w < np.uint64(RARE)) & (before < np.uint64(RARE))
+            code = np.where(both, before << np.uint64(16) | w, 0).astype(np.uint32)
+            if len(codes):
+                spot = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+                here = both & (codes[spot] == code)
+                spot, c, f, i = spot[here], own[here], flags[owner[here]], w[here].astype(np.int64)
+                gain = model.gain(heavy_counts[0][spot] - c, heavy_counts[1][spot] - f * c, model.counts[0][i] - word[here], model.counts[1][i] - f * word[here])
+                sums += np.bincount(owner[here], c * gain, len(docs))
+                w, before, owner, word, own, ends, both, code = (x[~here] for x in (w, before, owner, word, own, ends, both, code))
+            place = (owner * 4 + flags[owner] * 2 + ends).astype(np.uint16)
+            rows = []
+            for kind in (True, False):
+                k = both == kind
+                with np.errstate(over="ignore"):
+                    names = code[k] if kind else mixed(mixed(before[k]) + w[k])
+                shard = (mixed(np.where(w[k] >= np.uint64(RARE), w[k], names.astype(np.uint64))) % np.uint64(shards)).astype(np.int64)
+                order = np.lexsort((names, shard))
+                shard, names, words, p, o, c = (x[order] for x in (shard, names, w[k], place[k], own[k], word[k]))
+                starts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else []
+                for a, b in zip(starts, np.append(starts[1:], len(shard))):
+                    rows.append((int(shard[a]), names[a:b].tobytes(), None if kind else words[a:b].tobytes(), p[a:b].tobytes(), packed(o[a:b]), packed(c[a:b]), None, None))
+            rows.append(((task + lot) % shards, np.array(docs, np.int64).tobytes(), None, None, None, None, sizes.astype(np.int64).tobytes(), sums.tobytes()))
+            columns = {c: pa.array([r[i] for r in rows], pa.binary()) for i, c in enumerate((*PARTS, "sizes", "sums"), 1)}
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([r[0] for r in rows], pa.int64()), "lot": pa.array([task << 32 | lot] * len(rows), pa.int64())} | columns)
+
+        docs, parts, flags, size, lot = [], [], [], 0, 0
         for batch in slices(batches, "raw"):
-            for raw, mine in zip(batch.column("raw").to_pylist(), batch.column("target").to_pylist()):
-                b, _, ids = model.bigrams(raw)
-                if len(b):
-                    parts.append(b)
-                    words.append(ids)
-                    own.append(float(mine))
-                    size += len(b)
-                if size >= FLUSH_TOKENS:
-                    yield from flush(parts, words, own)
-                    parts, words, own, size = [], [], [], 0
-        if size:
-            yield from flush(parts, words, own)
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        model = held.value
-        names, words, n, t = (np.frombuffer(b"".join(pdf[c]), z) for c, z in zip(COUNTED, (np.uint64, np.uint64, np.uint32, np.uint32)))
-        order = np.argsort(names, kind="stable")
-        names = names[order]
-        starts = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
-        n, t = (np.add.reduceat(z[order].astype(np.int64), starts) for z in (n, t))
-        names, words = names[starts], words[order][starts]
-        rare = words >= np.uint64(RARE)
-        own, after = np.zeros((2, len(names))), np.zeros(len(names))
-        own[:, ~rare] = model.counts[:, words[~rare].astype(np.int64)]
-        at = np.unique(words[rare], return_inverse=True)[1]
-        own[:, rare] = [np.bincount(at, z[rare])[at] for z in (n, t)]
-        after[rare] = model.context(*own[:, rare])
-        gain = model.gain(n, t, *own)
-        heavy = np.where(rare | (n < max(2, model.tokens // HEAVY)), 0, 1).astype(np.uint8)
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]]} | {c: [z.tobytes()] for c, z in (("names", names), ("heavy", heavy), ("gain", gain.astype(np.float32)), ("after", after.astype(np.float32)))})
-
-    sent = texts.select("raw", "target").mapInArrow(send, "shard long, names binary, words binary, n binary, t binary")
-    return sent.groupBy("shard").applyInPandas(add, "shard long, names binary, heavy binary, gain binary, after binary")
-
-
-def heavy_bigrams(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and gains of the heavy bigrams: at most HEAVY of them."""
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for names, heavy, gain in zip(*(batch.column(c).to_pylist() for c in ("names", "heavy", "gain"))):
-                at = np.flatnonzero(np.frombuffer(heavy, np.uint8))
-                yield pa.RecordBatch.from_pydict({"key": pa.array(np.frombuffer(names, np.int64)[at], pa.int64()), "gain": pa.array(np.frombuffer(gain, np.float32)[at].astype(float), pa.float64())})
-
-    rows = counts.select("names", "heavy", "gain").mapInArrow(pick, "key long, gain double").collect()
-    keys = np.array([r.key for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], np.array([r.gain for r in rows], float)[order]
+            for doc, raw, mine in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "raw", "target"))):
+                docs.append(NO_ID if doc is None else doc)
+                parts.append(model.word_ids(raw))
+                flags.append(mine)
+                size += len(parts[-1])
+                if size >= FLUSH_TOKENS or len(docs) == FLUSH_DOCS:
+                    yield from flush(docs, parts, flags, lot)
+                    docs, parts, flags, size, lot = [], [], [], 0, lot + 1
+        if docs:
+            yield from flush(docs, parts, flags, lot)
+
+    return texts.mapInArrow(send, "shard long, lot long, " + ", ".join(f"{c} binary" for c in (*PARTS, "sizes", "sums")))
+
+
+def shard_sums(model: Model, rows: pd.DataFrame, kind: bool, lots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the bigrams of one kind in a shard: 2^14 times the lot plus the document's place, and its sum of loss differences."""
+    names = [np.frombuffer(x, np.uint32 if kind else np.uint64) for x in rows["names"]]
+    counts = [len(x) for x in names]
+    own, word = (np.concatenate([unpacked(x, n) for x, n in zip(rows[c], counts)]).astype(np.int64) for c in ("own", "word"))
+    place = np.concatenate([np.frombuffer(x, np.uint16) for x in rows["place"]]).astype(np.int64)
+    names = np.concatenate(names)
+    w = (names & np.uint32(65535)).astype(np.uint64) if kind else np.concatenate([np.frombuffer(x, np.uint64) for x in rows["words"]])
+    flag, doc = place >> 1 & 1, np.repeat(lots, counts) << 14 | place >> 2
+    at = pd.factorize(names)[0]
+    n, t = np.bincount(at, own)[at] - own, np.bincount(at, own * flag)[at] - own * flag
+    rare = w >= np.uint64(RARE)
+    uni = model.counts[:, np.where(rare, 0, w).astype(np.int64)]
+    if rare.any():
+        by = pd.factorize(w[rare])[0]
+        uni[:, rare] = [np.bincount(by, x[rare])[by] for x in (own, own * flag)]
+    uni -= word, word * flag
+    sums = own * model.gain(n, t, *uni) + np.where(rare, (own - (place & 1)) * model.context(*uni), 0)
+    return doc, sums
 
 
 def score_documents(docs: DataFrame, target: DataFrame) -> DataFrame:
@@ -226,63 +287,24 @@ def score_documents(docs: DataFrame, target: DataFrame) -> DataFrame:
     model = unigram_models(texts)
     shards = max(4, -(-model.tokens // SHARD_TOKENS))
     held = spark.sparkContext.broadcast(model)
-    counts = stored(bigram_gains(texts, held, shards), "bigrams")
-    common = spark.sparkContext.broadcast(heavy_bigrams(counts))
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, (heavy, gains) = held.value, common.value
-        lot, task = 0, TaskContext.get().partitionId()
-
-        def flush(ids, parts):
-            sizes = np.array([len(p[0]) for p in parts])
-            keys, before, words = (np.concatenate(z) for z in zip(*parts))
-            owner = np.repeat(np.arange(len(parts)), sizes)
-            last = np.append(owner[1:] != owner[:-1], True)[: len(keys)]
-            common = before < np.uint64(RARE)
-            sums = np.bincount(owner[common], model.after[before[common].astype(np.int64)], len(ids))
-            at = np.minimum(np.searchsorted(heavy, keys), max(0, len(heavy) - 1))
-            here = heavy[at] == keys if len(heavy) else np.zeros(len(keys), bool)
-            if len(heavy):
-                sums += np.bincount(owner[here], gains[at[here]], len(ids))
-            owner = (owner * 2 + last).astype(np.uint16)
-            keys, owner, words = keys[~here], owner[~here], words[~here]
-            shard, names = dealt(keys, words, shards), keys
-            order = np.lexsort((names, shard))
-            shard, names, owner = shard[order], names[order], owner[order]
-            starts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.zeros(0, np.int64)
-            rows = [(int(shard[a]), names[a:b].tobytes(), owner[a:b].tobytes(), None, None) for a, b in zip(starts, np.append(starts[1:], len(shard)))]
-            rows.append(((task + lot) % shards, None, np.array(ids, np.int64).tobytes(), sizes.astype(np.int64).tobytes(), sums.tobytes()))
-            yield pa.RecordBatch.from_pydict(
-                {"shard": pa.array([r[0] for r in rows], pa.int64()), "lot": pa.array([task << 32 | lot] * len(rows), pa.int64())}
-                | {c: pa.array([r[i] for r in rows], pa.binary()) for i, c in ((1, "names"), (2, "owner"), (3, "sizes"), (4, "sums"))}
-            )
-
-        ids, parts, size = [], [], 0
-        for batch in slices(batches, "raw"):
-            for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("raw").to_pylist()):
-                ids.append(-1 if doc is None else doc)
-                parts.append(model.bigrams(raw))
-                size += len(parts[-1][0])
-                if size >= FLUSH_TOKENS or len(ids) == 32_000:
-                    yield from flush(ids, parts)
-                    ids, parts, size, lot = [], [], 0, lot + 1
-        if ids:
-            yield from flush(ids, parts)
-
-    def answer(asked: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(counted):
-            names = np.frombuffer(counted["names"].iloc[0], np.uint64)
-            gain, after = (np.frombuffer(counted[c].iloc[0], np.float32).astype(float) for c in ("gain", "after"))
-        for lot, wanted, owner, sizes, sums in zip(*(asked[c] for c in ("lot", "names", "owner", "sizes", "sums"))):
-            if wanted is None:
-                out.append((lot, owner, sizes, sums))
-            else:
-                owner = np.frombuffer(owner, np.uint16)  # twice the document's place, and 1 for its last token, which begins no bigram
-                found, at = np.unique(owner >> 1, return_inverse=True)
-                place = np.searchsorted(names, np.frombuffer(wanted, np.uint64))
-                part = np.bincount(at, gain[place] + np.where(owner & 1, 0, after[place]), len(found))
-                out.append((lot, found.tobytes(), None, part.astype(np.float32).tobytes()))
+    heavy = spark.sparkContext.broadcast(heavy_bigrams(texts, held, max(2, SHARD_TOKENS // 4, model.tokens // HEAVY)))
+
+    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        whole = pdf["sizes"].notna()
+        out = list(zip(*(pdf[whole][c] for c in ("lot", "names", "sizes", "sums"))))
+        codes, lots = pd.factorize(pdf["lot"])
+        found = []
+        for kind in (True, False):
+            k = (~whole & (pdf["words"].isna() == kind)).to_numpy()
+            if k.any():
+                found.append(shard_sums(held.value, pdf[k], kind, codes[k].astype(np.int64)))
+        if found:
+            owner, sums = (np.concatenate(x) for x in zip(*found))
+            owner, at = np.unique(owner, return_inverse=True)
+            sums = np.bincount(at, sums).astype(np.float32)
+            starts = np.flatnonzero(np.append(True, owner[1:] >> 14 != owner[:-1] >> 14))
+            for a, b in zip(starts, np.append(starts[1:], len(owner))):
+                out.append((lots[owner[a] >> 14], (owner[a:b] & 16383).astype(np.uint16).tobytes(), None, sums[a:b].tobytes()))
         return pd.DataFrame(out, columns=["lot", "owner", "sizes", "sums"])
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -290,10 +312,10 @@ def score_documents(docs: DataFrame, target: DataFrame) -> DataFrame:
         ids, sizes, total = np.frombuffer(whole["owner"], np.int64), np.frombuffer(whole["sizes"], np.int64), np.frombuffer(whole["sums"], float).copy()
         for owner, sums in zip(*(pdf[pdf["sizes"].isna()][c] for c in ("owner", "sums"))):
             total[np.frombuffer(owner, np.uint16)] += np.frombuffer(sums, np.float32)
-        return pd.DataFrame({"doc_id": ids, "n_tokens": sizes, "score": total / np.maximum(sizes, 1)})
+        return pd.DataFrame({"doc_id": pd.arrays.IntegerArray(ids.copy(), ids == NO_ID), "n_tokens": sizes, "score": total / np.maximum(sizes, 1)})
 
-    asked = texts.select("doc_id", "raw").mapInArrow(ask, "shard long, lot long, names binary, owner binary, sizes binary, sums binary")
-    answers = asked.groupBy("shard").cogroup(counts.select("shard", "names", "gain", "after").groupBy("shard")).applyInPandas(answer, "lot long, owner binary, sizes binary, sums binary")
+    asked = sent_lots(texts, held, heavy, shards).repartition(shards, "shard")
+    answers = asked.groupBy("shard").applyInPandas(answer, "lot long, owner binary, sizes binary, sums binary")
     return answers.groupBy("lot").applyInPandas(gather, "doc_id long, n_tokens long, score double").withColumn("score", F.round("score", 6))
 
 

@@ -165,28 +165,52 @@ def test_quality_counts(spark):
         assert tuple(got[i][n] for n in quality_rules.COUNTS) == (len(w), sum(map(len, w)), sum(ch in "#*$%&|<>" for ch in t), dup, len(cover))
 
 
-@pytest.mark.parametrize("flush", [500_000, 40])
-def test_lm_scores(spark, monkeypatch, flush):
+@pytest.mark.parametrize(("flush", "shard"), [(500_000, 500_000), (40, 500_000), (3000, 40)])
+def test_lm_scores(spark, monkeypatch, flush, shard):
+    """Each row against models of all rows but itself, the background scaled to the target's size."""
     monkeypatch.setattr(lm_score, "FLUSH_TOKENS", flush)
-    docs, target = documents(spark), labels(spark).filter("quality = 1")
-    got = {r.doc_id: (r.n_tokens, r.score) for r in lm_score.score_documents(docs, target).collect()}
-    own = {r.doc_id for r in target.collect()}
-    toks = {i: (t or "").lower().split() for i, t in enumerate(texts())}
-    vocab = {w for t in toks.values() for w in t}
+    monkeypatch.setattr(lm_score, "SHARD_TOKENS", shard)
+    docs = documents(spark, [rows()[5], (5, "the same id with another text", *rows()[5][2:]), (None, texts()[7], *rows()[5][2:])])
+    every = [(i, t) for i, t, *_ in docs.select("doc_id", "text").collect()]
+    target = labels(spark).filter("quality = 1")
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.score) for r in lm_score.score_documents(docs, target).collect())
+    assert sum(r.doc_id is None for r in lm_score.score_documents(docs, target).collect()) == 1
+    own = {r.doc_id for r in target.collect()} - {None}
+    toks = [(i, (t or "").lower().split()) for i, t in every]
     uni, bi = [Counter(), Counter()], [Counter(), Counter()]
-    for i, t in toks.items():
+    for i, t in toks:
         for k in (0, 1):
             if t and (k == 0 or i in own):
-                uni[k].update(t)
-                uni[k][None] += 1
+                uni[k].update([None, *t])
                 bi[k].update(zip([None, *t], t))
-    n = len(vocab) + 1
-    for i, t in toks.items():
-        want = 0.0
+    size = [sum(u.values()) - u[None] for u in uni]
+    scale, base = (size[1] / size[0], 1), size[1] + len(uni[0])
+    want = []
+    for i, t in toks:
+        seen, pairs = Counter([None, *t]), Counter(zip([None, *t], t))
+        total = 0.0
         for v, w in zip([None, *t], t):
-            p = [(bi[k][v, w] + 200 * (uni[k][w] + 1) / (sum(uni[k].values()) - uni[k][None] + n)) / (uni[k][v] + 200) for k in (0, 1)]
-            want += math.log(p[1] / p[0])
-        assert got[i][0] == len(t) and abs(got[i][1] - want / max(1, len(t))) < 2e-5
+            left = [[scale[k] * (c[x] - d[x] * (k == 0 or i in own)) for c, d, x in ((bi[k], pairs, (v, w)), (uni[k], seen, w), (uni[k], seen, v))] for k in (0, 1)]
+            p = [(both + 200 * (word + 1) / base) / (first + 200) for both, word, first in left]
+            total += math.log(p[1] / p[0])
+        want.append((-1 if i is None else i, len(t), total / max(1, len(t))))
+    assert len(got) == len(want)
+    assert all(g[:2] == x[:2] and abs(g[2] - x[2]) < 2e-5 for g, x in zip(got, sorted(want)))
+
+
+def test_lm_without_target(spark):
+    docs = documents(spark)
+    assert {r.score for r in lm_score.score_documents(docs, labels(spark).filter("false")).collect()} == {0.0}
+
+
+def test_lm_score_does_not_tell_the_target_sample(spark):
+    """Texts of one kind score alike whether they are in the target's sample or not; texts of another kind score lower."""
+    kind = lambda i: words(80, 50 + i, 120) if i % 2 else [f"v{w}" for w in words(80, 50 + i, 120)]
+    docs = spark.createDataFrame([(i, " ".join(kind(i))) for i in range(160)], "doc_id long, text string")
+    target = docs.filter("doc_id % 4 = 1").select("doc_id")
+    score = {r.doc_id: r.score for r in lm_score.score_documents(docs, target).collect()}
+    sample, rest, other = ([score[i] for i in score if f(i)] for f in (lambda i: i % 4 == 1, lambda i: i % 4 == 3, lambda i: i % 2 == 0))
+    assert min(sample + rest) > 0 > max(other) and abs(np.mean(sample) - np.mean(rest)) < 0.1 * (np.mean(rest) - np.mean(other))
 
 
 def test_lm_of_nothing(spark):
