@@ -54,6 +54,21 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             yield batch.slice(start)
 
 
+#: The most keys that can each hold an equal share of all rows, and so be broadcast.
+HOT_KEYS = 1000
+
+
+def by_group(rows: DataFrame, groups: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined to groups by key, where no key fills a task.
+
+    groups: one row a key, with n, the number of rows that have it. A key with more than a HOT_KEYS-th of the total rows (and more than
+    1,000) is hot: there are HOT_KEYS of those at most, so their groups are broadcast and their rows stay where they are.
+    """
+    bound = max(1000, total // HOT_KEYS)
+    hot, cold = F.broadcast(groups.filter(F.col("n") > bound).drop("n")), groups.filter(F.col("n") <= bound).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key, how))
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Spark's own estimate of a table's size, from metadata."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

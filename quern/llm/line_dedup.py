@@ -25,13 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plan_bytes, slices, stored, table, text_bytes
+from .common import by_group, plan_bytes, slices, stored, table, text_bytes
 
 BLANKS = b" \t\n\x0b\x0c\r"
 #: Positions of a key, bits of a chunk of the filters, and the smallest and largest filter (128 MB).
 PROBES, CHUNK_BITS, MIN_BITS, MAX_BITS = 3, 1 << 20, 1 << 20, 1 << 30
-#: The most keys that can each hold an equal share of all suspects, and so be broadcast.
-HOT_KEYS = 1000
 #: Keys that a task gathers before it sends their positions on.
 FLUSH_KEYS = 200_000
 
@@ -140,12 +138,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> D
     found = stored(suspects(docs, filter_bits(plan_bytes(docs)), min_chars), "line-suspects")
     counted = found.groupBy("key").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keep"))
     repeated = stored(counted.filter(F.col("n") >= min_docs), "repeated-lines")
-    # a key with a large share of all suspects would fill one task: there are HOT_KEYS of those at most, and they are broadcast
-    bound = max(1000, found.count() // HOT_KEYS)
-    hot, cold = repeated.filter(F.col("n") > bound).select("key", "keep"), repeated.filter(F.col("n") <= bound).select("key", "keep")
-    common = found.join(F.broadcast(hot), "key")
-    rest = found.join(F.broadcast(hot), "key", "left_anti").join(cold, "key")
-    lost = common.unionByName(rest).filter(F.col("doc_id") != F.col("keep")).select("doc_id", "key")
+    lost = by_group(found, repeated, "key", found.count()).filter(F.col("doc_id") != F.col("keep")).select("doc_id", "key")
     return lost.groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
 
 

@@ -20,8 +20,9 @@ A pair at similarity 0.8 shares no bucket with probability (1 - 0.8^6)^32 = 6e-5
 pair at 0.8 with probability below 1e-9; the blocks drop none.
 
 Defined cases: a null text, or one without words, is a class of its own; a text of fewer words than a shingle is one shingle;
-words are split at white space and A-Z lower-cased; with weighted=False (the default) an element counts once, else by its
-number; rows with the same doc_id are one document if their texts are equal; an empty table gives an empty table.
+words are split at white space and A-Z lower-cased; an element's weight is the number of times that the text has it, or 1 with
+weighted=False; rows with the same doc_id are one document, for which any of their texts may stand if they differ; a null doc_id
+has a null class and its rows stay; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table, text_bytes
+from .common import by_group, slices, stored, table, text_bytes
 
 BANDS, ROWS = 32, 6
 COORDINATES = BANDS * ROWS
@@ -200,7 +201,7 @@ def similar(pairs: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def bucket_blocks(held: DataFrame, shorts: DataFrame, cells: DataFrame) -> DataFrame:
+def bucket_blocks(held: DataFrame, shorts: DataFrame, cells: DataFrame, total: int) -> DataFrame:
     """(key, outside, block, m): the members of each bucket of more than two members and one class, in blocks.
 
     held: (key, id, class). outside: not of the bucket's largest class. m: array<struct<id, class, bands, cells>>.
@@ -212,7 +213,7 @@ def bucket_blocks(held: DataFrame, shorts: DataFrame, cells: DataFrame) -> DataF
     members = F.when(outside, F.col("n") - F.col("main.n")).otherwise(F.col("main.n"))
     size = F.when(outside, F.col("b") - F.col("main.b")).otherwise(F.col("main.b"))
     number = F.greatest(F.ceil(members / BLOCK_MEMBERS), F.ceil(size / BLOCK_BYTES), F.lit(1))
-    dealt = held.join(most, "key").select("key", "id", "class", outside.alias("outside"), F.pmod(F.xxhash64("id", F.lit(97)), number).alias("block"))
+    dealt = by_group(held, stored(most.withColumn("all", F.col("n")), "most"), "key", total).withColumnRenamed("all", "n").select("key", "id", "class", outside.alias("outside"), F.pmod(F.xxhash64("id", F.lit(97)), number).alias("block"))
     full = dealt.join(shorts.select("id", "bands"), "id").join(cells, "id")
     return full.groupBy("key", "outside", "block").agg(F.collect_list(F.struct("id", "class", "bands", "cells")).alias("m"))
 
@@ -236,12 +237,12 @@ def shared_cells(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def block_links(held: DataFrame, shorts: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): links at that exact similarity which join the classes of each bucket. held: (key, id, class).
+def block_links(held: DataFrame, shorts: DataFrame, cells: DataFrame, threshold: float, total: int) -> DataFrame:
+    """(a, b): links at that exact similarity which join the classes of each bucket. held: (key, id, class), total rows.
 
     A pair is compared in the first bucket that it shares. Of two blocks, links that others already imply are left out.
     """
-    blocks = stored(bucket_blocks(held, shorts, cells), "blocks")
+    blocks = stored(bucket_blocks(held, shorts, cells, total), "blocks")
 
     def members(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         ids, classes = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("id", "class"))
@@ -290,38 +291,43 @@ def block_links(held: DataFrame, shorts: DataFrame, cells: DataFrame, threshold:
 def components(edges: DataFrame) -> DataFrame:
     """(id, class): the least id that each node of the undirected edges (a, b) is joined to.
 
-    Every round links each node to the least class among its neighbours' and then jumps along the links; the number of rounds is
-    about the logarithm of the longest path.
+    Every round links each node to the least class among its neighbours', takes its whole class along, and then jumps along the links;
+    the number of rounds is about the logarithm of the longest path. Nodes with many edges and large classes fill no task.
     """
     links = stored(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "links")
-    label = stored(links.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("class")), "labels")
+    label = stored(links.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("class"), F.count("*").alias("n")), "labels")
+    total = links.count()
     while True:
-        near = links.join(label.select(F.col("id").alias("b"), "class"), "b").groupBy(F.col("a").alias("id")).agg(F.min("class").alias("near"))
-        lower = label.join(near, "id", "left").select("id", "class", F.least("class", "near").alias("to"))
-        # what a node learns goes to its class as well, so that whole classes move together
-        moved = lower.groupBy("class").agg(F.min("to").alias("root"))
-        step = lower.join(moved, "class").select("id", F.col("class").alias("was"), F.least("to", "root").alias("class"))
-        jump = step.select(F.col("id").alias("_at"), F.col("class").alias("_further"))
-        new = stored(step.join(jump, step["class"] == jump["_at"], "left").select("id", "was", F.least("class", "_further").alias("class")), "labels")
-        if not new.filter(F.col("class") != F.col("was")).head(1):
-            return label
-        label = new.select("id", "class")
-
-
-def near_duplicate_classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, weighted: bool = False) -> DataFrame:
+        near = by_group(links, label.withColumnRenamed("id", "b"), "b", total).groupBy(F.col("a").alias("id")).agg(F.min("class").alias("near"))
+        lower = stored(label.join(near, "id").select("id", "class", "n", F.least("class", "near").alias("to")), "labels")
+        moved = stored(lower.groupBy("class").agg(F.min("to").alias("root"), F.count("*").alias("n")).filter("root < class"), "moved")
+        if not moved.head(1):
+            return label.select("id", "class")
+        heads = moved.groupBy(F.col("root").alias("at")).agg(F.count("*").alias("n"))
+        further = moved.select(F.col("class").alias("at"), F.col("root").alias("further")).join(heads, "at")
+        jumped = stored(by_group(moved.withColumn("at", F.col("root")), further, "at", total, "left").select("class", F.least("root", "further").alias("root"), "n"), "moved")
+        # n of a node goes under another name while its class has one of its own
+        named = lower.select("id", "class", F.col("n").alias("degree"))
+        label = stored(by_group(named, jumped, "class", total, "left").select("id", F.coalesce("root", "class").alias("class"), F.col("degree").alias("n")), "labels")
+
+
+def near_duplicate_classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, weighted: bool = True) -> DataFrame:
     """(doc_id, class_id): one row for each doc_id, class_id the least doc_id of its class."""
     spark = docs.sparkSession
-    signs = stored(signature_table(docs, words, weighted), "signatures")
-    copies = signs.groupBy("print").agg(F.min("doc_id").alias("id"))
-    member = stored(signs.select("doc_id", "print").join(copies, "print").select("doc_id", "id").groupBy("doc_id").agg(F.min("id").alias("id")), "members")
+    known_ids = docs.filter(F.col("doc_id").isNotNull())
+    signs = stored(signature_table(known_ids, words, weighted), "signatures")
+    copies = stored(signs.groupBy("print").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")).filter("n > 1"), "copies")
+    each = by_group(signs.select("doc_id", "print"), copies, "print", signs.count(), "left")
+    member = stored(each.groupBy("doc_id").agg(F.min(F.coalesce("id", "doc_id")).alias("id")), "members")
     first = member.filter(F.col("doc_id") == F.col("id")).select("id")
     reps = signs.join(first, signs.doc_id == first.id).dropDuplicates(["id"])
     spread = reps.select("id", F.explode("bands").alias("key"))
-    shared = spread.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    buckets = stored(spread.join(shared, "key", "left_semi").select("key", "id"), "buckets")
+    shared = spread.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    buckets = stored(spread.join(shared, "key").select("key", "id"), "buckets")
+    total = buckets.count()
     met = buckets.select("id").distinct()
     shorts = stored(reps.join(met, "id", "left_semi").select("id", "short", "bands"), "shorts")
-    candidates = docs.withColumn("_id", F.col("doc_id").cast("long")).join(met.withColumnRenamed("id", "_id"), "_id", "left_semi").dropDuplicates(["_id"])
+    candidates = known_ids.withColumn("_id", F.col("doc_id").cast("long")).join(met.withColumnRenamed("id", "_id"), "_id", "left_semi").dropDuplicates(["_id"])
     cells = stored(shingle_table(candidates, words, weighted), "shingles")
 
     edges = spark.createDataFrame([], "a long, b long")
@@ -331,11 +337,12 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, threshold: float = 0
         known = label.withColumnRenamed("class", "_class")
         held = buckets.join(known, "id", "left").select("key", "id", F.coalesce("_class", "id").alias("class"))
         order = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
-        ends = held.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "class")).alias("lead"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high")
+        ends = held.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "class")).alias("lead"), F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n")).filter("low <> high")
         if turn < ROUNDS:
-            pairs = held.join(ends.select("key", "lead"), "key").filter(F.col("class") != F.col("lead.class")).select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"))
+            led = by_group(held, stored(ends.select("key", "lead", "n"), "ends"), "key", total)
+            pairs = led.filter(F.col("class") != F.col("lead.class")).select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"))
         else:
-            found = stored(block_links(held, shorts, cells, threshold), "edges")
+            found = stored(block_links(held, shorts, cells, threshold, total), "edges")
             edges = edges.union(found)
             if found.head(1):
                 label = components(edges)
@@ -357,9 +364,9 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, threshold: float = 0
 
 
 def keep_one(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
-    """docs with one document, the least doc_id, of each class of near duplicates."""
-    kept = near_duplicate_classes(docs, words, threshold).filter(F.col("doc_id") == F.col("class_id")).select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """docs with one document, the least doc_id, of each class of near duplicates; rows without a doc_id stay."""
+    gone = near_duplicate_classes(docs, words, threshold).filter(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti").select(*docs.columns)
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,11 +13,12 @@ from quern.llm import lm_score, near_dedup, pii, quality, quality_rules, secrets
 from tests.llm.fixtures import SCHEMA, documents, labels, rows, texts, words
 
 
-def brute_classes(docs, size=5, least=0.8):
+def brute_classes(docs, weighted=True, size=5, least=0.8):
     sets = []
     for _, t in docs:
         w = (t or "").lower().split()
-        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+        own = Counter(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else Counter()
+        sets.append({(x, k) for x, n in own.items() for k in range(n if weighted else 1)})
     cls = list(range(len(docs)))
     for i in range(len(docs)):
         for j in range(i):
@@ -36,7 +37,8 @@ def test_signatures_estimate_weighted_jaccard():
     assert (one != near_dedup.NEVER).all()
 
 
-def test_near_dedup(spark):
+@pytest.mark.parametrize("weighted", [True, False])
+def test_near_dedup(spark, weighted):
     base, r = words(200, 9, 10**6), random.Random(4)
     copies = []
     for k in range(40):  # near copies of one text, most of them near each other
@@ -45,18 +47,36 @@ def test_near_dedup(spark):
             w[r.randrange(200)] = f"c{r.randrange(10**6)}"
         copies.append((100 + k, " ".join(w)))
     chain = [(200 + k, " ".join(base[:0] + words(200, 77, 10**6)[k * 8 : 150 + k * 8])) for k in range(5)]
-    extra = [(i, t, "en", "s", 0, "x", None, "r", 7, 0.5, "c") for i, t in copies + chain + [(300, base[0]), (301, base[0])]]
+    # shingles that repeat: alike as sets and not by weight, and the other way round
+    part, more = words(30, 12, 10**6), words(400, 13, 10**6)
+    repeats = [(400, " ".join(part * 2)), (401, " ".join(part * 6)), (402, " ".join(part * 40 + more[:60])), (403, " ".join(part * 40 + more[60:120]))]
+    extra = [(i, t, "en", "s", 0, "x", None, "r", 7, 0.5, "c") for i, t in copies + chain + repeats + [(300, base[0]), (301, base[0])]]
     docs = documents(spark, extra)
-    got = {x.doc_id: x.class_id for x in near_dedup.near_duplicate_classes(docs).collect()}
-    want = brute_classes([x[:2] for x in rows() + extra])
+    got = {x.doc_id: x.class_id for x in near_dedup.near_duplicate_classes(docs, weighted=weighted).collect()}
+    want = brute_classes([x[:2] for x in rows() + extra], weighted)
     assert got == want and got[6] == 5 == got[7] and got[0] == 0
-    kept = near_dedup.keep_one(docs)
-    assert kept.columns == docs.columns and kept.count() == len(set(want.values()))
+    assert (got[401] == 400, got[403] == 402) == (not weighted, weighted)
+    if weighted:
+        kept = near_dedup.keep_one(docs)
+        assert kept.columns == docs.columns and kept.count() == len(set(want.values()))
+
+
+def test_weighted_signatures_estimate_weighted_jaccard():
+    r = np.random.default_rng(3)
+    base = r.integers(0, 2**63, 60).astype(np.uint64)
+    a, b = r.integers(1, 9, 60), r.integers(1, 9, 60)
+    with np.errstate(over="ignore"):
+        cells = [near_dedup.mixed(np.repeat(base, n) + np.concatenate([np.arange(k) for k in n]).astype(np.uint64) * near_dedup.MIX1) for n in (a, b)]
+    s = near_dedup.dart_signatures(np.concatenate(cells), np.repeat([0, 1], [len(c) for c in cells]), 2, 4096)
+    assert abs((s[0] == s[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.03
 
 
 def test_near_dedup_of_repeated_rows_and_nothing(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     assert sorted(map(tuple, near_dedup.near_duplicate_classes(docs).collect())) == [(1, 1), (2, 1)]
+    nameless = docs.union(spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f")], docs.schema))
+    assert sorted(map(tuple, near_dedup.near_duplicate_classes(nameless).collect()), key=str) == [(1, 1), (2, 1), (None, None)]
+    assert sorted(r.doc_id or 0 for r in near_dedup.keep_one(nameless).collect()) == [0, 0, 1, 1]
     assert near_dedup.near_duplicate_classes(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
@@ -95,7 +115,7 @@ def test_block_links_join_what_all_pairs_join(spark, monkeypatch):
     held = spark.createDataFrame([(k, i, label[i]) for k, m in members.items() for i in m], "key long, id long, class long")
     shorts = spark.createDataFrame([(i, None, b) for i, b in bands.items()], "id long, short binary, bands array<long>")
     sets = spark.createDataFrame([(i, bytearray(np.array(c, np.uint64).tobytes())) for i, c in cells.items()], "id long, cells binary")
-    got = [tuple(x) for x in near_dedup.block_links(held, shorts, sets, 0.8).collect()]
+    got = [tuple(x) for x in near_dedup.block_links(held, shorts, sets, 0.8, 180).collect()]
     assert got and set(got) <= want and len(want) > len(set(got))
     known = [(i, -c) for i, c in label.items()]
     assert _joined([*known, *got]) == _joined([*known, *want])
@@ -173,8 +193,8 @@ def test_lm_scores(spark, monkeypatch, flush, shard):
     docs = documents(spark, [rows()[5], (5, "the same id with another text", *rows()[5][2:]), (None, texts()[7], *rows()[5][2:])])
     every = [(i, t) for i, t, *_ in docs.select("doc_id", "text").collect()]
     target = labels(spark).filter("quality = 1")
-    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.score) for r in lm_score.score_documents(docs, target).collect())
-    assert sum(r.doc_id is None for r in lm_score.score_documents(docs, target).collect()) == 1
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.score) for r in lm_score.score_documents(docs, target, 200).collect())
+    assert sum(r.doc_id is None for r in lm_score.score_documents(docs, target, 200).collect()) == 1
     own = {r.doc_id for r in target.collect()} - {None}
     toks = [(i, (t or "").lower().split()) for i, t in every]
     uni, bi = [Counter(), Counter()], [Counter(), Counter()]
@@ -200,7 +220,7 @@ def test_lm_scores(spark, monkeypatch, flush, shard):
 
 def test_lm_without_target(spark):
     docs = documents(spark)
-    assert {r.score for r in lm_score.score_documents(docs, labels(spark).filter("false")).collect()} == {0.0}
+    assert {r.score for r in lm_score.score_documents(docs, labels(spark).filter("false"), 200).collect()} == {0.0}
 
 
 def test_lm_score_does_not_tell_the_target_sample(spark):
@@ -208,9 +228,9 @@ def test_lm_score_does_not_tell_the_target_sample(spark):
     kind = lambda i: words(80, 50 + i, 120) if i % 2 else [f"v{w}" for w in words(80, 50 + i, 120)]
     docs = spark.createDataFrame([(i, " ".join(kind(i))) for i in range(160)], "doc_id long, text string")
     target = docs.filter("doc_id % 4 = 1").select("doc_id")
-    score = {r.doc_id: r.score for r in lm_score.score_documents(docs, target).collect()}
+    score = {r.doc_id: r.score for r in lm_score.score_documents(docs, target, 200).collect()}
     sample, rest, other = ([score[i] for i in score if f(i)] for f in (lambda i: i % 4 == 1, lambda i: i % 4 == 3, lambda i: i % 2 == 0))
-    assert min(sample + rest) > 0 > max(other) and abs(np.mean(sample) - np.mean(rest)) < 0.1 * (np.mean(rest) - np.mean(other))
+    assert min(sample + rest) > max(other) and abs(np.mean(sample) - np.mean(rest)) < 0.1 * (np.mean(rest) - np.mean(other))
 
 
 def test_lm_of_nothing(spark):
