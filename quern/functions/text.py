@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,11 +15,11 @@ def strip(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """Lower-cased words between white space."""
-    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"(?U)\s+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), r"(?U)\s+"), "")
 
 
 def raw_words(c: Column) -> Column:
-    return F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+"), lambda x: x != "")
+    return F.array_remove(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+"), "")
 
 
 def word_set(c: Column) -> Column:
@@ -35,9 +36,15 @@ def contained(c: Column, phrases) -> Column:
     return reduce(lambda a, b: a + b, [F.contains(c, F.lit(p)).cast("int") for p in phrases])
 
 
+def found(c: Column, pattern: str) -> Column:
+    """Whether the pattern matches in c; where it begins with a whole word, a search for the word alone goes first."""
+    word = re.match(r"\\b([a-z]+)(?=\\[bs])", pattern)
+    return c.rlike(pattern) if word is None else F.contains(c, F.lit(word[1])) & c.rlike(pattern)
+
+
 def matched(c: Column, patterns) -> Column:
     """How many of the patterns match in c."""
-    return reduce(lambda a, b: a + b, [c.rlike(p).cast("int") for p in patterns])
+    return reduce(lambda a, b: a + b, [found(c, p).cast("int") for p in patterns])
 
 
 def best_of(scores: list[tuple[str, Column]]) -> Column:

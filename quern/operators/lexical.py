@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions.text import once, words
 from .ranking import top_k
 
 #: Okapi constants: fixed values.
@@ -20,9 +20,11 @@ def tokenize(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("tokens", words(F.col(text)))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, dl); blank documents have no posting."""
-    t = tokenize(docs).select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(term, doc_id, tf, dl), of the given terms only if there are any; blank documents have no posting."""
+    t = once(docs, "tokens", words(F.col("text"))).select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    if terms is not None:
+        t = t.join(terms, "term", "left_semi")
     return t.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
@@ -32,32 +34,42 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return sizes.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
 
 
-def term_idf(post: DataFrame, stats: DataFrame) -> DataFrame:
+def term_idf(docs: DataFrame, stats: DataFrame) -> DataFrame:
     """(term, df, idf); a negative idf is EPSILON times the mean idf of all terms."""
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    df = docs.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     raw = df.join(F.broadcast(stats)).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_index(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+Index = tuple[DataFrame, DataFrame, DataFrame]
+
+
+def bm25_index(docs: DataFrame) -> Index:
     """Postings, terms with idf, and the one-row statistics."""
-    post, stats = postings(docs), corpus_stats(docs)
-    return post, term_idf(post, stats), stats
+    stats = corpus_stats(docs)
+    return postings(docs), term_idf(docs, stats), stats
+
 
+def bm25_scores(docs: DataFrame, queries: DataFrame, index: Index | None = None) -> DataFrame:
+    """(query_id, doc_id, score) with score above 0; queries: (query_id, text). Repeated query words count again.
 
-def bm25_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) with score above 0; queries: (query_id, text). Repeated query words count again."""
-    post, terms, stats = bm25_index(docs)
+    Without a stored index, documents' words meet the queries' terms before they are grouped, and document frequencies are counts
+    by term, so that no posting of another term is shuffled.
+    """
     asked = tokenize(queries).select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
+    if index is None:
+        stats = corpus_stats(docs)
+        index = postings(docs, asked.select("term").distinct()), term_idf(docs, stats), stats
+    post, terms, stats = index
     weighted = asked.join(terms, "term").join(post, "term").join(F.broadcast(stats))
     tf = F.col("tf")
     part = F.col("qn") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
     return weighted.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")).filter(F.round("score", 6) > 0)
 
 
-def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    return top_k(bm25_scores(docs, queries), k)
+def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 5, index: Index | None = None) -> DataFrame:
+    return top_k(bm25_scores(docs, queries, index), k)
 
 
 def lexical_lookup(hits: DataFrame, docs: DataFrame, columns: tuple[str, ...] = ("text",)) -> DataFrame:
@@ -65,6 +77,6 @@ def lexical_lookup(hits: DataFrame, docs: DataFrame, columns: tuple[str, ...] =
     return hits.join(docs.select("doc_id", *columns), "doc_id")
 
 
-def index_from_store(docs: DataFrame, preview_chars: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """An index of stored documents: their whole text, or only its first preview_chars."""
-    return bm25_index(docs if preview_chars is None else docs.withColumn("text", F.substring("text", 1, preview_chars)))
+def index_from_store(docs: DataFrame) -> Index:
+    """An index of stored documents' whole texts."""
+    return bm25_index(docs)

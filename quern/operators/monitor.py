@@ -6,6 +6,8 @@ batch and streaming tables.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, fields
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,21 @@ THRESHOLDS = (("confidence", 0.7, False, "warning"), ("hallucination_risk", 0.3,
 ALERTS_PER_HOUR = 10
 
 
+@dataclass(frozen=True)
+class Parts:
+    """What several scores of an interaction use: expressions, or columns that hold them."""
+
+    low: Column
+    words: Column
+    asked: Column
+    content: Column
+    content_low: Column
+    content_set: Column
+    content3_low: Column
+    numbers: Column
+    content_numbers: Column
+
+
 def r() -> Column:
     return F.coalesce(F.col("response"), F.lit(""))
 
@@ -39,34 +56,57 @@ def no_docs() -> Column:
     return F.coalesce(F.size("docs") == 0, F.lit(True)) | F.col("docs").isNull()
 
 
-def semantic_overlap() -> Column:
+def blank(c: Column) -> Column:
+    return ~c.rlike(r"(?U)\S")
+
+
+def numbers_of(c: Column) -> Column:
+    return F.when(c.rlike("[0-9]"), F.regexp_extract_all(c, F.lit(NUMBER), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
+def parts() -> Parts:
+    c = content(5)
+    return Parts(F.lower(r()), words(r()), words(F.col("query")), c, F.lower(c), word_set(c), F.lower(content(3)), numbers_of(r()), numbers_of(c))
+
+
+def prepared(rows: DataFrame) -> tuple[DataFrame, Parts]:
+    """rows with a column for each part, evaluated once a row."""
+    made = {f.name: getattr(parts(), f.name) for f in fields(Parts)}
+    made |= {"content_low": F.lower("_content"), "content_set": word_set(F.col("_content")), "content_numbers": numbers_of(F.col("_content"))}
+    for name, c in made.items():
+        rows = once(rows, f"_{name}", c)
+    return rows, Parts(**{name: F.col(f"_{name}") for name in made})
+
+
+def semantic_overlap(x: Parts | None = None) -> Column:
     """Share of the query's words in the response."""
-    q = word_set(F.col("query"))
-    return share(F.size(F.array_intersect(q, word_set(r()))), F.size(q))
+    x = x or parts()
+    q = F.array_distinct(x.asked)
+    return share(F.size(F.array_intersect(q, x.words)), F.size(q))
 
 
-def grounding() -> Column:
+def grounding(x: Parts | None = None) -> Column:
     """Share of response words found in the first five documents, with a bonus for shared numbers."""
-    c, own = content(5), word_set(r())
-    base = share(F.size(F.array_intersect(own, word_set(c))), F.size(own))
-    numbers = [F.array_distinct(F.regexp_extract_all(x, F.lit(NUMBER), F.lit(0))) for x in (r(), c)]
-    bonus = F.least(F.lit(0.2), F.size(F.array_intersect(*numbers)) * 0.05)
-    return F.when(no_docs() | (strip(c) == "") | (F.size(own) == 0), 0.0).otherwise(F.least(F.lit(1.0), base + bonus))
+    x = x or parts()
+    own = F.array_distinct(x.words)
+    base = share(F.size(F.array_intersect(own, x.content_set)), F.size(own))
+    bonus = F.least(F.lit(0.2), F.size(F.array_intersect(x.numbers, x.content_numbers)) * 0.05)
+    return F.when(no_docs() | blank(x.content) | (F.size(own) == 0), 0.0).otherwise(F.least(F.lit(1.0), base + bonus))
 
 
-def completeness() -> Column:
-    n = F.size(raw_words(r()))
+def completeness(x: Parts | None = None) -> Column:
+    x = x or parts()
+    n = F.size(x.words)
     length = F.when(n < 5, 0.2).when(n > 300, 0.8).when(n.between(10, 200), 1.0).otherwise(0.7)
-    low, q = F.lower(r()), words(F.col("query"))
     cover = F.lit(1.0)
     for word, good in ANSWERS.items():
-        times = F.size(F.filter(q, lambda x: x == word))  # noqa: B023
-        cover = cover * F.when(contained(low, good) == 0, F.pow(F.lit(0.8), times)).otherwise(1.0)
+        times = F.size(x.asked) - F.size(F.array_remove(x.asked, word))
+        cover = cover * F.when((times > 0) & (contained(x.low, good) == 0), F.pow(F.lit(0.8), times)).otherwise(1.0)
     return (length + cover) / 2
 
 
-def factual_score() -> Column:
-    low = F.lower(r())
+def factual_score(x: Parts | None = None) -> Column:
+    low = (x or parts()).low
     up = F.least(F.lit(0.2), contained(low, HEDGES) * 0.05) + F.least(F.lit(0.3), contained(low, CITATIONS) * 0.1)
     down = F.when(no_docs(), F.least(F.lit(0.3), contained(low, ABSOLUTES) * 0.1)).otherwise(0.0)
     return clamp(0.5 + up - down)
@@ -83,24 +123,26 @@ def dot_sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"\."), strip), lambda s: s != "")
 
 
-def coherence() -> Column:
-    s, w = dot_sentences(r()), words(r())
-    lengths = F.transform(s, lambda x: F.size(raw_words(x)).cast("double"))
-    n = F.size(s)
+def coherence(x: Parts | None = None) -> Column:
+    x = x or parts()
+    w = x.words
+    # a sentence is what stands between full stops and has a word
+    lengths = F.array_remove(F.transform(F.split(r(), r"\."), lambda s: F.size(raw_words(s)).cast("double")), 0.0)
+    n = F.size(lengths)
     even = F.when(n > 1, 1 - F.least(F.lit(1.0), variance(lengths) / 100)).otherwise(0.8)
-    links = F.least(F.lit(1.0), F.size(F.array_intersect(F.array_distinct(w), F.array(*map(F.lit, CONNECTORS)))) / F.greatest(F.lit(1), n - 1))
-    mean = (even + links + share(F.size(F.array_distinct(w)), F.size(w))) / 3
-    return F.when(strip(r()) == "", 0.0).when(n == 0, 0.1).otherwise(mean)
+    distinct = F.array_distinct(w)
+    links = F.least(F.lit(1.0), F.size(F.array_intersect(distinct, F.array(*map(F.lit, CONNECTORS)))) / F.greatest(F.lit(1), n - 1))
+    mean = (even + links + share(F.size(distinct), F.size(w))) / 3
+    return F.when(F.size(w) == 0, 0.0).when(n == 0, 0.1).otherwise(mean)
 
 
-def unsupported_claims() -> Column:
+def unsupported_claims(x: Parts | None = None) -> Column:
     """Mean share of numbers and of proper names that the first five documents lack."""
-    c = F.lower(content(5))
-    numbers, names = (F.regexp_extract_all(r(), F.lit(p), F.lit(0)) for p in (NUMBER, NAME))
-    known = F.regexp_extract_all(c, F.lit(NUMBER), F.lit(0))
-    a = share(F.size(F.filter(numbers, lambda x: ~F.array_contains(known, x))), F.size(numbers))
-    b = share(F.size(F.filter(names, lambda x: ~F.contains(c, F.lower(x)))), F.size(names))
-    return F.when(strip(c) == "", 0.8).otherwise((a + b) / 2)
+    x = x or parts()
+    names = F.regexp_extract_all(r(), F.lit(NAME), F.lit(0))
+    a = share(F.size(F.filter(x.numbers, lambda m: ~F.array_contains(x.content_numbers, m))), F.size(x.numbers))
+    b = share(F.size(F.filter(names, lambda m: ~F.contains(x.content_low, F.lower(m)))), F.size(names))
+    return F.when(blank(x.content), 0.8).otherwise((a + b) / 2)
 
 
 def semantic_drift(cosine: Column | None = None) -> Column:
@@ -108,30 +150,30 @@ def semantic_drift(cosine: Column | None = None) -> Column:
     return F.lit(0.5) if cosine is None else 1 - F.greatest(F.lit(0.0), cosine)
 
 
-def ungrounded_specificity() -> Column:
-    own = word_set(r())
-    n = contained(F.lower(r()), SPECIFIC)
-    found = share(F.size(F.array_intersect(own, word_set(content(5)))), F.size(own))
+def ungrounded_specificity(x: Parts | None = None) -> Column:
+    x = x or parts()
+    own = F.array_distinct(x.words)
+    n = contained(x.low, SPECIFIC)
+    found = share(F.size(F.array_intersect(own, x.content_set)), F.size(own))
     return F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), n * 0.2 * (1 - found)))
 
 
-def contradictions(whole_words: bool = False) -> Column:
-    c, low = F.lower(content(3)), F.lower(r())
+def contradictions(x: Parts | None = None, whole_words: bool = False) -> Column:
+    x = x or parts()
     has = (lambda t, w: t.rlike(rf"\b{w}\b")) if whole_words else (lambda t, w: F.contains(t, F.lit(w)))
+    c, low = x.content3_low, x.low
     total = sum(F.when((has(low, a) & has(c, b)) | (has(low, b) & has(c, a)), 0.1).otherwise(0.0) for a, b in OPPOSED)
     return F.least(F.lit(1.0), total)
 
 
 def score_interactions(rows: DataFrame) -> DataFrame:
     """rows with every score: confidence weighs 0.75 in all without a similarity model; risk is inverted in overall."""
-    parts = {"grounding": grounding(), "completeness": completeness(), "factual_score": factual_score(), "coherence": coherence(), "unsupported_claims": unsupported_claims(), "semantic_drift": semantic_drift(), "ungrounded_specificity": ungrounded_specificity(), "contradictions": contradictions(), "semantic_overlap": semantic_overlap()}
-    own = rows
-    for name, c in parts.items():
-        own = once(own, name, c)
+    own, x = prepared(rows)
+    made = {"grounding": grounding(x), "completeness": completeness(x), "factual_score": factual_score(x), "coherence": coherence(x), "unsupported_claims": unsupported_claims(x), "semantic_drift": semantic_drift(), "ungrounded_specificity": ungrounded_specificity(x), "contradictions": contradictions(x), "semantic_overlap": semantic_overlap(x)}
+    own = own.select(*rows.columns, F.inline(F.array(F.struct(*(c.alias(n) for n, c in made.items())))))
     confidence = clamp(0.35 * F.col("grounding") + 0.15 * F.col("completeness") + 0.15 * F.col("factual_score") + 0.10 * F.col("coherence"))
     risk = clamp(0.4 * F.col("unsupported_claims") + 0.3 * F.col("semantic_drift") + 0.2 * F.col("ungrounded_specificity") + 0.1 * F.col("contradictions"))
-    own = once(own, "confidence", confidence)
-    own = once(own, "hallucination_risk", F.when(no_docs(), 0.8).otherwise(risk))
+    own = own.withColumns({"confidence": confidence, "hallucination_risk": F.when(no_docs(), 0.8).otherwise(risk)})
     overall = (F.col("confidence") + 1 - F.col("hallucination_risk") + F.col("grounding") + F.col("completeness") + F.col("coherence")) / 5
     return own.withColumn("overall", overall)
 

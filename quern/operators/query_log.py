@@ -91,14 +91,15 @@ def low(text: str = "text") -> Column:
     return F.lower(F.col(text))
 
 
-def _scores(rules: dict, pattern: float, keyword: float) -> list[tuple[str, Column]]:
-    return [(name, F.round(matched(low(), p) * F.lit(pattern) + contained(low(), k) * F.lit(keyword), 6)) for name, (p, k) in rules.items()]
+def _scores(text: Column, rules: dict, pattern: float, keyword: float) -> list[tuple[str, Column]]:
+    return [(name, F.round(matched(text, p) * F.lit(pattern) + contained(text, k) * F.lit(keyword), 6)) for name, (p, k) in rules.items()]
 
 
 def classify_queries(queries: DataFrame) -> DataFrame:
     """query_type, intent, confidence and complexity_score of each query."""
-    own = once(once(queries, "_kind", best_of(_scores(TYPES, 0.4, 0.2))), "_intent", best_of(_scores(INTENTS, 0.5, 0.3)))
-    parts = [F.regexp_count(F.col("text") if p == r"[,;]" else low(), F.lit(p)) * F.lit(w) for p, w in COMPLEXITY_PARTS]
+    own, text = once(queries, "_low", low()), F.col("_low")
+    own = once(once(own, "_kind", best_of(_scores(text, TYPES, 0.4, 0.2))), "_intent", best_of(_scores(text, INTENTS, 0.5, 0.3)))
+    parts = [F.regexp_count(F.col("text") if p == r"[,;]" else text, F.lit(p)) * F.lit(w) for p, w in COMPLEXITY_PARTS]
     length = F.least(F.size(words(F.col("text"))) / 20, F.lit(0.3))
     return own.select(
         *queries.columns, F.col("_kind.name").alias("query_type"), F.col("_intent.name").alias("intent"), ((F.least(-F.col("_kind.minus"), F.lit(1.0)) + F.least(-F.col("_intent.minus"), F.lit(1.0))) / 2).alias("confidence"),

@@ -49,7 +49,7 @@ def lexical_lookup(spark, sf_dir):
 
 
 def index_from_store(spark, sf_dir):
-    post, _, stats = lexical.index_from_store(read(spark, sf_dir, "documents"), preview_chars=200)
+    post, _, stats = lexical.index_from_store(read(spark, sf_dir, "documents"))
     return rounded(post.agg(F.count("*").alias("postings"), F.countDistinct("term").alias("terms")).join(F.broadcast(stats)), "avg_dl")
 
 
@@ -259,7 +259,7 @@ SQL = {
     "bm25_index": f"{_BM} select term, df, cast(cf as bigint) as cf, round(idf, 6) as idf from idf join (select term, sum(tf) as cf from post group by term) using (term)",
     "bm25_search": f"{_HITS} select query_id, doc_id, round(score, 6) as score, rank from hits",
     "lexical_lookup": f"{_HITS} select query_id, doc_id, round(score, 6) as score, rank, lang, source, n_chars from hits join documents using (doc_id)",
-    "index_from_store": """with tok as (select doc_id, list_filter(regexp_split_to_array(lower(substr(text, 1, 200)), '\\s+'), lambda x: x <> '') as w from documents),
+    "index_from_store": """with tok as (select doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') as w from documents),
       p as (select distinct doc_id, unnest(w) as term from tok)
       select count(*) as postings, count(distinct term) as terms, any_value(n) as n_docs, any_value(a) as avg_dl from p, (select count(*) as n, round(avg(len(w)), 6) as a from tok where len(w) > 0)""",
     "knn_cosine": f"{_V}, {_near('cosine', K, 'a.query_id <> v.doc_id')} select query_id, doc_id, round(1 - score, 6) as distance, rank from h",
