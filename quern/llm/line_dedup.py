@@ -6,12 +6,14 @@
 3. Suspects alone are shuffled, counted exactly by their whole text, and the largest doc_id of each repeated key chosen.
 4. The lines that a document loses are joined to it by doc_id, and its text is written without them.
 
-The twice filter is the only broadcast. Its size follows the input up to MAX_BITS; a fuller filter makes more suspects, never
-another result.
+The twice filter is the only broadcast. Its size follows the input, and while it has at most max_bits it is broadcast. Beyond
+that the filters stay in shards of SHARD_BITS by hash: a lot of documents sends each shard its hashes, once a lot with the first
+document that has it, and gets the twice-seen ones back; a hash that two documents of one lot have needs no answer. Documents then
+give the lines of their suspected hashes. Either way the filter only decides what is confirmed, never another result.
 
 Defined cases: a null or empty text is one empty line; keys shorter than min_chars code points never count; a key that one
-document repeats counts once for it, and rows with the same doc_id count as one document; an empty table gives an empty
-table; further columns are kept as they are.
+document repeats counts once for it, and rows with the same doc_id count as one document; a null doc_id counts for no document
+and its rows lose no line; an empty table gives an empty table; further columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -20,16 +22,20 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_group, plan_bytes, slices, stored, table, text_bytes
+from .common import by_group, slices, stored, table, text_bytes
 
 BLANKS = b" \t\n\x0b\x0c\r"
-#: Positions of a key, bits of a chunk of the filters, and the smallest and largest filter (128 MB).
+#: Positions of a key, bits of a chunk of the filters, and the smallest filter and the largest that is broadcast (128 MB).
 PROBES, CHUNK_BITS, MIN_BITS, MAX_BITS = 3, 1 << 20, 1 << 20, 1 << 30
+#: Bits of a shard's filters, which a task holds whole.
+SHARD_BITS = 1 << 22
 #: Keys that a task gathers before it sends their positions on.
 FLUSH_KEYS = 200_000
 
@@ -58,8 +64,8 @@ def hashed(keys) -> np.ndarray:
 
 
 def filter_bits(text_bytes_seen: int) -> int:
-    """About a bit for each eight bytes of input: a power of two in [MIN_BITS, MAX_BITS]."""
-    return min(MAX_BITS, max(MIN_BITS, 1 << (max(1, text_bytes_seen // 8) - 1).bit_length()))
+    """About a bit for each eight bytes of text: a power of two from MIN_BITS."""
+    return max(MIN_BITS, 1 << (max(1, text_bytes_seen // 8) - 1).bit_length())
 
 
 def twice_filter(docs: DataFrame, bits: int, chars: int) -> np.ndarray:
@@ -133,18 +139,78 @@ def suspects(docs: DataFrame, bits: int, chars: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("raw")).mapInArrow(probe, "doc_id long, key binary")
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+def sharded_suspects(docs: DataFrame, shards: int, chars: int) -> DataFrame:
+    """What suspects() gives, with filters in shards by hash and no broadcast."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(ids, parts, lot):
+            hashes, owners = np.concatenate(parts), np.repeat(np.array(ids, np.int64), [len(p) for p in parts])
+            own, first, at, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+            again = counts[at] > 1
+            shard = ((own >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            starts = np.flatnonzero(np.append(True, np.diff(shard[order]) > 0))
+            rows = [(int(shard[x[0]]), False, owners[first[x]].tobytes(), own[x].tobytes(), (counts[x] > 1).tobytes()) for x in np.split(order, starts[1:])]
+            rows.append((lot % shards, True, owners[again].tobytes(), hashes[again].tobytes(), b""))
+            yield pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate((("shard", pa.int64()), ("known", pa.bool_()), ("docs", pa.binary()), ("hashes", pa.binary()), ("twice", pa.binary())))})
+
+        ids, parts, held, lot = [], [], 0, TaskContext.get().partitionId()
+        for batch in slices(batches, "raw"):
+            for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("raw").to_pylist()):
+                if keys := document_keys(raw, chars):
+                    ids.append(doc)
+                    parts.append(hashed(keys))
+                    held += len(keys)
+            if held >= FLUSH_KEYS:
+                yield from flush(ids, parts, lot)
+                ids, parts, held, lot = [], [], 0, lot + 1
+        if held:
+            yield from flush(ids, parts, lot)
+
+    def probe(pdf: pd.DataFrame) -> pd.DataFrame:
+        known, asked = pdf[pdf["known"]], pdf[~pdf["known"]]
+        docs, hashes = [np.frombuffer(b"".join(known["docs"]), np.int64)], [np.frombuffer(b"".join(known["hashes"]), np.uint64)]
+        if len(asked):
+            d, h, t = (np.frombuffer(b"".join(asked[c]), kind) for c, kind in (("docs", np.int64), ("hashes", np.uint64), ("twice", bool)))
+            at = positions(h, SHARD_BITS)
+            once, twice = np.zeros(SHARD_BITS, bool), np.bincount(at.ravel().astype(np.int64), minlength=SHARD_BITS) > 1
+            once[at[t].ravel()] = True  # two documents of one lot
+            twice |= once
+            hit = twice[at].all(axis=1) & ~t
+            docs.append(d[hit])
+            hashes.append(h[hit])
+        return pd.DataFrame({"doc_id": np.concatenate(docs), "hash": np.concatenate(hashes).view(np.int64)})
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "raw"):
+            ids, keys = [], []
+            for doc, raw, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "raw", "hashes"))):
+                own = list(document_keys(raw, chars))
+                hit = np.isin(hashed(own).view(np.int64), np.array(wanted, np.int64))
+                keys += [own[i] for i in np.flatnonzero(hit)]
+                ids += [doc] * int(hit.sum())
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "key": pa.array(keys, pa.binary())})
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("raw")).filter(F.col("doc_id").isNotNull())
+    sent = texts.mapInArrow(send, "shard long, known boolean, docs binary, hashes binary, twice binary")
+    found = sent.repartition(shards, "shard").groupBy("shard").applyInPandas(probe, "doc_id long, hash long")
+    asked = found.groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))  # a document's own lines
+    return texts.join(asked, "doc_id").mapInArrow(lines, "doc_id long, key binary")
+
+
+def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, drop): the keys whose lines that document loses; documents that lose none are absent."""
-    found = stored(suspects(docs, filter_bits(plan_bytes(docs)), min_chars), "line-suspects")
+    bits = filter_bits(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    found = stored(suspects(docs, bits, min_chars) if bits <= max_bits else sharded_suspects(docs, max(4, bits // SHARD_BITS), min_chars), "line-suspects")
     counted = found.groupBy("key").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keep"))
     repeated = stored(counted.filter(F.col("n") >= min_docs), "repeated-lines")
     lost = by_group(found, repeated, "key", found.count()).filter(F.col("doc_id") != F.col("keep")).select("doc_id", "key")
     return lost.groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, hashes_only: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, hashes_only: bool = False, max_bits: int = MAX_BITS) -> DataFrame:
     """All columns of docs with text rewritten, and n_lines and n_dropped; hashes_only: doc_id, the counts and kept_sha256."""
-    drops = repeated_lines(docs, min_chars, min_docs).select(F.col("doc_id").alias("_doc"), F.col("drop").alias("_drop"))
+    drops = repeated_lines(docs, min_chars, min_docs, max_bits).select(F.col("doc_id").alias("_doc"), F.col("drop").alias("_drop"))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     taken = docs.select("doc_id", "text") if hashes_only else docs.select(*columns)
     joined = taken.join(drops.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc").withColumn("text", text_bytes())

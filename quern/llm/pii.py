@@ -1,15 +1,15 @@
 r"""Personal data: base patterns, and bootstrapped contextual extraction.
 
 The base spans are exact. They seed the method, which runs on a table of instances: each identifier-like token of any document
-(a run with five digits or more, or one with a written-out at sign) with the words around it, and each base span that holds none,
+(a run with five digits or more, four numbers in a row, or one with a written-out at sign) with the words around it, and each base span that holds none,
 as plain e-mails do. A seed is an instance that a base span covers; it has that span's kind. An instance's contexts are lexical
 patterns: its last word before, its last two words before, and the word before with the word after, each with the instance's
-shape: a class of its count of digits, or one shape for e-mails and names with a written-out at sign.
+shape: a class of its count of digits, or one shape for e-mails and names with a written-out at sign, and one for four numbers.
 
-Spark scores the pattern-instance graph in ROUNDS rounds: a pattern's confidence in a kind is the share of its instances that
-are known of the kind, shrunk by PRIOR unknown ones, and counts only with MIN_SUPPORT distinct known instances; an instance's
-confidence is that of the best combination, 1 - (1 - c1)(1 - c2)... over its patterns. Instances above KEEP become known and
-support patterns in the next round. What is known in the end and no base span is an added span.
+Spark scores the pattern-instance graph in rounds: a pattern's confidence in a kind is the share of its instances that are known of
+the kind, shrunk by PRIOR unknown ones, and counts only with MIN_SUPPORT distinct known instances; an instance's confidence is that
+of the best combination, 1 - (1 - c1)(1 - c2)... over its patterns. Instances above KEEP become known, stay so, and support
+patterns in the next round, until a round finds none. What is known in the end and no base span is an added span.
 
 The text is read once; instances go on in a slim table, keyed and pre-aggregated by pattern, and are joined back by the
 document's place. Everything is DataFrame functions.
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import computed, stored, table
+from .common import by_group, computed, stored, table
 from .spans import matches, spans_text, tagged
 
 KINDS = ("email", "ip", "card", "phone")
@@ -35,11 +35,13 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SMALL = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
-#: Identifier-like tokens: five digits or more with light punctuation between, or a name with a written-out at sign and dot.
-INSTANCE = r"(?<![^\x20\x09-\x0D])[A-Za-z+(#]{0,6}[0-9](?:[\x20]?[().+/:-]{0,2}[0-9]){4,}+[A-Za-z]{0,4}|[A-Za-z0-9._-]{2,40}+\x20?[\[(](?i:at)[\])]\x20?[A-Za-z0-9.-]{2,40}+(?:\x20?[\[(](?i:dot)[\])]\x20?[A-Za-z0-9-]{2,40}+){0,4}"
-#: Characters around an instance in which its context words are looked for.
+#: Four numbers with any light punctuation or a written-out dot between them.
+QUAD = r"(?<![0-9])[0-9]{1,3}(?:\x20?[\[(]?(?:[.,:]|(?i:dot))[\])]?\x20?[0-9]{1,3}){3}(?![0-9])"
+#: Identifier-like tokens: such numbers, five digits or more with light punctuation between, or a name with a written-out at sign and dot.
+INSTANCE = rf"{QUAD}|" + r"(?<![^\x20\x09-\x0D])[A-Za-z+(#]{0,6}[0-9](?:[\x20]?[().+/:-]{0,2}[0-9]){4,}+[A-Za-z]{0,4}|[A-Za-z0-9._-]{2,40}+\x20?[\[(](?i:at)[\])]\x20?[A-Za-z0-9.-]{2,40}+(?:\x20?[\[(](?i:dot)[\])]\x20?[A-Za-z0-9-]{2,40}+){0,4}"
+#: Characters around an instance within which a context word must lie; a word that reaches farther is cut there.
 AROUND = 60
-ROUNDS, MIN_SUPPORT, PRIOR, KEEP = 3, 5, 2.0, 0.9
+MIN_SUPPORT, PRIOR, KEEP = 5, 2.0, 0.9
 
 
 def luhn(digits: Column) -> Column:
@@ -109,20 +111,28 @@ def bootstrap(instances: DataFrame) -> DataFrame:
     graph = stored(patterns_of(instances).join(instances.select("id", "m", "kind"), "id"), "pii-graph")
     if not graph.filter(F.col("kind").isNotNull()).head(1) or not graph.filter(F.col("kind").isNull()).head(1):
         return instances.filter("false").select("id", "kind")
-    known = graph.select("id", "kind").filter("false").distinct()
-    for _ in range(ROUNDS):
+    total = stored(graph.groupBy("pattern").agg(F.count("*").alias("n")), "pii-patterns")
+    known = graph.select("id", "kind").filter("false")
+    while True:
         state = graph.join(known.withColumnRenamed("kind", "_found"), "id", "left").withColumn("now", F.coalesce("kind", "_found"))
-        total = state.groupBy("pattern").agg(F.count("*").alias("n"))
-        support = state.filter(F.col("now").isNotNull()).groupBy("pattern", "now").agg(F.count("*").alias("known"), F.approx_count_distinct("m").alias("distinct"))
-        best = support.filter(F.col("distinct") >= MIN_SUPPORT).join(total, "pattern").withColumn("c", F.col("known") / (F.col("n") + PRIOR))
-        open_ = graph.filter(F.col("kind").isNull()).select("id", "pattern").join(best.select("pattern", F.col("now").alias("kind"), "c"), "pattern")
-        scores = open_.groupBy("id", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("c"))))).alias("score"))
+        each = state.filter(F.col("now").isNotNull()).groupBy("pattern", "now", "m").agg(F.count("*").alias("n"))
+        support = each.groupBy("pattern", "now").agg(F.sum("n").alias("known"), F.count("*").alias("distinct")).filter(F.col("distinct") >= MIN_SUPPORT)
+        best = support.join(total, "pattern").select("pattern", F.col("now").alias("kind"), (F.col("known") / (F.col("n") + PRIOR)).alias("c"), "n")
+        # a frequent pattern's instances stay where they are
+        open_ = state.filter(F.col("now").isNull()).select("id", "pattern")
+        scores = best_of_patterns(open_, best).groupBy("id", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("c"))))).alias("score"))
         top = scores.groupBy("id").agg(F.max(F.struct("score", "kind")).alias("top")).filter(F.col("top.score") >= KEEP)
         new = stored(top.select("id", F.col("top.kind").alias("kind")), "pii-known")
-        if new.count() == known.count():
-            return new
-        known = new
-    return known
+        if not new.head(1):
+            return known
+        known = known.union(new)
+
+
+def best_of_patterns(rows: DataFrame, best: DataFrame) -> DataFrame:
+    """(id, pattern, kind, c): rows with what their pattern says of each kind."""
+    kinds = stored(best.groupBy("pattern").agg(F.collect_list(F.struct("kind", "c")).alias("says"), F.max("n").alias("n")), "pii-best")  # at most one for each kind
+    total = kinds.agg(F.sum("n")).first()[0] or 0
+    return by_group(rows, kinds, "pattern", total).select("id", "pattern", F.inline("says"))
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -132,7 +142,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     covered = F.filter("base", lambda b: (b["s"] < F.col("x.e")) & (F.col("x.s") < b["e"]))
     digits = F.length(digits_of(F.col("x.m")))
     kind = F.when(F.size(covered) > 0, covered[0]["kind"])
-    shape = F.when(F.col("x.m").rlike(r"[\[(](?i:at)[\])]") | kind.eqNullSafe("email"), "name").when(digits < 10, "short").when(digits <= 15, "middle").otherwise("long")
+    shape = F.when(F.col("x.m").rlike(r"[\[(](?i:at)[\])]") | kind.eqNullSafe("email"), "name").when(F.col("x.m").rlike(rf"^(?:{QUAD})$"), "quad").when(digits < 10, "short").when(digits <= 15, "middle").otherwise("long")
     instances = each.select(
         F.xxhash64("doc_id", "own", "x.s", "x.e").alias("id"), "doc_id", "own", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("x.m").alias("m"),
         kind.alias("kind"), shape.alias("shape"), F.col("x.before").alias("before"), F.col("x.after").alias("after"),

@@ -2,11 +2,13 @@ r"""Secret scans: base patterns, and character Markov models of random strings a
 
 The base spans are exact. The method then judges every other token that looks like an identifier: two first-order character
 models, one of random strings and one of ordinary identifiers, give each pair of neighbouring characters a log-likelihood
-ratio, and a token whose mean ratio is above a threshold is a secret of kind `random`. A pair's probability backs off to its
-second character's, so that characters which ordinary words lack tell even after a character that they lack too.
+ratio, and a token whose mean ratio is above a threshold is a secret of kind `random`. A pair's probability is mixed with its
+second character's by a share of BACK_OFF, so that characters which ordinary words lack tell even after a character that they lack too; each character
+has a share of SMOOTHING at least, whatever the size of the sample.
 
-The models are trained on all documents: the values that the base patterns found are random strings, plain words, each with its
-count, are ordinary. Their tables are counts of character pairs, at most 67 x 67 entries by construction, and enter
+The models are trained on samples that all documents label: the values that the base patterns found are random strings, and plain
+words that occur RECURRING times or more are ordinary, since a random string does not come again. A distinct string of n
+occurrences counts 1 + log2(n) times, so that copies of a document weigh little. Their tables are counts of character pairs, at most 67 x 67 entries by construction, and enter
 the query as one literal array. Everything is DataFrame functions; texts are never shuffled.
 
 Defined cases: a null or empty text has no spans; long texts are scanned whole; without strings of either kind no span is added;
@@ -33,7 +35,9 @@ STATES = len(ALPHABET) + 1
 SHORTEST = 12
 TOKEN = rf"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{{{SHORTEST},}}+"
 ORDINARY = r"(?<![A-Za-z0-9+/_=.@-])[A-Za-z_-]{8,}+(?![A-Za-z0-9+/_=@])"
-THRESHOLD, SMOOTHING, BACK_OFF = 1.0, 0.5, 20.0
+THRESHOLD, SMOOTHING, BACK_OFF = 1.0, 1e-4, 0.1
+#: Occurrences of an ordinary word in all documents.
+RECURRING = 5
 
 
 def base_spans(text: Column) -> Column:
@@ -64,9 +68,9 @@ def ratios(found: DataFrame) -> list[float] | None:
     logs = {}
     for kind, c in counts.items():
         total = sum(c)
-        single = [(sum(c[j::STATES]) + SMOOTHING) / (total + SMOOTHING * STATES) for j in range(STATES)]
+        single = [(sum(c[j::STATES]) / total + SMOOTHING) / (1 + SMOOTHING * STATES) for j in range(STATES)]
         sums = [sum(c[i * STATES : (i + 1) * STATES]) for i in range(STATES)]
-        logs[kind] = [math.log((x + BACK_OFF * single[i % STATES]) / (sums[i // STATES] + BACK_OFF)) for i, x in enumerate(c)]
+        logs[kind] = [math.log(BACK_OFF * single[i % STATES] + (1 - BACK_OFF) * (x / n if (n := sums[i // STATES]) else single[i % STATES])) for i, x in enumerate(c)]
     return [round(a - b, 4) for a, b in zip(logs[True], logs[False])]
 
 
@@ -93,9 +97,9 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 def ordinary_words(docs: DataFrame) -> DataFrame:
-    """(w, n): every plain word of all documents with its count."""
+    """(w, n): every plain word that recurs in all documents, with its count."""
     words = docs.select(F.explode(F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(ORDINARY), F.lit(0))).alias("w"))
-    return words.groupBy("w").agg(F.count("*").alias("n"))
+    return words.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= RECURRING)
 
 
 def find_secrets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -103,7 +107,8 @@ def find_secrets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = stored(scanned(docs), "secrets")
     random = found.select(F.explode("values").alias("w")).filter(F.length("w") >= 12).groupBy("w").agg(F.count("*").alias("n"))
     both = random.select(F.lit(True).alias("random"), "w", "n").union(ordinary_words(docs).select(F.lit(False), "w", "n"))
-    table_ = ratios(both.select("random", "n", F.explode(pairs(F.col("w"))).alias("pair")))
+    weighed = both.select("random", "w", (1 + F.floor(F.log2("n"))).alias("n"))
+    table_ = ratios(weighed.select("random", "n", F.explode(pairs(F.col("w"))).alias("pair")))
     if table_ is None:
         added = F.array().cast("array<struct<s:int,k:int,e:int,kind:string>>")
     else:

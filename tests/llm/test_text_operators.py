@@ -32,8 +32,10 @@ def brute_lines(docs):
     return out
 
 
-def test_line_dedup(spark):
-    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.dedup_lines(documents(spark), hashes_only=True).collect()}
+@pytest.mark.parametrize(("max_bits", "flush"), [(1 << 30, 200_000), (0, 200_000), (0, 1)])
+def test_line_dedup(spark, monkeypatch, max_bits, flush):
+    monkeypatch.setattr(line_dedup, "FLUSH_KEYS", flush)
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.dedup_lines(documents(spark), hashes_only=True, max_bits=max_bits).collect()}
     assert got == brute_lines([r[:2] for r in rows()])
     assert sum(v[1] for v in got.values()) == 4
 
@@ -45,6 +47,14 @@ def test_line_dedup_keeps_columns_and_repeated_rows(spark):
     assert out.filter("doc_id = 5").count() == 3
 
 
+@pytest.mark.parametrize("max_bits", [1 << 30, 0])
+def test_line_dedup_without_ids(spark, max_bits):
+    line = "this line is shared by many documents"
+    docs = spark.createDataFrame([(1, line), (2, line), (3, line), (None, line), (None, line)], "doc_id long, text string")
+    out = [(r.doc_id, r.n_dropped) for r in line_dedup.dedup_lines(docs, max_bits=max_bits).collect()]
+    assert sorted(out, key=str) == [(1, 1), (2, 1), (3, 0), (None, 0), (None, 0)]
+
+
 def test_line_dedup_full_filter_gives_the_same(spark, monkeypatch):
     docs = documents(spark)
     want = sorted(map(str, line_dedup.dedup_lines(docs, hashes_only=True).collect()))
