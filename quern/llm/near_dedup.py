@@ -311,6 +311,17 @@ def components(edges: DataFrame) -> DataFrame:
         label = stored(by_group(named, jumped, "class", total, "left").select("id", F.coalesce("root", "class").alias("class"), F.col("degree").alias("n")), "labels")
 
 
+def joined_classes(label: DataFrame, found: DataFrame) -> DataFrame:
+    """label (id, class) after the links found (a, b) have joined classes; a node without a class is its own."""
+    a, b = (label.select(F.col("id").alias(c), F.col("class").alias(f"_{c}")) for c in ("a", "b"))
+    linked = found.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    moves = components(linked.filter("a <> b").distinct()).select(F.col("id").alias("class"), F.col("class").alias("root"))
+    met = found.select(F.col("a").alias("id")).union(found.select("b")).distinct().join(label, "id", "left_anti")
+    nodes = stored(label.select("id", "class").union(met.select("id", F.col("id").alias("class"))), "labels")
+    groups = nodes.groupBy("class").agg(F.count("*").alias("n")).join(moves, "class")
+    return stored(by_group(nodes, groups, "class", nodes.count(), "left").select("id", F.coalesce("root", "class").alias("class")), "labels")
+
+
 def near_duplicate_classes(docs: DataFrame, words: int = 5, threshold: float = 0.8, weighted: bool = True) -> DataFrame:
     """(doc_id, class_id): one row for each doc_id, class_id the least doc_id of its class."""
     spark = docs.sparkSession
@@ -330,8 +341,7 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, threshold: float = 0
     candidates = known_ids.withColumn("_id", F.col("doc_id").cast("long")).join(met.withColumnRenamed("id", "_id"), "_id", "left_semi").dropDuplicates(["_id"])
     cells = stored(shingle_table(candidates, words, weighted), "shingles")
 
-    edges = spark.createDataFrame([], "a long, b long")
-    tried = edges
+    tried = spark.createDataFrame([], "a long, b long")
     label = spark.createDataFrame([], "id long, class long")
     for turn in range(ROUNDS + 1):
         known = label.withColumnRenamed("class", "_class")
@@ -343,9 +353,8 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, threshold: float = 0
             pairs = led.filter(F.col("class") != F.col("lead.class")).select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"))
         else:
             found = stored(block_links(held, shorts, cells, threshold, total), "edges")
-            edges = edges.union(found)
             if found.head(1):
-                label = components(edges)
+                label = joined_classes(label, found)
             break
         new = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         if not new.head(1):
@@ -354,9 +363,8 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, threshold: float = 0
             break
         found = stored(similar(agreeing(new, shorts, threshold), cells, threshold), "edges")
         tried = tried.union(new)
-        edges = edges.union(found)
         if found.head(1):
-            label = components(edges)
+            label = joined_classes(label, found)
     # a representative is the least doc_id of its copies, so the least representative is the least doc_id of the class
     joined = member.join(label, "id", "left").select("doc_id", F.coalesce("class", "id").alias("class_id"))
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(joined, "doc_id", "left")
