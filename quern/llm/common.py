@@ -19,22 +19,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables that stored() has written in this process, until drop_stored() removes them.
+_written: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's folder in spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
+    """The cluster's folder in spark.checkpoint.dir; in local mode, as in tests, a temporary one where that is unset."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read again: it cuts the lineage and survives lost executors."""
+    """df written to the shared folder and read again: it cuts the lineage and survives lost executors.
+
+    The tables are needed until the result that reads them is written; then drop_stored() removes them.
+    """
     path = f"{shared_folder(df.sparkSession)}/quern/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession) -> int:
+    """Deletes what stored() has written so far; for when all results that read it are written. How many tables went."""
+    jvm, gone = spark.sparkContext._jvm, 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
+
+
 def text_bytes(column: str = "text") -> Column:
     """UTF-8 bytes of a text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

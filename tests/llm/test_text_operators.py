@@ -136,3 +136,11 @@ def test_decontamination_of_repeated_and_null_ids(spark, index_bytes):
     kept = decontaminate.drop_contaminated(docs, bench, index_bytes=index_bytes)
     assert kept.columns == docs.columns and [r.window_id for r in kept.collect()] == [6]
     assert decontaminate.drop_contaminated(docs, bench.filter("false")).count() == 4
+
+
+def test_stored_tables_can_be_dropped(spark):
+    from quern.llm import common
+
+    common.drop_stored(spark)
+    kept = common.stored(spark.range(5), "five")
+    assert kept.count() == 5 and common.drop_stored(spark) == 1 and common.drop_stored(spark) == 0
