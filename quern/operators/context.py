@@ -71,18 +71,18 @@ def _pick(texts: list[str], importance: list[float], most: int, weight: float) -
     return chosen
 
 
-def select_diverse(hits: DataFrame, most: int, weight: float, max_rank: int = 50) -> DataFrame:
-    """(query_id, doc_id, position): the most important hit, then by importance and distance to the chosen. Groups are bounded by max_rank."""
+def select_diverse(hits: DataFrame, most: int, weight: float) -> DataFrame:
+    """(query_id, doc_id, position): the most important hit, then by importance and distance to the chosen. hits: a top-k list of the caller's."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["rank", "doc_id"]).reset_index(drop=True)
         at = _pick(pdf["text"].tolist(), pdf["importance"].tolist(), most, weight)
         return pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "doc_id": pdf["doc_id"].to_numpy()[at], "position": range(1, len(at) + 1)})
 
-    return hits.filter(F.col("rank") <= max_rank).select("query_id", "doc_id", "rank", "text", "importance").groupBy("query_id").applyInPandas(run, "query_id long, doc_id long, position long")
+    return hits.select("query_id", "doc_id", "rank", "text", "importance").groupBy("query_id").applyInPandas(run, "query_id long, doc_id long, position long")
 
 
-def context_window(hits: DataFrame, budget: int = BUDGET, max_rank: int = 50) -> DataFrame:
+def context_window(hits: DataFrame, budget: int = BUDGET) -> DataFrame:
     """(query_id, position, doc_id, text, token_count, compression): hits (query_id, level, doc_id, rank, text, importance) chosen by the query's complexity and cut to shares of the budget."""
 
     def points(text: str, n: int) -> list[str]:
@@ -119,7 +119,7 @@ def context_window(hits: DataFrame, budget: int = BUDGET, max_rank: int = 50) ->
             left -= len(text) // 4
         return pd.DataFrame(out, columns=["query_id", "position", "doc_id", "text", "token_count", "compression"])
 
-    own = hits.filter(F.col("rank") <= max_rank).select("query_id", "level", "doc_id", "rank", "text", "importance")
+    own = hits.select("query_id", "level", "doc_id", "rank", "text", "importance")
     return own.groupBy("query_id").applyInPandas(run, "query_id long, position long, doc_id long, text string, token_count long, compression string")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -311,3 +312,11 @@ def ab_message(analysis: DataFrame, bound: float = 1.96) -> DataFrame:
     better, worse = F.greatest("A_mean", "B_mean"), F.least("A_mean", "B_mean")
     text = F.concat(F.lit("Configuration "), "winner", F.lit(" is significantly better by "), F.format_string("%.1f", (better - worse) / worse * 100), F.lit("%. Recommend deploying "), "winner", F.lit("."))
     return analysis.withColumn("message", F.when(sure, text).otherwise("No statistically significant difference found. More data may be needed."))
+
+
+def retriever_bench(runs: dict[str, DataFrame], exact: str) -> DataFrame:
+    """(method, queries, results, mean_score, overlap) of runs (query_id, doc_id, score): results a query, and the share that the exact run has too."""
+    truth = runs[exact].select("query_id", "doc_id", F.lit(1).alias("_in"))
+    one = reduce(DataFrame.unionByName, [r.select("query_id", "doc_id", "score", F.lit(m).alias("method")) for m, r in runs.items()])
+    own = one.join(truth, ["query_id", "doc_id"], "left")
+    return own.groupBy("method").agg(F.countDistinct("query_id").alias("queries"), (F.count("*") / F.countDistinct("query_id")).alias("results"), F.avg("score").alias("mean_score"), (F.count("_in") / F.count("*")).alias("overlap"))

@@ -78,19 +78,18 @@ def pair_rerank(hits: DataFrame, scorer: Callable | None = None, score: str = "c
     return hits if scorer is None else hits.withColumn(score, scorer(F.col("query"), F.substring("text", 1, max_chars)))
 
 
-def pairwise_diversity(hits: DataFrame, max_rank: int = 50) -> DataFrame:
-    """(query_id, a, b, diversity): 1 - cosine of a query's candidates (query_id, doc_id, vec, rank), at most max_rank of them."""
+def pairwise_diversity(hits: DataFrame) -> DataFrame:
+    """(query_id, a, b, diversity): 1 - cosine of a query's candidates (query_id, doc_id, vec), a top-k list of the caller's."""
     from ..functions.vectors import cosine
 
-    own = hits.filter(F.col("rank") <= max_rank)
-    x, y = (own.select("query_id", F.col("doc_id").alias(n), F.col("vec").alias(f"v{n}")) for n in ("a", "b"))
+    x, y = (hits.select("query_id", F.col("doc_id").alias(n), F.col("vec").alias(f"v{n}")) for n in ("a", "b"))
     return x.join(y, "query_id").filter("a < b").select("query_id", "a", "b", (1 - cosine(F.col("va"), F.col("vb"))).alias("diversity"))
 
 
-def mmr(hits: DataFrame, k: int, weight: float = 0.7, max_rank: int = 100) -> DataFrame:
+def mmr(hits: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
     """(query_id, doc_id, position): greedy weight x relevance - (1 - weight) x closeness to the chosen.
 
-    hits: (query_id, doc_id, score, rank, vec); a query's candidates are bounded by max_rank before they meet in one group.
+    hits: (query_id, doc_id, score, rank, vec), a top-k list of the caller's; a query's candidates meet in one group.
     """
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -107,7 +106,7 @@ def mmr(hits: DataFrame, k: int, weight: float = 0.7, max_rank: int = 100) -> Da
             chosen.append(rest[int(np.argmax(values))])
         return pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "doc_id": pdf["doc_id"].to_numpy()[chosen], "position": np.arange(1, len(chosen) + 1)})
 
-    own = hits.filter(F.col("rank") <= max_rank).select("query_id", "doc_id", "score", "rank", "vec")
+    own = hits.select("query_id", "doc_id", "score", "rank", "vec")
     return own.groupBy("query_id").applyInPandas(choose, "query_id long, doc_id long, position long")
 
 

@@ -9,14 +9,14 @@ Level joins write each frontier out, so lineage stays short and survives lost ex
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
+
 # Patterns and words of the rules.
 PATTERNS = {
     "person": (r"\b[A-Z][a-z]+\s+[A-Z][a-z]+\b", r"\b(?:Mr|Mrs|Ms|Dr|CEO|CTO|CFO|President|Director)\.?\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"),
@@ -142,15 +142,6 @@ def edge_type(types: Column, text: Column) -> Column:
     return out.when(F.array_contains(types, "person") & F.array_contains(types, "organization"), "coreference").otherwise("semantic")
 
 
-def _kept(df: DataFrame, label: str) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir (a temporary one where unset) and read again."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="quern-")
-    path = f"{folder}/quern/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "strength", "type").union(edges.select("dst", "src", "strength", "type"))
 
@@ -168,7 +159,7 @@ def multi_hop(edges: DataFrame, starts: DataFrame, targets: DataFrame | None = N
         step = step.withColumn("p", F.round(F.col("strength") * F.col("s"), 9)).filter(F.col("p") > least)
         step = step.join(seen.withColumnRenamed("end", "dst"), ["query_id", "dst"], "left_anti")
         best = step.groupBy("query_id", "dst").agg(F.min_by(F.struct("path", "types", "type", "p"), F.struct((-F.col("p")).alias("m"), "end", "type")).alias("b"))
-        front = _kept(best.select("query_id", F.col("dst").alias("end"), F.concat("b.path", F.array("dst")).alias("path"), F.concat("b.types", F.array("b.type")).alias("types"), F.col("b.p").alias("strength"), F.lit(hop).alias("hops")), "frontier")
+        front = kept(best.select("query_id", F.col("dst").alias("end"), F.concat("b.path", F.array("dst")).alias("path"), F.concat("b.types", F.array("b.type")).alias("types"), F.col("b.p").alias("strength"), F.lit(hop).alias("hops")), "frontier")
         seen = seen.union(front.select("query_id", "end"))
         found = front if found is None else found.union(front)
     hits = found if targets is None else found.join(targets.select("query_id", F.col("doc_id").alias("end")).distinct(), ["query_id", "end"], "left_semi")
@@ -193,7 +184,7 @@ def neighborhood(edges: DataFrame, starts: DataFrame, radius: int = 2) -> tuple[
     front = nodes
     for _ in range(radius):
         near = front.join(links, F.col("doc_id") == F.col("src")).select("query_id", F.col("dst").alias("doc_id")).distinct()
-        front = _kept(near.join(nodes, ["query_id", "doc_id"], "left_anti"), "ring")
+        front = kept(near.join(nodes, ["query_id", "doc_id"], "left_anti"), "ring")
         nodes = nodes.union(front)
     inside = nodes.select("query_id", F.col("doc_id").alias("src")).join(edges, "src").join(nodes.withColumnRenamed("doc_id", "dst"), ["query_id", "dst"], "left_semi")
     return nodes, inside
@@ -218,7 +209,8 @@ def related_entities(entities: DataFrame, names: DataFrame, top: int = 10) -> Da
 
 def entity_insights(entities: DataFrame, edges: DataFrame, names: DataFrame) -> DataFrame:
     """(name, documents, neighbours, related): documents of a name or alias, documents linked to them, and related entities."""
-    hit = names.join(entities, (F.col("name") == F.col("canonical")) | F.array_contains("aliases", F.col("name"))).select("name", "doc_id").distinct()
+    called = entities.select("doc_id", F.col("canonical").alias("name")).union(entities.select("doc_id", F.explode("aliases").alias("name")))
+    hit = names.join(called, "name").select("name", "doc_id").distinct()
     near = hit.join(both_ways(edges).select(F.col("src").alias("doc_id"), "dst"), "doc_id").select("name", "dst").distinct().groupBy("name").agg(F.count("*").alias("neighbours"))
     related = related_entities(entities, names).groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "canonical"))), lambda s: s["canonical"]).alias("related"))
     return hit.groupBy("name").agg(F.count("*").alias("documents")).join(near, "name", "left").join(related, "name", "left").fillna(0, ["neighbours"])

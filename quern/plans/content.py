@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..operators import context as X
@@ -12,6 +10,7 @@ from ..operators import embed as B
 from ..operators import query_log as Q
 from ..operators import scan as S
 from ..sources import tabular as T
+from ..sources.shared import kept, shared_path
 from ..streaming import streams as R
 from .corpus import _risky, docs, notes
 from .inputs import read
@@ -200,11 +199,11 @@ def validate_filenames(spark, sf_dir):
 
 
 def _hits(spark, sf_dir, n=8):
-    """For every twentieth vector its nearest vectors, each with a note's text."""
+    """For every twentieth vector its nearest vectors, each with the text of the document of that id."""
     v = corpus(spark, sf_dir)
     hits = dense.with_relevance(dense.knn_cosine(v, asked(v), n))
-    sizes = notes(spark, sf_dir).select(F.col("doc_id").alias("note"), "title", "text", "source", "created_at")
-    return hits.withColumn("note", F.col("doc_id") % 10).join(sizes, "note").withColumn("metadata", F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2"), F.lit("c"), F.lit("3"), F.lit("d"), F.lit("4"))).otherwise(F.create_map(F.lit("a"), F.lit("1"))))
+    texts = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), "text", "source", F.expr("timestamp '1998-01-01 00:00:00' + (doc_id % 1000) * interval '1 day'").alias("created_at"))
+    return hits.join(texts, "doc_id").withColumn("metadata", F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2"), F.lit("c"), F.lit("3"), F.lit("d"), F.lit("4"))).otherwise(F.create_map(F.lit("a"), F.lit("1"))))
 
 
 def hit_importance(spark, sf_dir):
@@ -305,7 +304,7 @@ def _starts(spark, sf_dir):
 
 def _paths(spark, sf_dir):
     """From every twentieth note to all others."""
-    return graph.multi_hop(graph._kept(_edges(spark, sf_dir), "edges"), _starts(spark, sf_dir))
+    return graph.multi_hop(kept(_edges(spark, sf_dir), "edges"), _starts(spark, sf_dir))
 
 
 def multi_hop(spark, sf_dir):
@@ -317,7 +316,7 @@ def reasoning_chain(spark, sf_dir):
 
 
 def neighborhood(spark, sf_dir):
-    nodes, inside = graph.neighborhood(graph._kept(_edges(spark, sf_dir), "edges"), _starts(spark, sf_dir))
+    nodes, inside = graph.neighborhood(kept(_edges(spark, sf_dir), "edges"), _starts(spark, sf_dir))
     return nodes.groupBy("query_id").agg(F.count("*").alias("nodes")).join(inside.groupBy("query_id").agg(F.count("*").alias("edges")), "query_id", "left")
 
 
@@ -345,7 +344,7 @@ def follow_up(spark, sf_dir):
 def multi_hop_batch(spark, sf_dir):
     hits = _starts(spark, sf_dir).withColumn("rank", F.lit(1))
     names = _starts(spark, sf_dir).select("query_id", F.lit("Jane Smith").alias("name"))
-    return _longs(graph.multi_hop_batch(graph._kept(_edges(spark, sf_dir), "edges"), _entities(spark, sf_dir), hits, names)).select("query_id", "doc_id", "distance")
+    return _longs(graph.multi_hop_batch(kept(_edges(spark, sf_dir), "edges"), _entities(spark, sf_dir), hits, names)).select("query_id", "doc_id", "distance")
 
 
 # tabular sources
@@ -361,7 +360,7 @@ def clean_cells(spark, sf_dir):
 
 
 def clean_columns(spark, sf_dir):
-    n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias(" Nation-Key! "), F.col("n_name").alias("User  Name"), F.col("n_regionkey").alias("user name"))
+    n = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias(" Customer-Key! "), F.col("c_name").alias("User  Name"), F.col("c_nationkey").alias("user name"))
     return T.clean_columns(n)
 
 
@@ -394,8 +393,7 @@ def corpus_fingerprint(spark, sf_dir):
 
 
 def gen_golden(spark, sf_dir):
-    n = read(spark, sf_dir, "nation").count()
-    return T.gen_golden(spark, n).join(read(spark, sf_dir, "nation").select(F.format_string("qa_%04d", "n_nationkey").alias("qa"), "n_name"), "qa")
+    return T.gen_golden(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_name")).select("qa", "question", "answer", "relevant_doc", "difficulty", "c_name")
 
 
 def decode_bytes(spark, sf_dir):
@@ -403,14 +401,14 @@ def decode_bytes(spark, sf_dir):
 
 
 def sniff_delimiter(spark, sf_dir):
-    sep = F.element_at(F.array(*map(F.lit, (",", ";", "\t", "|", " "))), (F.col("n_nationkey") % 5 + 1).cast("int"))
-    lines = read(spark, sf_dir, "nation").select(F.col("n_name").alias("path"), F.posexplode(F.array(*(F.concat(F.lit("a"), sep, F.lit("b, c" if i == 2 else "b"), sep, F.lit("c")) for i in range(6)))).alias("line_no", "line"))
+    sep = F.element_at(F.array(*map(F.lit, (",", ";", "\t", "|", " "))), (F.col("c_custkey") % 5 + 1).cast("int"))
+    lines = read(spark, sf_dir, "customer").select(F.col("c_name").alias("path"), F.posexplode(F.array(*(F.concat(F.lit("a"), sep, F.lit("b, c" if i == 2 else "b"), sep, F.lit("c")) for i in range(6)))).alias("line_no", "line"))
     return T.sniff_delimiter(lines.withColumn("line_no", F.col("line_no") + 1))
 
 
 def scan_csv_auto(spark, sf_dir):
-    path = tempfile.mkdtemp(prefix="quern-csv-") if spark.sparkContext.master.startswith("local[") else spark.sparkContext.getConf().get("spark.checkpoint.dir") + "/csv"
-    read(spark, sf_dir, "nation").select("n_nationkey", F.when(F.col("n_nationkey") % 4 == 0, "N/A").otherwise(F.col("n_name")).alias("Nation Name")).write.mode("overwrite").csv(path, header=True)
+    path = shared_path(spark, "csv")
+    read(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, "N/A").otherwise(F.col("c_name")).alias("Customer Name")).write.csv(path, header=True)
     return T.scan_csv_auto(spark, path)
 
 
@@ -419,10 +417,7 @@ def scan_csv_auto(spark, sf_dir):
 
 def _streamed(spark, df, build, mode="append"):
     """What a stream over df's rows, one file a batch, has written at its end."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="quern-")
-    import uuid
-
-    folder = f"{base}/quern/stream-{uuid.uuid4().hex}"
+    folder = shared_path(spark, "stream")
     df.write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(df.schema).parquet(f"{folder}/in")
     q = build(stream).writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
@@ -453,10 +448,7 @@ def stream_alerts(spark, sf_dir):
 
 
 def stream_ingest(spark, sf_dir):
-    import uuid
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="quern-")
-    folder = f"{base}/quern/ingest-{uuid.uuid4().hex}"
+    folder = shared_path(spark, "ingest")
     docs(spark, sf_dir).select("doc_id", "text").write.parquet(f"{folder}/in")
     R.stream_ingest(spark.readStream.schema("doc_id long, text string").parquet(f"{folder}/in"), f"{folder}/ledger", f"{folder}/out", f"{folder}/state").awaitTermination()
     return spark.read.parquet(f"{folder}/out").groupBy("doc_id").agg(F.count("*").alias("chunks"))
@@ -468,7 +460,7 @@ _RISKY = """risky as (select *, text || case doc_id % 6 when 0 then ' <script>al
   when 3 then ''' or 1 = 1 http://10.0.0.1/admin/password=secret' when 4 then ' powershell http://very-long-name-of-a-host-that-goes-on-and-on-for-ever.example.com/' else '' end as t from notes)"""
 _HITS = """v as (select vec_id as doc_id, cast(embedding as double[]) as vec from embeddings), h0 as (select q.doc_id as query_id, v.doc_id, list_cosine_similarity(q.vec, v.vec) as s from v q, v where q.doc_id % 20 = 0),
 h1 as (select *, row_number() over (partition by query_id order by round(s, 6) desc, doc_id) as rank from h0 qualify rank <= 8),
-hits as (select query_id, h1.doc_id, rank, greatest(0, least(1, s)) as relevance, title, text, source, created_at from h1 join notes n on h1.doc_id % 10 = n.doc_id)"""
+hits as (select query_id, h1.doc_id, rank, greatest(0, least(1, s)) as relevance, 'Document ' || h1.doc_id as title, text, source, timestamp '1998-01-01 00:00:00' + (h1.doc_id % 1000) * interval '1 day' as created_at from h1 join documents n on h1.doc_id = n.doc_id)"""
 
 
 def _lit(s):
@@ -519,14 +511,14 @@ SQL = {
     "entity_canonical": "select doc_id, case doc_id % 4 when 0 then 'Jane Smith ' || doc_id when 1 then 'Acme ' || doc_id || ' Corp' when 2 then '$1' || doc_id || '000' else 'profit' end as canonical from notes",
     "entity_aliases": "select doc_id, case when doc_id % 5 = 0 then 'key performance indicator|performance indicator|kpi' when doc_id % 2 = 0 then 'A. B. N. ' || substr(cast(doc_id as varchar), 1, 1) || '.|Acme' else 'ABN' || substr(cast(doc_id as varchar), 1, 1) end as aliases from notes",
     "clean_cells": "select o_orderkey, cast(o_custkey as varchar) as o_custkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as o_orderdate, 'a b ' || o_orderpriority as note from orders",
-    "clean_columns": "select n_nationkey as nation_key, n_name as user_name, n_regionkey as user_name_2 from nation",
+    "clean_columns": "select c_custkey as customer_key, c_name as user_name, c_nationkey as user_name_2 from customer",
     "route_formats": "select p_partkey, case when p_partkey * 1000000 <= 52428800 then case p_partkey % 4 when 0 then 'csv' when 1 then 'csv' when 2 then 'excel' end end as reader, case when p_partkey * 1000000 > 52428800 then 'too large' when p_partkey % 4 = 3 then 'unsupported' end as reason from part",
     "rows_to_docs": "select c_custkey as ordinal, 'Customer row. name: ' || c_name || case when c_custkey % 3 > 0 then ' | market_segment: ' || c_mktsegment else '' end || ' | c_nationkey: ' || c_nationkey as text, cast(case when c_custkey % 3 > 0 then 3 else 2 end as bigint) as n, c_custkey // 1000 as chunk from customer",
     "rows_to_docs_packed": """with l as (select c_custkey, c_custkey // 1000 as chunk, '[Row: ' || (c_custkey + 1) || '] name: ' || c_name || case when c_custkey % 3 > 0 then ' | market_segment: ' || c_mktsegment else '' end || ' | c_nationkey: ' || c_nationkey as t from customer)
       select chunk, case when count(*) over () = 1 then 'customers.csv' else 'customers.csv - Part ' || (chunk + 1) end as title, sha256(string_agg(t, chr(10) order by c_custkey)) as text, min(c_custkey) + 1 as start_row, max(c_custkey) + 1 as end_row from l group by chunk""",
     "sheet_docs": """with l as (select c_custkey, cast(c_nationkey % 3 as bigint) as sheet, c_custkey // 1000 as chunk, '[Row: ' || (c_custkey + 1) || '] name: ' || c_name || case when c_custkey % 3 > 0 then ' | market_segment: ' || c_mktsegment else '' end || ' | c_nationkey: ' || c_nationkey as t from customer)
       select sheet, chunk, 'book (' || sheet || ')' || case when count(*) over (partition by sheet) = 1 then '' else ' - Part ' || (chunk + 1) end as title, sha256(string_agg(t, chr(10) order by c_custkey)) as text from l group by sheet, chunk""",
-    "gen_golden": "select printf('qa_%04d', n_nationkey) as qa, ['What is topic ' || n_nationkey || '?', 'How does process ' || n_nationkey || ' work?', 'Why is metric ' || n_nationkey || ' important?'][n_nationkey % 3 + 1] as question, ['Topic ' || n_nationkey || ' is described in document ' || n_nationkey || '.', 'Process ' || n_nationkey || ' works as in document ' || n_nationkey || '.', 'Metric ' || n_nationkey || ' matters as in document ' || n_nationkey || '.'][n_nationkey % 3 + 1] as answer, 'doc_' || n_nationkey as relevant_doc, ['easy', 'medium', 'hard'][n_nationkey % 3 + 1] as difficulty, n_name from nation",
-    "scan_csv_auto": "select cast(n_nationkey as varchar) as n_nationkey, case when n_nationkey % 4 <> 0 then n_name end as nation_name from nation",
+    "gen_golden": "select printf('qa_%04d', c_custkey) as qa, ['What is topic ' || c_custkey || '?', 'How does process ' || c_custkey || ' work?', 'Why is metric ' || c_custkey || ' important?'][c_custkey % 3 + 1] as question, ['Topic ' || c_custkey || ' is described in document ' || c_custkey || '.', 'Process ' || c_custkey || ' works as in document ' || c_custkey || '.', 'Metric ' || c_custkey || ' matters as in document ' || c_custkey || '.'][c_custkey % 3 + 1] as answer, 'doc_' || c_custkey as relevant_doc, ['easy', 'medium', 'hard'][c_custkey % 3 + 1] as difficulty, c_name from customer",
+    "scan_csv_auto": "select cast(c_custkey as varchar) as c_custkey, case when c_custkey % 4 <> 0 then c_name end as customer_name from customer",
 }
 QUERIES = {f.__name__: f for f in (quantize_int8, quantize_binary, quantize, dequantize, quantize_pq, quantization_stats, quantization_bench, domain_vocabulary, domain_boost, domain_embeddings, keyword_vector, structural_vector, temporal_vector, multi_vector, combine_vectors, multi_vector_search, embedding_pipeline, embedding_memo, stale_keys, scan_patterns, scan_patterns_basic, scan_keywords, byte_entropy, extract_urls, suspicious_urls, detect_type, detect_bom, validate_files, validate_files_basic, check_active_content, validate_filenames, hit_importance, key_points, summarize, compress_docs, select_diverse, context_window, format_context, context_stats, context_by_chars, truncate_text, extract_entities, entity_canonical, entity_aliases, merge_entities, entity_index, doc_edges, edge_strength, edge_type, multi_hop, reasoning_chain, neighborhood, graph_stats, related_entities, entity_insights, follow_up, multi_hop_batch, scan_html_pages, clean_cells, clean_columns, route_formats, rows_to_docs, rows_to_docs_packed, sheet_docs, corpus_fingerprint, gen_golden, decode_bytes, sniff_delimiter, scan_csv_auto, stream_scores, stream_quality, stream_event_log, stream_feedback, stream_alerts, stream_ingest)}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import monitor as M
+from ..sources.shared import kept
 from .inputs import read
 
 AS_OF = "2000-06-01 00:00:00"
@@ -58,13 +59,13 @@ def satisfaction(spark, sf_dir):
 
 
 def quality_summary(spark, sf_dir):
-    own = scored(spark, sf_dir)
+    own = kept(scored(spark, sf_dir).select("id", "ts", "overall", "confidence", "hallucination_risk", "grounding"), "scores")
     one = M.quality_summary(own, M.quality_alerts(own), AS_OF, 24 * 365)
     return one.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in one.dtypes))
 
 
 def open_alerts(spark, sf_dir):
-    alerts = M.quality_alerts(scored(spark, sf_dir))
+    alerts = kept(M.quality_alerts(scored(spark, sf_dir)), "alerts")
     return M.open_alerts(alerts, alerts.filter("id % 3 = 0").select("id", "metric")).select("id", "metric", "level")
 
 

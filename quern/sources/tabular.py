@@ -141,7 +141,7 @@ def extract_text_by_type(content: Column, kind: Column) -> Column:
     text = decode_bytes(content)
     parsed = F.try_parse_json(text) if hasattr(F, "try_parse_json") else None
     pretty = F.to_json(parsed, {"pretty": "true"}) if parsed is not None else text
-    return F.when(kind.contains("json"), F.coalesce(pretty, text)).when(kind.startswith("text"), text).otherwise(F.replace(F.decode(content, "UTF-8"), F.lit("\ufffd"), F.lit("")))
+    return F.when(kind.contains("json"), F.coalesce(pretty, text)).when(kind.startswith("text"), text).otherwise(F.replace(F.make_valid_utf8(content.cast("string")), F.lit("\ufffd"), F.lit("")))
 
 
 def row_text(df: DataFrame, keep: tuple[str, ...]) -> Column:
@@ -174,20 +174,20 @@ def sheet_docs(df: DataFrame, sheet: str, ordinal: str, name: str) -> DataFrame:
     return rows_to_docs_packed(df, ordinal, name, key=(sheet,))
 
 
-def load_golden(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("id string, question string, answer string, relevant_docs array<string>, metadata map<string,string>").json(path, multiLine=True)
+def load_golden(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Questions with answers from files of one JSON array each, or of a JSON row a line."""
+    return spark.read.schema("id string, question string, answer string, relevant_docs array<string>, metadata map<string,string>").json(path, multiLine=multi_line)
 
 
 #: (question, answer, difficulty) of the generated golden rows.
 TEMPLATES = (("What is topic %d?", "Topic %d is described in document %d.", "easy"), ("How does process %d work?", "Process %d works as in document %d.", "medium"), ("Why is metric %d important?", "Metric %d matters as in document %d.", "hard"))
 
 
-def gen_golden(spark: SparkSession, n: int) -> DataFrame:
-    """(id, question, answer, relevant_doc, difficulty): n rows from the templates in turn."""
-    rows = spark.range(n)
+def gen_golden(rows: DataFrame) -> DataFrame:
+    """rows (id) with a question on each from the templates in turn: qa, question, answer, relevant_doc, difficulty."""
     pick = lambda i: F.element_at(F.array(*(F.lit(t[i]) for t in TEMPLATES)), (F.col("id") % 3 + 1).cast("int"))
     number = lambda c: F.replace(c, F.lit("%d"), F.col("id").cast("string"))
-    return rows.select(F.format_string("qa_%04d", "id").alias("qa"), number(pick(0)).alias("question"), number(pick(1)).alias("answer"), F.concat(F.lit("doc_"), F.col("id").cast("string")).alias("relevant_doc"), pick(2).alias("difficulty"))
+    return rows.select("*", F.format_string("qa_%04d", "id").alias("qa"), number(pick(0)).alias("question"), number(pick(1)).alias("answer"), F.concat(F.lit("doc_"), F.col("id").cast("string")).alias("relevant_doc"), pick(2).alias("difficulty"))
 
 
 def export_json(df: DataFrame, path: str) -> None:

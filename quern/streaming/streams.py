@@ -39,27 +39,28 @@ def stream_event_log(events: DataFrame) -> DataFrame:
 
 
 def stream_alerts(rows: DataFrame) -> DataFrame:
-    """(id, ts, metric, level, value): alerts while fewer than ten came before in the row's hour; a day's 24 counts are its state, dropped 48 hours after it by event time."""
+    """(id, ts, metric, level, value): alerts while fewer than ten came before in the row's hour; an hour's count is its state, dropped 48 hours after it by event time."""
     own = M.alert_candidates(M.score_interactions(rows).withColumn("ts", F.col("ts").cast("timestamp"))).filter(F.size("alerts") > 0)
-    keyed = own.withWatermark("ts", "1 hour").select(F.date_trunc("day", "ts").alias("day"), F.hour("ts").alias("hour"), "id", "ts", "alerts")
+    keyed = own.withWatermark("ts", "1 hour").select(F.date_trunc("hour", "ts").alias("hour"), "id", "ts", "alerts")
 
     def limit(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        before = list(state.get[0]) if state.exists else [0] * 24
+        before = state.get[0] if state.exists else 0
         out = []
-        for row in pd.concat(list(parts)).sort_values(["ts", "id"]).itertuples():
-            if before[row.hour] >= M.ALERTS_PER_HOUR:
-                continue
-            before[row.hour] += len(row.alerts)
+        rows = list(parts)
+        for row in (rows[0] if len(rows) == 1 else pd.concat(rows)).sort_values(["ts", "id"]).itertuples():
+            if before >= M.ALERTS_PER_HOUR:
+                break
+            before += len(row.alerts)
             out += [(row.id, row.ts, a["metric"], a["level"], a["value"]) for a in row.alerts]
         state.update((before,))
         if state.getCurrentWatermarkMs() >= 0:
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(pd.Timestamp(key[0]).timestamp() * 1000) + 72 * 3_600_000))
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(pd.Timestamp(key[0]).timestamp() * 1000) + 49 * 3_600_000))
         yield pd.DataFrame(out, columns=["id", "ts", "metric", "level", "value"])
 
-    return keyed.groupBy("day").applyInPandasWithState(limit, "id long, ts timestamp, metric string, level string, value double", "n array<long>", "append", "EventTimeTimeout")
+    return keyed.groupBy("hour").applyInPandasWithState(limit, "id long, ts timestamp, metric string, level string, value double", "n long", "append", "EventTimeTimeout")
 
 
 def stream_ingest(files: DataFrame, ledger_path: str, out_path: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None):
