@@ -14,6 +14,7 @@ from ..sources.shared import kept, shared_path
 from ..streaming import streams as R
 from .corpus import _risky, docs, notes
 from .inputs import read
+from . import quality as Y
 from .quality import feedback, interactions
 from .retrieval import asked, corpus
 
@@ -521,4 +522,28 @@ SQL = {
     "gen_golden": "select printf('qa_%04d', c_custkey) as qa, ['What is topic ' || c_custkey || '?', 'How does process ' || c_custkey || ' work?', 'Why is metric ' || c_custkey || ' important?'][c_custkey % 3 + 1] as question, ['Topic ' || c_custkey || ' is described in document ' || c_custkey || '.', 'Process ' || c_custkey || ' works as in document ' || c_custkey || '.', 'Metric ' || c_custkey || ' matters as in document ' || c_custkey || '.'][c_custkey % 3 + 1] as answer, 'doc_' || c_custkey as relevant_doc, ['easy', 'medium', 'hard'][c_custkey % 3 + 1] as difficulty, c_name from customer",
     "scan_csv_auto": "select cast(c_custkey as varchar) as c_custkey, case when c_custkey % 4 <> 0 then c_name end as customer_name from customer",
 }
+# files: the first bytes in hexadecimal, then the text's
+_FILES = f"""{_RISKY}, files as (select doc_id, case when doc_id % 17 = 0 then 'con.txt' when doc_id % 19 = 0 then 'a/b.csv' else 'my_file-' || doc_id || '.' || ['pdf', 'txt', 'csv', 'exe', 'md', 'json'][doc_id % 6 + 1] end as name,
+  case when doc_id % 23 = 0 then '' else case doc_id % 8 when 0 then '25504446' when 1 then '4D5A' when 2 then 'EFBBBF' when 3 then 'FF' else '' end || hex(encode(t)) end as h, t from risky),
+ext as (select *, lower(regexp_extract(name, '\\.([^.]*)$', 1)) as ext from files),
+typed as (select *, case {" ".join(f"when starts_with(h, '{sig}') then '{mime}'" for sig, mime in S.SIGNATURES)} end as found, case ext {" ".join(f"when '{e}' then '{mime}'" for e, mime in S.EXTENSIONS)} end as guess from ext),
+kinds as (select *, coalesce(found, guess, 'application/octet-stream') as mime from typed),
+basic as (select *, list_filter([case when regexp_matches(name, '\\.\\.|[/\\\\<>:"|?*]') or upper(split_part(name, '.', 1)) in ({", ".join(f"'{r}'" for r in S.RESERVED)}) then 'name' end, case when ext not in ({", ".join(f"'{e}'" for e in S.ALLOWED)}) then 'extension' end,
+  case when h = '' then 'empty' end, {", ".join(f"case when starts_with(h, '{sig}') then 'signature {sig}' end" for sig in S.DANGEROUS)}], lambda x: x is not null) as errors from kinds)"""
+SQL |= {
+    "detect_type": f"with {_FILES} select doc_id, mime, case when found is not null then 0.9 when guess is not null then 0.7 else 0.3 end as confidence from kinds",
+    "detect_bom": f"with {_FILES} select doc_id, case when starts_with(h, 'FF') then 'latin-1' else 'utf-8' end as encoding, starts_with(h, 'EFBBBF') as bom, case when starts_with(h, 'EFBBBF') then 0.9 when starts_with(h, 'FF') then 0.5 else 0.7 end as confidence from files",
+    "validate_files_basic": f"with {_FILES} select doc_id, array_to_string(errors, '|') as errors, sha256(unhex(h)) as sha256 from basic",
+    "validate_files": f"""with {_FILES}, scans as ({SQL["scan_patterns"].split("from notes)", 1)[1].strip().replace("from risky", "from risky")}),
+      more as (select b.doc_id, b.errors || list_filter([case when not ({" or ".join(f"(ext = '{e}' and mime in ({', '.join(repr(m) for m in ms)}))" for e, ms in S.ALLOWED.items())}) then 'type' end, case when h <> '' and threats <> '' then 'content' end], lambda x: x is not null) as errors from basic b join scans using (doc_id))
+      select doc_id, array_to_string(errors, '|') as errors from more""",
+    "stream_scores": Y.SQL["score_interactions"].replace("select id, round(grounding, 6) as grounding, round(confidence, 6) as confidence, round(hallucination_risk, 6) as hallucination_risk, round(overall, 6) as overall from z", "select id, round(overall, 6) as overall from z"),
+    "stream_alerts": Y.SQL["quality_alerts"],
+    "compress_docs": f"""with short as ({SQL["summarize"]}), cut as (select doc_id, case when length(summary) // 4 > 40 then substr(summary, 1, cast(floor(length(summary) * (40 / (length(summary) // 4)) * 0.9) as bigint)) || '...' else summary end as text from short)
+      select doc_id, text, length(text) // 4 as token_count from cut""",
+    "context_by_chars": f"""with {_HITS}, l as (select *, substr(text, 1, 200) as head, length(substr(text, 1, 200)) - least(coalesce(nullif(strpos(reverse(substr(text, 1, 200)), '.'), 0), 201), coalesce(nullif(strpos(reverse(substr(text, 1, 200)), chr(10)), 0), 201)) as b from hits),
+      p as (select query_id, rank, 'Document: ' || title || chr(10) || 'Content: ' || case when length(text) <= 200 then text else (case when b > 100 then substr(text, 1, b + 1) else head end) || chr(10) || chr(10) || '[Content truncated due to length...]' end as part from l),
+      k as (select *, sum(length(part)) over (partition by query_id order by rank) as total from p)
+      select query_id, sha256(string_agg(part, chr(10) || chr(10) order by rank)) as context from k where total <= 900 group by query_id""",
+}
 QUERIES = {f.__name__: f for f in (quantize_int8, quantize_binary, quantize, dequantize, quantize_pq, quantization_stats, quantization_bench, domain_vocabulary, domain_boost, domain_embeddings, keyword_vector, structural_vector, temporal_vector, multi_vector, combine_vectors, multi_vector_search, embedding_pipeline, embedding_memo, stale_keys, scan_patterns, scan_patterns_basic, scan_keywords, byte_entropy, extract_urls, suspicious_urls, detect_type, detect_bom, validate_files, validate_files_basic, check_active_content, validate_filenames, hit_importance, key_points, summarize, compress_docs, select_diverse, context_window, format_context, context_stats, context_by_chars, truncate_text, extract_entities, entity_canonical, entity_aliases, merge_entities, entity_index, doc_edges, edge_strength, edge_type, multi_hop, reasoning_chain, neighborhood, graph_stats, related_entities, entity_insights, follow_up, multi_hop_batch, scan_html_pages, clean_cells, clean_columns, route_formats, rows_to_docs, rows_to_docs_packed, sheet_docs, corpus_fingerprint, gen_golden, decode_bytes, sniff_delimiter, scan_csv_auto, stream_scores, stream_quality, stream_event_log, stream_feedback, stream_alerts, stream_ingest)}

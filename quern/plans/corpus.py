@@ -362,4 +362,18 @@ SQL = {
     "cache_log_stats": "select event_type as type, count(*) as requests, count(*) filter (where value > 20) as hits, round(avg(case when value > 20 then 1 else 0 end), 6) as hit_rate from events group by 1",
     "event_log": "select cast(floor(epoch(date_trunc('hour', ts))) as bigint) as hour, event_type, count(*) as n from events group by 1, 2",
 }
+
+
+def _hybrid(text, cap):
+    """Chunks by paragraphs where a text has two and they give a chunk, else by sentences."""
+    para, sent = _pack(text, r"\n\s*\n", cap, 50, "paragraph"), _pack(text, r"[.!?]+\s+", cap, 50, "sentence_boundary")
+    return f"""with n as (select doc_id, count(*) as parts from ({para} select * from seg) group by doc_id), para as ({para} select * from chunks), sent as ({sent} select * from chunks),
+own as (select para.* from para join n using (doc_id) where parts >= 2)
+select * from own union all select * from sent where doc_id not in (select doc_id from own)"""
+
+
+SQL |= {
+    "chunk_hybrid": f"select doc_id, chunk_index, chunk_type, sha256(content) as content, token_count, char_start from ({_hybrid('replace(text, chr(10), chr(10) || chr(10))', 256)})",
+    "chunk_documents": f"select doc_id, count(*) as chunks, cast(sum(token_count) as bigint) as tokens from ({_hybrid('text', 1024)}) group by doc_id",
+}
 QUERIES = {f.__name__: f for f in (count_tokens, sentence_bounds, paragraph_bounds, section_bounds, chunk_fixed, chunk_sentences, chunk_by_bounds, chunk_hybrid, chunk_documents, chunk_context, chunk_stats, get_by_id, list_preview, list_page, delete_by_id, delete_by_filter, upsert_docs, patch_docs, doc_status, delete_file_cascade, validate_docs, validate_queries, validate_uploads, validate_strings, validate_payload_rows, flag_injection, strip_html, cond_relevance, append_docs, append_docs_meta, append_docs_checked, create_docs, document_metadata, dedupe_exact, processed_ledger, dup_by_hash, near_dup, doc_count, collection_stats, collection_status, document_stats, file_stats, latency_stats, ingest_stats, pipeline_stats, cache_log_stats, event_log)}

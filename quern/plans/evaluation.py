@@ -8,7 +8,8 @@ from ..operators import dense, fusion
 from ..operators import evaluate as E
 from .inputs import read
 from .quality import interactions
-from .retrieval import asked, corpus
+from .retrieval import _AB as _LISTS
+from .retrieval import _MM, asked, corpus
 
 K = 10
 
@@ -251,4 +252,6 @@ SQL = {
     "ab_message": f"{_AB} select experiment, case when abs(t) > 1.96 then 'Configuration ' || winner || ' is significantly better by ' || printf('%.1f', abs(am - bm) / least(am, bm) * 100) || '%. Recommend deploying ' || winner || '.' else 'No statistically significant difference found. More data may be needed.' end as message from t",
 }
 QUERIES = {n: _pick(n, *(f"{c}_{k}" for k in (1, 3, 5, 10))) for n, c in (("recall_at_k", "recall"), ("precision_at_k", "precision"), ("ndcg_at_k", "ndcg"))} | {n: _pick(n, n) for n in ("mrr", "average_precision")}
+SQL["source_analysis"] = f"""{_LISTS}, {_MM}, s as (select source, count(*) as n, avg(round(c, 6)) as mean, quantile_cont(round(c, 6), 0.5) as median, stddev_pop(round(c, 6)) as deviation from fused group by source)
+select source, n, round(mean, 6) as mean, round(median, 6) as median, round(deviation, 6) as deviation, round(n / sum(n) over (), 6) as share from s"""
 QUERIES |= {f.__name__: f for f in (evaluate_retrieval, evaluate_search_run, faithfulness, answer_relevance, answer_coherence, informativeness, evaluate_rag, bleu, rouge, rouge_l, evaluate_generation, embedding_score, groundedness, request_log, request_stats, overall_score, evaluate_all, compare_baseline, run_trends, recommendations, grade_run, source_analysis, compare_modes, ab_assign, ab_runs, ab_analyze, ab_message, ab_significance)}
