@@ -1,5 +1,8 @@
 """The document graph against brute force, with forms that most documents hold."""
 
+import random
+from collections import Counter
+
 from quern.operators import graph
 from quern.plans import catalog, content
 
@@ -35,3 +38,78 @@ def test_queries_take_every_form_and_target(spark, monkeypatch):
     assert catalog.QUERIES["doc_edges"](spark, "").count() == 40 * 39 // 2
     assert catalog.QUERIES["multi_hop"](spark, "").filter("end > query_id + 60 or end < query_id").count() > 0
     assert catalog.QUERIES["entity_index"](spark, "").filter("canonical = 'The Growth'").first().documents == 40
+
+
+def _random_graph(spark):
+    r = random.Random(6)
+    pairs = sorted({(a, b) for a, b in ((r.randrange(24), r.randrange(24)) for _ in range(90)) if a > b})
+    rows = [(a, b, round(0.4 + 0.6 * r.random(), 6), r.choice(("causal", "semantic")), ["x"]) for a, b in pairs]
+    return rows, spark.createDataFrame(rows, "src long, dst long, strength double, type string, shared array<string>")
+
+
+def test_multi_hop_and_what_follows_from_it(spark):
+    rows, edges = _random_graph(spark)
+    starts = spark.createDataFrame([(1, 0), (2, 5)], "query_id long, doc_id long")
+    paths = graph.multi_hop(edges, starts, top=100).collect()
+    links = {}
+    for a, b, s, t, _ in rows:
+        links.setdefault(a, []).append((b, s, t))
+        links.setdefault(b, []).append((a, s, t))
+    want = {}
+    for q, start in ((1, 0), (2, 5)):
+        seen, front = {start}, {start: ((start,), 1.0)}
+        for hop in (1, 2, 3):
+            step = {}
+            for end, (path, p) in front.items():
+                for to, s, _ in links.get(end, ()):
+                    new = round(p * s, 9)
+                    if to not in seen and new > 0.1 and (to not in step or (-new, end) < step[to][0]):
+                        step[to] = ((-new, end), path + (to,), new)
+            front = {to: (path, p) for to, (_, path, p) in step.items()}
+            seen |= set(front)
+            want |= {(q, to): (path, p, hop) for to, (path, p) in front.items()}
+    got = {(x.query_id, x.end): (tuple(x.path), x.strength, x.hops) for x in paths}
+    assert got.keys() == want.keys() and len(want) > 20
+    assert all(got[k][::2] == want[k][::2] and abs(got[k][1] - want[k][1]) < 1e-6 for k in want)
+    best = graph.multi_hop(edges, starts)
+    chain = {(x.query_id, x.end): x for x in graph.reasoning_chain(best).collect()}
+    assert all(len(x.chain) == x.hops and x.chain[0].startswith(f"Document {x.path[0]} ") and x.chain[-1].endswith(f" document {x.end}") for x in chain.values()) and len(chain) == 10
+    asked = graph.follow_up(best).collect()
+    assert all(sum(x.query_id == q for x in asked) <= 5 for q in (1, 2)) and any("compare" in x.question for x in asked)
+    targets = spark.createDataFrame([(1, 3), (2, 3)], "query_id long, doc_id long")
+    assert {x.end for x in graph.multi_hop(edges, starts, targets).collect()} <= {3}
+
+
+def test_neighborhood(spark):
+    rows, edges = _random_graph(spark)
+    nodes, inside = graph.neighborhood(edges, spark.createDataFrame([(1, 0), (2, 5)], "query_id long, doc_id long"))
+    near = {}
+    for a, b, *_ in rows:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    for q, start in ((1, 0), (2, 5)):
+        ring = {start} | near.get(start, set())
+        ring |= {n for m in ring for n in near.get(m, ())}
+        assert {x.doc_id for x in nodes.collect() if x.query_id == q} == ring
+        assert sorted((x.src, x.dst) for x in inside.collect() if x.query_id == q) == [r[:2] for r in rows if r[0] in ring and r[1] in ring]
+
+
+def test_entities_of_names(spark):
+    rows, edges = _random_graph(spark)
+    r = random.Random(7)
+    held = sorted({(d, f"e{r.randrange(8)}") for d in range(24) for _ in range(3)})
+    entities = spark.createDataFrame([(d, "organization", e, 0.5, [f"{e}-alias"], 1) for d, e in held], "doc_id long, entity_type string, canonical string, confidence double, aliases array<string>, mentions long")
+    names = spark.createDataFrame([("e1",), ("e2-alias",), ("nobody",)], "name string")
+    docs = {n: {d for d, e in held if e == n.removesuffix("-alias")} for n in ("e1", "e2-alias")}
+    together = Counter(e for d, e in held if d in docs["e1"] and e != "e1")
+    got = [(x.canonical, x.n) for x in graph.related_entities(entities, names).orderBy("rank").collect()]
+    assert got == sorted(together.items(), key=lambda x: (-x[1], x[0]))[:10]
+    one = {x.name: x for x in graph.entity_insights(entities, edges, names).collect()}
+    for n in docs:
+        linked = {b for a, b, *_ in rows if a in docs[n]} | {a for a, b, *_ in rows if b in docs[n]}
+        assert (one[n].documents, one[n].neighbours) == (len(docs[n]), len(linked))
+    assert set(one) == set(docs)
+    stats = graph.graph_stats(entities, edges).first()
+    degree = Counter(x for a, b, *_ in rows for x in (a, b))
+    assert (stats.documents, stats.edges, stats.entities) == (len({d for d, _ in held}), len(rows), len({e for _, e in held}))
+    assert stats.degrees == [f"{d}:{n}" for d, n in sorted(degree.items(), key=lambda x: (-x[1], x[0]))[:5]]
