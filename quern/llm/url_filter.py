@@ -34,8 +34,12 @@ from .common import slices, table
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Name parts by which the default blocklist is drawn from a table's own hosts.
-SPAM_WORDS = ("ads", "track", "spam", "casino", "adult", "pills", "bets")
+#: Parts from which the default blocklist is built by rule: names of two parts in each domain, and folders named after a part.
+FIRST = ("ads", "adult", "best", "casino", "cheap", "free", "hot", "online", "spam")
+SECOND = ("bets", "casino", "farm", "loans", "pills", "track", "win", "x")
+DOMAINS = ("com", "net", "org", "example.com", "example.net", "example.org")
+#: The largest list that passes through the driver to become an index.
+INDEX_BYTES = 16 << 20
 
 
 def host_of(url: Column) -> Column:
@@ -96,12 +100,15 @@ class MappedIndex:
         return found
 
 
-def default_blocklist(pages: DataFrame, words=SPAM_WORDS) -> DataFrame:
-    """The hosts of a pages table with a spam word among the hyphen-separated parts of a label, as entries."""
-    return pages.select(host_of(F.col("url")).alias("entry")).filter(F.col("entry").rlike(rf"(^|[.-])({'|'.join(words)})([.-]|$)")).distinct()
+def default_blocklist(spark: SparkSession) -> DataFrame:
+    """(entry): `first-second.domain` hosts and `domain/part/` folders; most of them occur in no table of pages."""
+    listed = lambda values: F.explode(F.array(*map(F.lit, values)))
+    domains = spark.range(1).select(listed(DOMAINS).alias("d"))
+    hosts = domains.select("d", listed(FIRST).alias("a")).select("d", "a", listed(SECOND).alias("b")).select(F.concat("a", F.lit("-"), "b", F.lit("."), "d").alias("entry"))
+    return hosts.union(domains.select("d", listed(sorted({*FIRST, *SECOND})).alias("p")).select(F.concat("d", F.lit("/"), "p", F.lit("/")).alias("entry")))
 
 
-def filter_urls(pages: DataFrame, blocklist: DataFrame, rules=RULES, max_index_bytes: int = 256 << 20) -> DataFrame:
+def filter_urls(pages: DataFrame, blocklist: DataFrame, rules=RULES, max_index_bytes: int = INDEX_BYTES) -> DataFrame:
     """All columns of pages, and host, path, rule, verdict and blocked (the method's own answer)."""
     spark = pages.sparkSession
     entries = blocklist.select(F.col("entry").cast("binary").alias("entry")).filter(F.col("entry").isNotNull()).distinct()
@@ -142,14 +149,17 @@ def filter_urls(pages: DataFrame, blocklist: DataFrame, rules=RULES, max_index_b
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return filter_urls(pages.select("page_id", "url"), default_blocklist(pages)).select("page_id", "host", "path", "rule", "verdict")
+    return filter_urls(pages.select("page_id", "url"), default_blocklist(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
 OP1_SQL = rf"""
 with parts as (
   select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') as host,
          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
-spam as (select distinct host from parts where regexp_matches(host, '(^|[.-])({"|".join(SPAM_WORDS)})([.-]|$)')),
+domains as (select unnest({list(DOMAINS)}) as d),
+blocked as (
+  select a || '-' || b || '.' || d as host, '' as start from domains, (select unnest({list(FIRST)}) as a), (select unnest({list(SECOND)}) as b)
+  union all select d, '/' || p || '/' from domains, (select unnest({sorted({*FIRST, *SECOND})}) as p)),
 ruled as (
   select *, case when (host = 'example.net' or host like '%.example.net') and starts_with(path, '/en/') then 'example.net/en/'
                  when (host = 'example.com' or host like '%.example.com') and starts_with(path, '/de/') then 'example.com/de/'
@@ -157,7 +167,7 @@ ruled as (
                  when (host = 'net' or host like '%.net') and starts_with(path, '/') then 'net/' end as rule from parts)
 select page_id, host, path, rule,
        case when rule in ('example.net/en/', 'org/fr/') then 'allow' when rule is not null then 'block'
-            when exists (select 1 from spam s where r.host = s.host or ends_with(r.host, '.' || s.host)) then 'block'
+            when exists (select 1 from blocked s where (r.host = s.host or ends_with(r.host, '.' || s.host)) and starts_with(r.path, s.start)) then 'block'
             else 'allow' end as verdict
 from ruled r
 """

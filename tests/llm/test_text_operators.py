@@ -98,6 +98,18 @@ def test_url_filter(spark, limit):
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, rule, verdict or ("block" if own else "allow"))
 
 
+@pytest.mark.parametrize("limit", [16 << 20, 0])
+def test_url_filter_by_the_default_list(spark, limit):
+    urls = ["http://cheap-pills.example.de/", "http://m.cheap-pills.example.org/a", "http://cheap-pills.org/", "http://pills-cheap.org/", "http://a.b.com/casino/x", "http://a.b.com/casino", "http://a.b.com/y/casino/", "http://x.com/win/"]
+    pages = spark.createDataFrame([(i, u, "p", True) for i, u in enumerate(urls)], "page_id long, url string, path string, blocked boolean")
+    out = url_filter.filter_urls(pages, url_filter.default_blocklist(spark), max_index_bytes=limit)
+    got = [r.blocked for r in out.orderBy("page_id").collect()]
+    assert got == [False, True, True, False, True, False, False, True]
+    assert url_filter.filter_urls(pages.filter("false"), url_filter.default_blocklist(spark), max_index_bytes=limit).count() == 0
+    none = url_filter.filter_urls(pages, url_filter.default_blocklist(spark).filter("false"), max_index_bytes=limit)
+    assert not any(r.blocked for r in none.collect())
+
+
 def test_url_index_confirms_collisions(tmp_path, monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda x: 7)
     index = url_filter.MappedIndex(*url_filter.build_index([b"a.com", b"b.com"], str(tmp_path)))
