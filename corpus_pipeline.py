@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and reread as the next one's docs; all but the
 last return the columns of documents.
+
+Defined cases: a null text is an empty one to every stage, and line dedup writes it as empty; rows without a doc_id lose no line, are
+nobody's near duplicate, and are judged by the other stages like any row; rows with the same doc_id stand or fall together as near
+duplicates and are judged each by the other stages; empty documents give an empty result; without labels the classifier keeps all;
+further columns pass through all stages but the last.
 """
 
 from __future__ import annotations
