@@ -24,3 +24,15 @@ def test_pipeline(spark, tmp_path):
     assert 901 not in ids and 900 not in ids and 1 in ids and not ids & {i for i in range(240) if i % 4 == 0}
     out = {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert out == {r.doc_id: r.ids_sha256 for r in piece_digests(step, model_path()).collect()}
+
+
+def test_pipeline_of_nulls_repeats_and_nothing(spark, tmp_path):
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, None), (2, ""), (3, "the same words stand in both of these rows"), (3, "the same words stand in both of these rows"), (None, "a text that has no number of its own"), (None, None)]
+    for name, own in (("some", [(i, t, "en", "s", None) for i, t in rows]), ("none", [])):
+        spark.createDataFrame(own, kind).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
+    assert sorted((r.doc_id or 0, r.n_tokens > 0) for r in out) == [(0, False), (0, True), (1, False), (2, False), (3, True), (3, True)]
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
