@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import once, words
-from .ranking import top_k
+from .ranking import BROADCAST_ROWS, top_k
 
 #: Okapi constants: fixed values.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -58,11 +58,13 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, index: Index | None = None)
     by term, so that no posting of another term is shuffled.
     """
     asked = tokenize(queries).select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
+    # a common term has a large share of the postings, so they stay where they are if the queries' terms are few
+    side = F.broadcast if asked.count() <= BROADCAST_ROWS else (lambda df: df)
     if index is None:
         stats = corpus_stats(docs)
-        index = postings(docs, asked.select("term").distinct()), term_idf(docs, stats), stats
+        index = postings(docs, side(asked.select("term").distinct())), term_idf(docs, stats), stats
     post, terms, stats = index
-    weighted = asked.join(terms, "term").join(post, "term").join(F.broadcast(stats))
+    weighted = post.join(side(side(asked).join(terms, "term")), "term").join(F.broadcast(stats))
     tf = F.col("tf")
     part = F.col("qn") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
     return weighted.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")).filter(F.round("score", 6) > 0)

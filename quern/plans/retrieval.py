@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..operators import dense, fusion, lexical
+from ..operators.ranking import small_side, top_k
 from .inputs import read
 
 K = 5
@@ -138,10 +139,8 @@ def _lists(spark, sf_dir):
     kq = fusion.keyword_vector(q.withColumnRenamed("query_id", "doc_id")).select(F.col("doc_id").alias("query_id"), "slot", F.col("w").alias("qw"))
     norms = kd.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))
     qnorms = kq.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    dots = kd.join(kq, "slot").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("d"))
+    dots = kd.join(small_side(kq), "slot").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("d"))
     near = dots.join(norms, "doc_id").join(qnorms, "query_id").select("query_id", "doc_id", (F.col("d") / F.col("n") / F.col("qn")).alias("score"))
-    from ..operators.ranking import top_k
-
     return top_k(near, 2 * K), lexical.bm25_search(docs, q, 2 * K)
 
 
