@@ -28,6 +28,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The largest index of windows that is broadcast.
 INDEX_BYTES = 64 << 20
+#: Row numbers that are broadcast at most.
+BROADCAST_ROWS = 2_000_000
 #: Tokens with more than a HOT_TOKENS-th of all words, and more than HOT_ROWS, are dealt to several tasks.
 HOT_TOKENS, HOT_ROWS = 1000, 100_000
 
@@ -119,8 +121,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window_words: int = 10,
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window_words: int = 10, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """docs without the documents that hold a benchmark window; rows with the same doc_id are judged each."""
     texts = tokenised(docs)
-    hits = window_hits(texts, item_windows(benchmark, window_words)[0], index_bytes).select(F.col("row").alias("_decon_row")).distinct()
-    return texts.join(hits, "_decon_row", "left_anti").select(*docs.columns)
+    hits = stored(window_hits(texts, item_windows(benchmark, window_words)[0], index_bytes).select(F.col("row").alias("_decon_row")).distinct(), "bench-rows")
+    few = F.broadcast(hits) if hits.count() <= BROADCAST_ROWS else hits  # else texts are shuffled by their row numbers
+    return texts.join(few, "_decon_row", "left_anti").select(*docs.columns)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

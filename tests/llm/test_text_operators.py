@@ -150,6 +150,12 @@ def test_decontamination_of_repeated_and_null_ids(spark, index_bytes):
     assert decontaminate.drop_contaminated(docs, bench.filter("false")).count() == 4
 
 
+def test_decontamination_drops_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    docs = spark.createDataFrame([(1, "short item"), (1, "else"), (None, "a short item")], "doc_id long, text string")
+    assert [r.text for r in decontaminate.drop_contaminated(docs, spark.createDataFrame([("b", "short item")], "item_id string, text string")).collect()] == ["else"]
+
+
 def test_stored_tables_can_be_dropped(spark):
     from quern.llm import common
 
