@@ -121,17 +121,13 @@ def siblings(log: bytes, j: int, m: int, levels: int) -> list[dict]:
     return out
 
 
-def block_levels(n: int) -> int:
-    return min(LEVELS, height(n))
-
-
-def write_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def write_segments(batches: Iterator[pa.RecordBatch], levels: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        logs = [append_nodes([x["digest"] for x in block], block_levels(n)) for block, n in zip(batch.column("leaves").to_pylist(), batch.column("n").to_pylist())]
+        logs = [append_nodes([x["digest"] for x in block], min(levels, height(n))) for block, n in zip(batch.column("leaves").to_pylist(), batch.column("n").to_pylist())]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs, pa.binary())], names=[*batch.schema.names, "log"])
 
 
-def tiers(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+def tiers(nodes: DataFrame, levels: int = LEVELS) -> tuple[list[DataFrame], DataFrame]:
     """The log's segments tier by tier, (tree, block, n, leaves, log), and (tree, digest) of the roots.
 
     nodes: (tree, i, n, digest, and what a leaf carries). leaves: array<struct<i, ...>> of a block, by rank.
@@ -139,22 +135,22 @@ def tiers(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     out = []
     while True:
         carried = [c for c in nodes.columns if c not in ("tree", "n", "i")]
-        blocks = nodes.groupBy("tree", F.shiftright("i", LEVELS).alias("block")).agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", *carried))).alias("leaves"))
+        blocks = nodes.groupBy("tree", F.shiftright("i", levels).alias("block")).agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", *carried))).alias("leaves"))
         schema = blocks.schema.simpleString()[7:-1] + ",log:binary"
-        out.append(stored(blocks.mapInArrow(write_segments, schema), "merkle-log"))
+        out.append(stored(blocks.mapInArrow(lambda b: write_segments(b, levels), schema), "merkle-log"))
         top = out[-1].select("tree", F.col("block").alias("i"), "n", F.expr("substring(log, -32)").alias("digest"))
-        if not out[-1].filter(F.col("n") > 1 << LEVELS).head(1):
+        if not out[-1].filter(F.col("n") > 1 << levels).head(1):
             return out, top.select("tree", "digest")
         # trees of one block are done; they go up as they are, which adds no node
-        nodes = top.withColumn("n", F.shiftright(F.col("n") - 1, LEVELS) + 1)
+        nodes = top.withColumn("n", F.shiftright(F.col("n") - 1, levels) + 1)
 
 
-def read_proofs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def read_proofs(batches: Iterator[pa.RecordBatch], levels: int) -> Iterator[pa.RecordBatch]:
     """A row for each leaf of each segment: (tree, leaf, path, root), the path up to the top and the top's digest."""
     for batch in batches:
         for row in batch.to_pylist():
-            m, levels = len(row["leaves"]), block_levels(row["n"])
-            paths = [siblings(row["log"], j, m, levels) + row["path"] for j in range(m)]
+            m, up = len(row["leaves"]), min(levels, height(row["n"]))
+            paths = [siblings(row["log"], j, m, up) + row["path"] for j in range(m)]
             fields = [
                 pa.array([row["tree"]] * m, pa.string()),
                 pa.array(row["leaves"], batch.schema.field("leaves").type.value_type),
@@ -165,38 +161,38 @@ def read_proofs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(fields, names=["tree", "leaf", "path", "tree_root", "root"])
 
 
-def extract(segments: list[DataFrame], above: DataFrame) -> DataFrame:
+def extract(segments: list[DataFrame], above: DataFrame, levels: int = LEVELS) -> DataFrame:
     """(leaf, path, tree_root, root) of every leaf of the lowest tier. above: (tree, path, tree_root, root), a row a tree."""
     above = above.withColumn("block", F.lit(0).cast("long"))
     for tier in reversed(segments):
         own = above.withColumnsRenamed({"tree": "_tree", "block": "_block"})
         met = tier.join(own, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("block") == F.col("_block"))).drop("_tree", "_block")
         kind = tier.schema["leaves"].dataType.elementType.simpleString()
-        found = met.mapInArrow(read_proofs, f"tree string, leaf {kind}, path {PATH}, tree_root binary, root binary")
+        found = met.mapInArrow(lambda b: read_proofs(b, levels), f"tree string, leaf {kind}, path {PATH}, tree_root binary, root binary")
         above = found.select("tree", F.col("leaf.i").alias("block"), "path", "tree_root", "root") if tier is not segments[0] else found
     return above
 
 
-def manifest(docs: DataFrame) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
+def manifest(docs: DataFrame, levels: int = LEVELS) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
     """The log of all trees, the log of the tree over them, and (tree, digest) of its root (no row for no documents)."""
-    below, roots = tiers(ranked(leaves(docs), ["doc_id", "digest"]))
+    below, roots = tiers(ranked(leaves(docs), ["doc_id", "digest"]), levels)
     order = roots.select(F.lit(None).cast("string").alias("tree"), F.col("tree").alias("name"), "digest")
-    over, root = tiers(ranked(order, ["name"]))
+    over, root = tiers(ranked(order, ["name"]), levels)
     return below, over, root
 
 
-def log_entries(segments: list[DataFrame]) -> DataFrame:
+def log_entries(segments: list[DataFrame], levels: int = LEVELS) -> DataFrame:
     """(tree, position, level, digest): the append log of each tree, every node at its place in the tree's postorder."""
 
     def numbered(batches: Iterator[pa.RecordBatch], tier: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
-                m, n, first = len(row["leaves"]), row["total"], row["block"] << LEVELS
-                for level in range(tier > 0, block_levels(row["n"]) + 1):
+                m, n, first, below = len(row["leaves"]), row["total"], row["block"] << levels, tier * levels
+                for level in range(tier > 0, min(levels, height(row["n"])) + 1):
                     for k in range((m - 1 >> level) + 1):
                         at = position(level, k, m) * 32
-                        rows.append((row["tree"], position(level + tier * LEVELS, (first >> level) + k, n), level + tier * LEVELS, row["log"][at : at + 32].hex()))
+                        rows.append((row["tree"], position(level + below, (first >> level) + k, n), level + below, row["log"][at : at + 32].hex()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.string(), pa.int64(), pa.int32(), pa.string()))], names=["tree", "position", "level", "digest"])
 
     totals = segments[0].groupBy("tree").agg(F.first("n").alias("total")).withColumnRenamed("tree", "_tree")
@@ -209,12 +205,12 @@ def log_entries(segments: list[DataFrame]) -> DataFrame:
     return out
 
 
-def proofs(docs: DataFrame) -> DataFrame:
+def proofs(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
     """(doc_id, leaf, other, path, subroot, root) of every document: binary digests, and siblings from the leaf to the root."""
-    below, over, root = manifest(docs)
+    below, over, root = manifest(docs, levels)
     top = root.select("tree", F.array().cast(PATH).alias("path"), F.col("digest").alias("tree_root"), F.col("digest").alias("root"))
-    above = extract(over, top).select(F.col("leaf.name").alias("tree"), "path", F.col("leaf.digest").alias("tree_root"), "root")
-    found = extract(below, above)
+    above = extract(over, top, levels).select(F.col("leaf.name").alias("tree"), "path", F.col("leaf.digest").alias("tree_root"), "root")
+    found = extract(below, above, levels)
     return found.select("leaf.doc_id", F.col("leaf.digest").alias("leaf"), F.col("leaf.other").alias("other"), "path", F.col("tree_root").alias("subroot"), "root")
 
 
@@ -228,8 +224,9 @@ def fold(start: Column, path: Column) -> Column:
     return F.aggregate(path, start, step)
 
 
-def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = proofs(table(spark, sf_dir, "documents"))
+def checked(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """Each document's leaf, roots and proof as text, and whether the leaf, tampered with where tampered_leaf() says, folds to the root."""
+    found = proofs(docs, levels)
     proof = F.sha2(F.array_join(F.transform(F.filter("path", lambda x: x["digest"].isNotNull()), lambda x: text_of(x["digest"])), ""), 256)
     root = text_of(F.col("root"))
     folded = found.select(
@@ -243,13 +240,17 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checked(table(spark, sf_dir, "documents"))
+
+
 #: CRC-32 of a text in SQL: the table of 256 remainders by its rule, then a step a byte.
 CRC_TABLE = "list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end))"
 
 
 def crc32_sql(text: str, remainders: str) -> str:
     """DuckDB's expression for the unsigned CRC-32 of a text's UTF-8 bytes; remainders: an expression for CRC_TABLE."""
-    octets = f"list_transform(range(strlen({text})), lambda k: ('0x' || substr(hex({text}), 2 * k + 1, 2))::bigint)"
+    octets = f"list_transform(range(strlen({text})), lambda octet: ('0x' || substr(hex({text}), 2 * octet + 1, 2))::bigint)"
     return f"xor(list_reduce(list_prepend(4294967295::bigint, {octets}), lambda c, b: xor(c >> 8, {remainders}[(xor(c, b) & 255) + 1])), 4294967295)"
 
 

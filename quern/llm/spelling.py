@@ -188,10 +188,10 @@ keyed as (select *, doc || ':' || run as k from counted),
 hashed as (select run, c, {crc32_sql("k", "t")} as h from keyed, crc),
 found as (select case when h % {SLIP} = 0 then left(run, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, c from hashed),
 vocabulary as (select word, sum(c)::bigint as n from found where length(word) >= {LETTERS} group by word having sum(c) >= {OCCURRENCES}),
-cuts as (select word, n, unnest(range(length(word))) as at from vocabulary),
-cut as (select word, n, at, left(word, at) || substr(word, at + 2) as rest from cuts),
+cuts as (select word, n, unnest(range(length(word))) as place from vocabulary),
+cut as (select word, n, place, left(word, place) || substr(word, place + 2) as rest from cuts),
 near as (
-  select distinct a.word, a.n, b.word as near, b.n as near_n from cut a join cut b on a.at = b.at and a.rest = b.rest and a.word <> b.word
+  select distinct a.word, a.n, b.word as near, b.n as near_n from cut a join cut b on a.place = b.place and a.rest = b.rest and a.word <> b.word
   union select distinct a.word, a.n, b.word, b.n from cut a join vocabulary b on a.rest = b.word
   union select distinct b.word, b.n, a.word, a.n from cut a join vocabulary b on a.rest = b.word),
 best as (select word, n, count(*) as n_near, arg_min(near, struct_pack(m := -near_n, w := near)) as near, max(near_n) as near_n from near group by word, n),
