@@ -6,7 +6,6 @@ the corpus is one matrix product, and only k rows a query leave a batch. More qu
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -155,54 +154,11 @@ def sparse_dot(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return top_k(docs.join(q, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("score")), k)
 
 
-def knn_ann(corpus: DataFrame, queries: DataFrame, k: int, cells: int | None = None, probes: float = 0.75, sample_rows: int = 20_000, exclude_self: bool = False) -> DataFrame:
-    """Approximate knn_cosine: k-means cells fitted on a bounded sample, all rows indexed, a share of the nearest cells searched.
+def knn_ann(corpus: DataFrame, queries: DataFrame, k: int, refine: int | None = None, exclude_self: bool = False) -> DataFrame:
+    """Approximate knn_cosine by inverted lists of product codes (quern.operators.ivf): few rows a query are read in full."""
+    from . import ivf
 
-    Cells grow with the square root of the rows, 16 at least. Rows without structure need three quarters of the cells for a recall
-    of 0.9; clustered ones far fewer. Queries meet corpus rows by cell; the products run in blocks of one cell's rows.
-    """
-    spark, n_rows = corpus.sparkSession, corpus.count()
-    cells = cells or max(16, math.isqrt(n_rows) // 4)
-    unit_rows = corpus.select("doc_id", unit(F.col("vec")).alias("vec"))
-    sample = np.array([r.vec for r in unit_rows.orderBy(F.xxhash64("doc_id")).limit(sample_rows).collect()], float)
-    centres = sample[:: max(1, len(sample) // cells)][:cells].copy()
-    for _ in range(12):
-        at = np.argmax(sample @ centres.T, axis=1)
-        centres = np.array([sample[at == c].mean(axis=0) if (at == c).any() else centres[c] for c in range(len(centres))])
-        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300)
-    held = spark.sparkContext.broadcast(centres)
-
-    def assign(n: int, key: str):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                s = _matrix(pdf["vec"], held.value.shape[1]) @ held.value.T
-                cells_ = np.argsort(-s, axis=1, kind="stable")[:, :n]
-                at = np.repeat(np.arange(len(pdf)), cells_.shape[1])
-                yield pd.DataFrame({key: pdf[key].to_numpy()[at], "vec": pdf["vec"].to_numpy()[at], "cell": cells_.ravel()})
-
-        return run
-
-    rows = unit_rows.mapInPandas(assign(1, "doc_id"), "doc_id long, vec array<double>, cell int")
-    asked = queries.select("query_id", unit(F.col("vec")).alias("vec")).mapInPandas(assign(max(1, math.ceil(probes * len(centres))), "query_id"), "query_id long, vec array<double>, cell int")
-    # a cell's rows go on in blocks, so that no group grows with a cell
-    blocks = F.lit(max(1, n_rows // 50_000))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-
-    def search(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(x):
-            return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
-        s = np.stack(q["vec"].to_list()) @ np.stack(x["vec"].to_list()).T
-        ids, own = q["query_id"].to_numpy(), x["doc_id"].to_numpy()
-        if exclude_self:
-            s[ids[:, None] == own[None, :]] = -np.inf
-        order = np.lexsort((np.broadcast_to(own, s.shape), -np.round(s, 6)), axis=1)[:, :k]
-        row = np.repeat(np.arange(len(ids)), order.shape[1])
-        out = pd.DataFrame({"query_id": ids[row], "doc_id": own[order.ravel()], "score": s[row, order.ravel()]})
-        return out[np.isfinite(out["score"])]
-
-    found = asked.groupBy("cell", "block").cogroup(rows.groupBy("cell", "block")).applyInPandas(search, "query_id long, doc_id long, score double")
-    return top_k(found, k)
+    return ivf.search(ivf.build(corpus, k), corpus, queries, k, refine, exclude_self)
 
 
 def pair_distance(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.clusters import codebooks, encode
 from ..functions.text import contained, raw_words, share, words
 
 from ..functions.vectors import cosine, norm
@@ -31,25 +32,16 @@ def quantize_pq(df: DataFrame, parts: int = 8, centroids: int = 256, sample_rows
     """Rows with codes array<int>, and the codebook (sub, code, centroid): a k-means a sub-vector, fitted on a bounded sample."""
     spark = df.sparkSession
     x = np.array([r[0] for r in df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select(vec).collect()], float)
-    width = x.shape[1] // parts
-    books = []
-    for s in range(parts):
-        own = x[:, s * width : (s + 1) * width]
-        c = np.unique(own[:: max(1, len(own) // centroids)][:centroids], axis=0)
-        for _ in range(15):
-            at = ((own[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
-            c = np.array([own[at == k].mean(axis=0) if (at == k).any() else c[k] for k in range(len(c))])
-        books.append(c)
+    books = codebooks(x, parts, centroids)
     held = spark.sparkContext.broadcast(books)
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def codes_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             m = np.array([np.asarray(v, float) for v in pdf[vec]]).reshape(len(pdf), -1)
-            codes = np.stack([((m[:, None, s * width : (s + 1) * width] - b[None]) ** 2).sum(axis=2).argmin(axis=1) for s, b in enumerate(held.value)], axis=1)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "codes": list(codes.astype(np.int32))})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "codes": list(encode(m, held.value).astype(np.int32))})
 
     book = spark.createDataFrame([(s, k, [float(v) for v in row]) for s, b in enumerate(books) for k, row in enumerate(b)], "sub int, code int, centroid array<double>")
-    return df.select("doc_id", vec).mapInPandas(encode, "doc_id long, codes array<int>"), book
+    return df.select("doc_id", vec).mapInPandas(codes_of, "doc_id long, codes array<int>"), book
 
 
 def dequantize(df: DataFrame, kind: str = "int8", codebook: DataFrame | None = None) -> DataFrame:
