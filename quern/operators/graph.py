@@ -1,9 +1,8 @@
 """Entities of documents and the graph of documents that share them.
 
-Extraction needs match positions of many patterns, so it is one Arrow batch function; all else is joins and grouping. The
-self-join by entity takes every entity, however common: documents of one are dealt to blocks of about BLOCK, and two blocks meet
-under one key, so no key holds a common entity whole. The edges themselves are as many as pairs of documents that share a form.
-Level joins write each frontier out, so lineage stays short and survives lost executors.
+Extraction needs match positions of many patterns, so it is one Arrow batch function; all else is joins and grouping. Links between
+documents are kept and searched in classes (quern.operators.factored); the searches here take a caller's own table of edges. Level
+joins write each frontier out, so lineage stays short and survives lost executors.
 """
 
 from __future__ import annotations
@@ -35,8 +34,6 @@ ALIASES = {
 }
 RELATIONS = (("causal", ("because", "due to", "resulted in", "caused", "led to", "impact")), ("hierarchical", ("part of", "belongs to", "under", "division of", "department")), ("reference", ("see", "refer to", "mentioned in", "according to", "as stated in")))
 SEQUENCE = ("before", "after", "following", "previous", "next")
-#: Documents of one entity that a block of the join by entity holds, about.
-BLOCK = 256
 
 
 def extract_entities(docs: DataFrame, case_sensitive: bool = False) -> DataFrame:
@@ -112,33 +109,25 @@ def entity_index(entities: DataFrame) -> DataFrame:
 
 
 def doc_edges(entities: DataFrame, docs: DataFrame) -> DataFrame:
-    """(src, dst, strength, type, shared): the newer document (higher doc_id) to each older one that shares a canonical form, strength above 0.1.
+    """(src, dst, strength, type, shared): the newer document (higher doc_id) to each older one that shares a canonical form.
 
-    An entity is rare if at most three documents had it when the newer one came: if that is no later than its third document.
+    As many rows as such pairs of documents: quern.operators.factored keeps and searches the same graph without them. An entity is rare
+    if at most three documents had it when the newer one came. A link's strength is 0.2 at least.
     """
-    own = entities.groupBy("doc_id", "canonical").agg(F.max("confidence").alias("confidence"), F.collect_set("entity_type").alias("types"))
-    first = own.select("canonical", "doc_id").withColumn("seen", F.row_number().over(Window.partitionBy("canonical").orderBy("doc_id"))).filter(F.col("seen") <= 3)
-    forms = own.groupBy("canonical").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    own = own.join(forms.join(first.groupBy("canonical").agg(F.max("doc_id").alias("third")), "canonical"), "canonical")
-    own = own.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks")).withColumn("every", F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    new = own.select("canonical", "doc_id", "confidence", "types", (F.col("doc_id") <= F.col("third")).alias("early"), F.col("block").alias("a"), F.explode("every").alias("b"))
-    old = own.select("canonical", F.col("doc_id").alias("dst"), F.col("block").alias("b"), F.explode("every").alias("a"))
-    pairs = new.join(old, ["canonical", "a", "b"]).filter(F.col("doc_id") > F.col("dst"))
-    sizes = entities.groupBy("doc_id").agg(F.count("*").alias("n"))
-    edges = pairs.groupBy(F.col("doc_id").alias("src"), "dst").agg(F.count("*").alias("shared_n"), F.avg("confidence").alias("c"), F.count_if("early").alias("rare"), F.array_sort(F.collect_set("canonical")).alias("shared"), F.array_distinct(F.flatten(F.collect_list("types"))).alias("types"))
-    edges = edges.join(sizes.select(F.col("doc_id").alias("src"), F.col("n").alias("a")), "src").join(sizes.select(F.col("doc_id").alias("dst"), F.col("n").alias("b")), "dst")
-    strength = F.least(F.col("shared_n") * 0.2, F.lit(0.8)) + F.col("c") * 0.2 + F.least(F.col("rare") * 0.1, F.lit(0.3))
-    strength = F.least(F.lit(1.0), F.when(F.least("a", "b") / F.greatest("a", "b") < 0.3, strength * 0.8).otherwise(strength))
-    kept = edges.withColumn("strength", F.round(strength, 6)).filter("strength > 0.1")
-    return kept.join(docs.select(F.col("doc_id").alias("src"), F.lower("text").alias("_t")), "src").withColumn("type", edge_type(F.col("types"), F.col("_t"))).select("src", "dst", "strength", "type", "shared")
-
-
-def edge_type(types: Column, text: Column) -> Column:
-    """The first rule that holds: time sequence, cause, hierarchy, reference, coreference, else semantic; text: lower-cased text of the newer document."""
-    has = lambda ws: F.greatest(*(F.contains(text, F.lit(w)).cast("int") for w in ws)) == 1
-    out = F.when(F.array_contains(types, "date") & has(SEQUENCE), "temporal")
-    for name, ws in RELATIONS:
-        out = out.when(has(ws), name)
+    from .factored import class_links, doc_pairs, factor
+
+    graph = factor(entities, docs)
+    return doc_pairs(graph, class_links(graph))
+
+
+def says(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether a lower-cased text holds one of some words."""
+    return F.greatest(*(F.contains(text, F.lit(w)).cast("int") for w in words)) == 1
+
+
+def type_of(types: Column, sequence: Column, relation: Column) -> Column:
+    """A link's type: the first rule that holds. sequence, relation: what the newer document's words say, relation empty if nothing."""
+    out = F.when(F.array_contains(types, "date") & sequence, "temporal").when(relation != "", relation)
     return out.when(F.array_contains(types, "person") & F.array_contains(types, "organization"), "coreference").otherwise("semantic")
 
 
@@ -190,13 +179,16 @@ def neighborhood(edges: DataFrame, starts: DataFrame, radius: int = 2) -> tuple[
     return nodes, inside
 
 
-def graph_stats(entities: DataFrame, edges: DataFrame, top: int = 5) -> DataFrame:
-    """One row: documents, entities, edges, mean entities a document, the highest degrees and the commonest entities."""
-    ends = edges.select(F.col("src").alias("d")).union(edges.select("dst")).groupBy("d").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(top)
+def graph_stats(entities: DataFrame, edges: DataFrame, ends: DataFrame, top: int = 5) -> DataFrame:
+    """One row: documents, entities, edges, mean entities a document, the highest degrees of ends (d, n), and the commonest entities.
+
+    edges: one row with the column edges.
+    """
+    ends = ends.orderBy(F.desc("n"), "d").limit(top)
     names = entities.groupBy("canonical").agg(F.countDistinct("doc_id").alias("n")).orderBy(F.desc("n"), "canonical").limit(2 * top)
     listed = lambda df, c, name: df.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), c))), lambda s: F.concat_ws(":", s[c].cast("string"), (-s["m"]).cast("string"))).alias(name))
     one = entities.agg(F.countDistinct("doc_id").alias("documents"), F.countDistinct("canonical", "entity_type").alias("entities"), (F.count("*") / F.countDistinct("doc_id")).alias("per_document"))
-    return one.join(F.broadcast(edges.agg(F.count("*").alias("edges")))).join(F.broadcast(listed(ends, "d", "degrees"))).join(F.broadcast(listed(names, "canonical", "common")))
+    return one.join(F.broadcast(edges)).join(F.broadcast(listed(ends, "d", "degrees"))).join(F.broadcast(listed(names, "canonical", "common")))
 
 
 def related_entities(entities: DataFrame, names: DataFrame, top: int = 10) -> DataFrame:
@@ -207,11 +199,14 @@ def related_entities(entities: DataFrame, names: DataFrame, top: int = 10) -> Da
     return counted.withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("n"), "canonical"))).filter(F.col("rank") <= top)
 
 
-def entity_insights(entities: DataFrame, edges: DataFrame, names: DataFrame) -> DataFrame:
-    """(name, documents, neighbours, related): documents of a name or alias, documents linked to them, and related entities."""
-    called = entities.select("doc_id", F.col("canonical").alias("name")).union(entities.select("doc_id", F.explode("aliases").alias("name")))
-    hit = names.join(called, "name").select("name", "doc_id").distinct()
-    near = hit.join(both_ways(edges).select(F.col("src").alias("doc_id"), "dst"), "doc_id").select("name", "dst").distinct().groupBy("name").agg(F.count("*").alias("neighbours"))
+def called(entities: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, doc_id): documents that hold a name (name) as canonical form or alias."""
+    every = entities.select("doc_id", F.col("canonical").alias("name")).union(entities.select("doc_id", F.explode("aliases").alias("name")))
+    return names.join(every, "name").select("name", "doc_id").distinct()
+
+
+def entity_insights(entities: DataFrame, hit: DataFrame, near: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, documents, neighbours, related): documents of a name (hit: called()), documents linked to them (near: name, neighbours), and related entities."""
     related = related_entities(entities, names).groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "canonical"))), lambda s: s["canonical"]).alias("related"))
     return hit.groupBy("name").agg(F.count("*").alias("documents")).join(near, "name", "left").join(related, "name", "left").fillna(0, ["neighbours"])
 
@@ -227,9 +222,12 @@ def follow_up(paths: DataFrame, top: int = 5) -> DataFrame:
     return every.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("confidence"), "question"))).filter(F.col("rank") <= top)
 
 
-def multi_hop_batch(edges: DataFrame, entities: DataFrame, hits: DataFrame, query_entities: DataFrame, limit: int = 10) -> DataFrame:
-    """(query_id, doc_id, distance): documents on paths from each query's three best hits to documents of its entities (query_id, name)."""
+def multi_hop_batch(search, entities: DataFrame, hits: DataFrame, query_entities: DataFrame, limit: int = 10) -> DataFrame:
+    """(query_id, doc_id, distance): documents on paths from each query's three best hits to documents of its entities (query_id, name).
+
+    search: a function of starts and targets, as multi_hop is of a graph.
+    """
     targets = query_entities.join(entities.select(F.col("canonical").alias("name"), "doc_id"), "name").select("query_id", "doc_id").distinct()
-    paths = multi_hop(edges, hits.filter(F.col("rank") <= 3).select("query_id", "doc_id"), targets)
+    paths = search(hits.filter(F.col("rank") <= 3).select("query_id", "doc_id"), targets)
     on = paths.select("query_id", F.posexplode("path").alias("distance", "doc_id")).groupBy("query_id", "doc_id").agg(F.min("distance").alias("distance"))
     return on.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "doc_id"))).filter(F.col("rank") <= limit)

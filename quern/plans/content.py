@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import context as X
-from ..operators import dense, graph
+from ..operators import dense, factored, graph
 from ..operators import embed as B
 from ..operators import query_log as Q
 from ..operators import scan as S
+from ..operators.ranking import small_side
 from ..sources import tabular as T
 from ..sources.shared import kept, shared_path
 from ..streaming import streams as R
@@ -283,20 +284,35 @@ def entity_index(spark, sf_dir):
     return graph.entity_index(_entities(spark, sf_dir))
 
 
-def _edges(spark, sf_dir):
-    return graph.doc_edges(_entities(spark, sf_dir), notes(spark, sf_dir))
+def _graph(spark, sf_dir):
+    """Entities, stored, and the factored graph over them."""
+    entities = kept(_entities(spark, sf_dir), "entities")
+    return entities, factored.factor(entities, notes(spark, sf_dir))
 
 
 def doc_edges(spark, sf_dir):
-    return _edges(spark, sf_dir).select("src", "dst", "strength", "type", F.array_join("shared", "|").alias("shared"))
+    """Links between classes of documents, with the document pairs that each stands for."""
+    links = factored.class_links(_graph(spark, sf_dir)[1])
+    return links.select("a", "b", "links", "strength", "type", "back", "back_type", F.array_join("shared", "|").alias("shared"))
 
 
 def edge_strength(spark, sf_dir):
-    return _edges(spark, sf_dir).groupBy("src").agg(F.count("*").alias("n"), F.round(F.sum("strength"), 6).alias("strength"))
+    """Every document with its class, its links, and the mean strength of the links that it has as the newer one of any two."""
+    _, g = _graph(spark, sf_dir)
+    links = kept(factored.class_links(g), "links")
+    both = links.select(F.col("a").alias("class"), F.col("b").alias("other"), "strength").union(links.filter("a <> b").select("b", "a", "back"))
+    sizes = g.classes.select(F.col("class").alias("other"), "size")
+    met = F.when(F.col("class") == F.col("other"), F.col("size") - 1).otherwise(F.col("size"))
+    each = both.join(sizes, "other").groupBy("class").agg(F.sum(met).alias("links"), F.round(F.sum(F.col("strength") * met) / F.sum(met), 6).alias("strength"))
+    return g.members.join(small_side(each), "class").select("doc_id", "class", "links", "strength")
 
 
 def edge_type(spark, sf_dir):
-    return _edges(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"))
+    """By type: document pairs that have it in either order, and those that have it in one."""
+    links = factored.class_links(_graph(spark, sf_dir)[1])
+    each = links.select("links", F.explode(F.array_distinct(F.array("type", "back_type"))).alias("kind"), (F.col("type") == F.col("back_type")).alias("both"))
+    none = F.lit(0).cast("long")
+    return each.groupBy(F.col("kind").alias("type")).agg(F.sum(F.when(F.col("both"), F.col("links")).otherwise(none)).alias("links"), F.sum(F.when(~F.col("both"), F.col("links")).otherwise(none)).alias("one_order"))
 
 
 def _starts(spark, sf_dir):
@@ -305,7 +321,7 @@ def _starts(spark, sf_dir):
 
 def _paths(spark, sf_dir):
     """From every twentieth note to all others."""
-    return graph.multi_hop(kept(_edges(spark, sf_dir), "edges"), _starts(spark, sf_dir))
+    return factored.multi_hop(_graph(spark, sf_dir)[1], _starts(spark, sf_dir))
 
 
 def multi_hop(spark, sf_dir):
@@ -317,12 +333,20 @@ def reasoning_chain(spark, sf_dir):
 
 
 def neighborhood(spark, sf_dir):
-    nodes, inside = graph.neighborhood(kept(_edges(spark, sf_dir), "edges"), _starts(spark, sf_dir))
-    return nodes.groupBy("query_id").agg(F.count("*").alias("nodes")).join(inside.groupBy("query_id").agg(F.count("*").alias("edges")), "query_id", "left")
+    _, g = _graph(spark, sf_dir)
+    nodes, inside = factored.neighborhood(g, _starts(spark, sf_dir))
+    sizes = nodes.join(small_side(g.classes.select("class", "size")), "class").groupBy("query_id").agg(F.sum("size").alias("nodes"))
+    edges = inside.groupBy("query_id").agg(F.sum("links").alias("edges"))
+    # a note without a shared form is alone
+    every = _starts(spark, sf_dir).select("query_id").join(sizes, "query_id", "left").join(edges, "query_id", "left")
+    return every.select("query_id", F.coalesce("nodes", F.lit(1).cast("long")).alias("nodes"), "edges")
 
 
 def graph_stats(spark, sf_dir):
-    one = graph.graph_stats(_entities(spark, sf_dir), _edges(spark, sf_dir))
+    entities, g = _graph(spark, sf_dir)
+    links = kept(factored.class_links(g), "links")
+    ends = g.members.join(small_side(factored.degrees(g, links).select("class", "n")), "class").select(F.col("doc_id").alias("d"), "n")
+    one = graph.graph_stats(entities, links.agg(F.coalesce(F.sum("links"), F.lit(0)).alias("edges")), ends)
     return _rounded(one.select("documents", "entities", "per_document", "edges", F.array_join("degrees", ",").alias("degrees"), F.array_join("common", ",").alias("common")))
 
 
@@ -335,7 +359,11 @@ def related_entities(spark, sf_dir):
 
 
 def entity_insights(spark, sf_dir):
-    return graph.entity_insights(_entities(spark, sf_dir), _edges(spark, sf_dir), _names(spark, sf_dir)).select("name", "documents", "neighbours", F.array_join("related", "|").alias("related"))
+    entities, g = _graph(spark, sf_dir)
+    names = _names(spark, sf_dir)
+    hit = kept(graph.called(entities, names), "called")
+    out = graph.entity_insights(entities, hit, factored.neighbour_counts(g, hit), names)
+    return out.select("name", "documents", "neighbours", F.array_join("related", "|").alias("related"))
 
 
 def follow_up(spark, sf_dir):
@@ -343,9 +371,11 @@ def follow_up(spark, sf_dir):
 
 
 def multi_hop_batch(spark, sf_dir):
+    entities, g = _graph(spark, sf_dir)
     hits = _starts(spark, sf_dir).withColumn("rank", F.lit(1))
     names = _starts(spark, sf_dir).select("query_id", F.lit("Jane Smith").alias("name"))
-    return _longs(graph.multi_hop_batch(kept(_edges(spark, sf_dir), "edges"), _entities(spark, sf_dir), hits, names)).select("query_id", "doc_id", "distance")
+    search = lambda starts, targets: factored.multi_hop(g, starts, targets)
+    return _longs(graph.multi_hop_batch(search, entities, hits, names)).select("query_id", "doc_id", "distance")
 
 
 # tabular sources
