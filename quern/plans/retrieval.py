@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from ..operators import dense, fusion, lexical
+from ..operators import blockmax, dense, fusion, lexical
 from ..operators.ranking import small_side, top_k
 from .inputs import read
 
@@ -42,7 +42,7 @@ def tokenize(spark, sf_dir):
 
 def bm25_search(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    return rounded(lexical.bm25_search(docs, known_items(docs), K), "score").select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    return rounded(blockmax.search(blockmax.build(docs), known_items(docs), K), "score").select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def lexical_lookup(spark, sf_dir):
