@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clamp, raw_words, share, strip, word_set, words
+from .order import exact_quantiles
 from .monitor import dot_sentences, variance
 
 
@@ -56,9 +57,8 @@ def evaluate_retrieval(per_query: DataFrame) -> DataFrame:
 def evaluate_search_run(per_query: DataFrame, times: DataFrame) -> DataFrame:
     """Means with p50, p90 and p99 of latency (query_id, latency_ms)."""
     own = per_query.join(times, "query_id")
-    p = F.percentile("latency_ms", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    one = own.agg(F.avg("recall_5").alias("recall_5"), F.avg("mrr").alias("mrr"), p.alias("p"))
-    return one.select("recall_5", "mrr", *(F.col("p")[i].alias(n) for i, n in enumerate(("p50", "p90", "p99"))))
+    one = own.agg(F.avg("recall_5").alias("recall_5"), F.avg("mrr").alias("mrr")).join(F.broadcast(exact_quantiles(own, "latency_ms", (0.5, 0.9, 0.99))), how="left")  # one row each
+    return one.select("recall_5", "mrr", *(F.col("q")[i].alias(n) for i, n in enumerate(("p50", "p90", "p99"))))
 
 
 def bleu(rows: DataFrame) -> DataFrame:
@@ -200,10 +200,10 @@ def request_log(requests: DataFrame) -> DataFrame:
 
 
 def request_stats(log: DataFrame) -> DataFrame:
-    p = F.percentile("response_ms", F.array(F.lit(0.95), F.lit(0.99)))
     span = F.unix_micros(F.max(F.col("ts").cast("timestamp"))) - F.unix_micros(F.min(F.col("ts").cast("timestamp")))
-    one = log.agg(F.count("*").alias("requests"), F.avg("response_ms").alias("mean_ms"), p.alias("p"), F.max("memory_mb").alias("peak_mb"), F.avg("memory_mb").alias("mean_mb"), F.avg(F.col("error").cast("int")).alias("error_rate"), (F.count("*") / (span / 1e6)).alias("qps"))
-    return one.select("requests", "mean_ms", F.col("p")[0].alias("p95_ms"), F.col("p")[1].alias("p99_ms"), "peak_mb", "mean_mb", "error_rate", "qps")
+    one = log.agg(F.count("*").alias("requests"), F.avg("response_ms").alias("mean_ms"), F.max("memory_mb").alias("peak_mb"), F.avg("memory_mb").alias("mean_mb"), F.avg(F.col("error").cast("int")).alias("error_rate"), (F.count("*") / (span / 1e6)).alias("qps"))
+    one = one.join(F.broadcast(exact_quantiles(log, "response_ms", (0.95, 0.99))), how="left")  # one row each
+    return one.select("requests", "mean_ms", F.col("q")[0].alias("p95_ms"), F.col("q")[1].alias("p99_ms"), "peak_mb", "mean_mb", "error_rate", "qps")
 
 
 def overall_score(runs: DataFrame) -> DataFrame:
@@ -249,7 +249,9 @@ def grade_run(metrics: DataFrame, names: tuple[str, ...]) -> DataFrame:
 
 def source_analysis(hits: DataFrame) -> DataFrame:
     """Per source: hits, share of all, mean, median and deviation of the score."""
-    own = hits.groupBy("source").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.percentile("score", F.lit(0.5)).alias("median"), F.stddev_pop("score").alias("deviation"))
+    own = hits.groupBy("source").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("deviation"))
+    middle = exact_quantiles(hits, "score", (0.5,), ("source",)).select(F.col("source").alias("_source"), F.col("q")[0].alias("median"))
+    own = own.join(middle, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     total = own.agg(F.sum("n").alias("_total"))
     return own.join(F.broadcast(total)).withColumn("share", F.col("n") / F.col("_total")).drop("_total")
 

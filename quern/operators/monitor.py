@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clamp, contained, once, raw_words, share, strip, word_set, words
+from .order import numbered
+from .skew import join_groups
 
 # The word lists of the rules.
 NUMBER = r"\b\d+(?:\.\d+)?%?\b"
@@ -192,16 +194,32 @@ def quality_alerts(scored: DataFrame) -> DataFrame:
     return kept.select("id", "ts", F.explode("alerts").alias("a")).select("id", "ts", "a.metric", "a.level", "a.value")
 
 
-def degradation(scored: DataFrame, key: str, minutes: int = 30, rows: int = 100, least: int = 5, drop: float = 0.15) -> DataFrame:
-    """Rows at which the mean of the last minutes (of least rows or more) lies drop below the mean of the last rows rows, per key.
+#: Rows of a bucket of the ordered history, and seconds of a bucket of its seconds.
+HISTORY_ROWS, HISTORY_SECONDS = 20_000, 21_600
 
-    The history is kept per key (a service, a day), so that no window spans the whole table.
+
+def degradation(scored: DataFrame, minutes: int = 30, rows: int = 100, least: int = 5, drop: float = 0.15, bucket_rows: int = HISTORY_ROWS, bucket_seconds: int = HISTORY_SECONDS) -> DataFrame:
+    """(id, ts, recent, n, base, seen, degraded): rows at which the mean of the last minutes (of least rows or more) lies drop below that of the last rows rows.
+
+    One unbroken history in many tasks; rows without a time are left out. Rows have their place in it; a bucket of places carries the last rows of the one before it. Seconds
+    are summed first, and a bucket of seconds carries the last minutes of the one before it, so no bucket grows with the traffic.
     """
-    at = F.unix_timestamp("ts")
-    recent = Window.partitionBy(key).orderBy(at).rangeBetween(-minutes * 60, 0)
-    last = Window.partitionBy(key).orderBy("ts", "id").rowsBetween(1 - rows, 0)
-    own = scored.select("id", "ts", key, F.avg("overall").over(recent).alias("recent"), F.count("*").over(recent).alias("n"), F.avg("overall").over(last).alias("base"), F.row_number().over(Window.partitionBy(key).orderBy("ts", "id")).alias("seen"))
-    return own.withColumn("degraded", (F.col("n") >= least) & (F.col("seen") > rows) & (F.round(F.col("recent") - F.col("base"), 6) < -drop))
+    slim = scored.filter(F.col("ts").isNotNull()).select("id", "ts", "overall", F.unix_timestamp("ts").alias("second"))
+    size, span = max(bucket_rows, rows), max(bucket_seconds, minutes * 60)
+    own = numbered(slim, ["ts", "id"]).drop("_n")
+    place, over = F.floor(F.col("i") / size), F.col("i") % size >= size - rows + 1
+    dealt = own.withColumn("_b", F.explode(F.when(over, F.array(place, place + 1)).otherwise(F.array(place))))
+    last = Window.partitionBy("_b").orderBy("i").rowsBetween(1 - rows, 0)
+    based = dealt.withColumn("base", F.avg("overall").over(last)).filter(F.col("_b") == place).drop("_b")
+    seconds = slim.groupBy("second").agg(F.count("*").alias("c"), F.count("overall").alias("valid"), F.sum("overall").alias("total"))
+    time, late = F.floor(F.col("second") / span), F.pmod(F.col("second"), F.lit(span)) >= span - minutes * 60
+    carried = seconds.withColumn("_b", F.explode(F.when(late, F.array(time, time + 1)).otherwise(F.array(time))))
+    near = Window.partitionBy("_b").orderBy("second").rangeBetween(-minutes * 60, 0)
+    recent = carried.withColumn("recent", F.sum("total").over(near) / F.nullif(F.sum("valid").over(near), F.lit(0))).withColumn("_seen", F.sum("c").over(near)).filter(F.col("_b") == time)
+    # a second with many rows stays where its rows are
+    joined = join_groups(based, recent.select("second", "recent", F.col("_seen"), F.col("c").alias("n")), "second", slim.count())
+    out = joined.select("id", "ts", "recent", F.col("_seen").alias("n"), "base", (F.col("i") + 1).alias("seen"))
+    return out.withColumn("degraded", (F.col("n") >= least) & (F.col("seen") > rows) & (F.round(F.col("recent") - F.col("base"), 6) < -drop))
 
 
 def satisfaction(feedback: DataFrame, as_of: str, hours: int = 24, least: int = 10, bound: float = 0.6) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .order import exact_quantiles
+
 
 def doc_count(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n"))
@@ -40,11 +42,11 @@ def file_stats(files: DataFrame) -> DataFrame:
 
 def latency_stats(log: DataFrame, value: str = "latency_ms", ok: str = "ok") -> DataFrame:
     ps = (0.5, 0.9, 0.95, 0.99)
-    p = F.percentile(value, F.array(*map(F.lit, ps)))
     at = F.col("ts").cast("timestamp")
     span = (F.unix_micros(F.max(at)) - F.unix_micros(F.min(at))) / 1e6
-    one = log.agg(F.count("*").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"), p.alias("p"), F.avg(F.col(ok).cast("int")).alias("success_rate"), (F.count("*") / span).alias("qps"))
-    return one.select("n", "least", "most", "mean", "deviation", *(F.col("p")[i].alias(f"p{round(x * 100)}") for i, x in enumerate(ps)), "success_rate", "qps")
+    one = log.agg(F.count("*").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"), F.avg(F.col(ok).cast("int")).alias("success_rate"), (F.count("*") / span).alias("qps"))
+    one = one.join(F.broadcast(exact_quantiles(log, value, ps)), how="left")  # one row each
+    return one.select("n", "least", "most", "mean", "deviation", *(F.col("q")[i].alias(f"p{round(x * 100)}") for i, x in enumerate(ps)), "success_rate", "qps")
 
 
 def ingest_stats(rows: DataFrame) -> DataFrame:

@@ -45,8 +45,8 @@ def quality_alerts(spark, sf_dir):
 
 
 def degradation(spark, sf_dir):
-    own = scored(spark, sf_dir).withColumn("month", F.date_format("ts", "yyyy-MM"))
-    return M.degradation(own, "month").select("id", F.round("recent", 6).alias("recent"), F.round("base", 6).alias("base"), "degraded")
+    own = kept(scored(spark, sf_dir).select("id", "ts", "overall"), "scores")
+    return M.degradation(own).select("id", F.round("recent", 6).alias("recent"), F.round("base", 6).alias("base"), "degraded")
 
 
 def feedback(spark, sf_dir):
@@ -115,8 +115,8 @@ METRICS = {n: getattr(M, n) for n in ("semantic_overlap", "grounding", "complete
 SQL = {n: f"{_BASE} select id, round({n}, 6) as {n} from z" for n in (*METRICS, "confidence", "hallucination_risk")} | {
     "score_interactions": f"{_BASE} select id, round(grounding, 6) as grounding, round(confidence, 6) as confidence, round(hallucination_risk, 6) as hallucination_risk, round(overall, 6) as overall from z",
     "quality_alerts": f"{_ALERTS} select id, metric, level, round(value, 6) as value from alerts",
-    "degradation": f"""{_BASE}, d as (select id, avg(overall) over (partition by strftime(ts, '%Y-%m') order by epoch(ts) range between 1800 preceding and current row) as recent, count(*) over (partition by strftime(ts, '%Y-%m') order by epoch(ts) range between 1800 preceding and current row) as n,
-      avg(overall) over (partition by strftime(ts, '%Y-%m') order by ts, id rows between 99 preceding and current row) as base, row_number() over (partition by strftime(ts, '%Y-%m') order by ts, id) as seen from z)
+    "degradation": f"""{_BASE}, d as (select id, avg(overall) over (order by epoch(ts) range between 1800 preceding and current row) as recent, count(*) over (order by epoch(ts) range between 1800 preceding and current row) as n,
+      avg(overall) over (order by ts, id rows between 99 preceding and current row) as base, row_number() over (order by ts, id) as seen from z)
       select id, round(recent, 6) as recent, round(base, 6) as base, n >= 5 and seen > 100 and round(recent - base, 6) < -0.15 as degraded from d""",
     "satisfaction": """with f as (select case event_type when 'click' then 1.0 when 'error' then 0.0 else (1 + event_id % 5) / 5 end as v from events where ts <= timestamp '2024-01-05' and floor(epoch(timestamp '2024-01-05')) - floor(epoch(ts)) <= 86400)
       select count(*) as n, round(avg(v), 6) as satisfaction, round(avg(v), 6) < 0.6 as alert from f having count(*) >= 10""",
