@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import by_group, computed, stored, table
-from .spans import matches, spans_text, tagged
+from .spans import cut, matches, met, pieces, spans_text, tagged
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "A-Za-z0-9._%+-"
@@ -71,22 +71,26 @@ def base_spans(text: Column) -> Column:
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """(doc_id, own, base, found): base spans, and instances with the characters around them; own tells equal doc_ids apart."""
+    """(doc_id, own, base, found): base spans, and instances with the characters around them; own tells equal doc_ids apart.
+
+    An instance has the number k of the kind of a base span that covers some of it, or null.
+    """
     own = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     text = F.col("text")
     based = computed(own.withColumn("own", F.xxhash64("text")), "base", base_spans(text))
     tokens = computed(based, "tokens", matches(text, INSTANCE, text.rlike(r"[0-9]|[\[(](?i:at)[\])]")))
-    bare = F.filter("base", lambda b: ~F.exists("tokens", lambda x: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    spelt = F.transform(bare, lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"), F.substring(text, b["s"] + 1, b["e"] - b["s"]).alias("m")))
-    found = computed(tokens, "all", F.concat("tokens", spelt))
+    parts = computed(tokens, "parts", F.when((F.size("base") > 0) | (F.size("tokens") > 0), pieces(text)).otherwise(F.array().cast("array<string>")))
+    instance = lambda s, e, m, k: F.struct(s.alias("s"), e.alias("e"), m.alias("m"), k.alias("k"))
+    covered = F.transform(met(F.col("tokens"), F.col("base")), lambda c: instance(c["x"]["s"], c["x"]["e"], c["x"]["m"], c["k"]))
+    bare = F.filter(met(F.col("base"), F.transform("tokens", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(0).alias("k")))), lambda c: c["k"].isNull())
+    spelt = F.transform(bare, lambda c: instance(c["x"]["s"], c["x"]["e"], cut(F.col("parts"), c["x"]["s"], c["x"]["e"] - c["x"]["s"]), c["x"]["k"]))
+    found = computed(parts, "all", F.concat(covered, spelt))
     around = F.transform(
         "all",
         lambda x: F.struct(
-            x["s"].alias("s"),
-            x["e"].alias("e"),
-            x["m"].alias("m"),
-            F.substring(text, F.greatest(F.lit(0), x["s"] - AROUND) + 1, F.least(x["s"], F.lit(AROUND))).alias("before"),
-            F.substring(text, x["e"] + 1, F.lit(AROUND)).alias("after"),
+            *(x[c].alias(c) for c in ("s", "e", "m", "k")),
+            cut(F.col("parts"), F.greatest(F.lit(0), x["s"] - AROUND), F.least(x["s"], F.lit(AROUND))).alias("before"),
+            cut(F.col("parts"), x["e"], F.lit(AROUND)).alias("after"),
         ),
     )
     return found.select("doc_id", "own", "base", around.alias("found"))
@@ -138,10 +142,9 @@ def best_of_patterns(rows: DataFrame, best: DataFrame) -> DataFrame:
 def find_pii(docs: DataFrame) -> DataFrame:
     """(doc_id, base, added): span arrays for each document."""
     found = stored(scanned(docs), "pii")
-    each = found.filter(F.size("found") > 0).select("doc_id", "own", "base", F.explode("found").alias("x")).dropDuplicates(["doc_id", "own", "x"])
-    covered = F.filter("base", lambda b: (b["s"] < F.col("x.e")) & (F.col("x.s") < b["e"]))
+    each = found.filter(F.size("found") > 0).select("doc_id", "own", F.explode("found").alias("x")).dropDuplicates(["doc_id", "own", "x"])
     digits = F.length(digits_of(F.col("x.m")))
-    kind = F.when(F.size(covered) > 0, covered[0]["kind"])
+    kind = F.get(F.array(*map(F.lit, KINDS)), F.col("x.k"))
     shape = F.when(F.col("x.m").rlike(r"[\[(](?i:at)[\])]") | kind.eqNullSafe("email"), "name").when(F.col("x.m").rlike(rf"^(?:{QUAD})$"), "quad").when(digits < 10, "short").when(digits <= 15, "middle").otherwise("long")
     instances = each.select(
         F.xxhash64("doc_id", "own", "x.s", "x.e").alias("id"), "doc_id", "own", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("x.m").alias("m"),

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import computed, stored, table
-from .spans import matches, spans_text, tagged
+from .spans import cut, let, matches, met, outside, pieces, spans_text, tagged
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -51,10 +51,10 @@ def base_spans(text: Column) -> Column:
 
 def pairs(token: Column) -> Column:
     """The transition numbers of a token."""
-    place = lambda c: F.when(c == "", F.lit(STATES - 1)).otherwise(F.coalesce(F.nullif(F.instr(F.lit(ALPHABET), c), F.lit(0)) - 1, F.lit(STATES - 1)))
-    n = F.length(token)
-    at = lambda i: place(F.substring(token, i, F.lit(1)))
-    return F.transform(F.sequence(F.lit(0), n), lambda i: F.when(i == 0, F.lit(STATES - 1)).otherwise(at(i)) * STATES + F.when(i == n, F.lit(STATES - 1)).otherwise(at(i + 1)))
+    place = lambda c: F.coalesce(F.nullif(F.instr(F.lit(ALPHABET), c), F.lit(0)) - 1, F.lit(STATES - 1))
+    places = F.transform(F.regexp_extract_all(token, F.lit("(?s)."), F.lit(0)), place)
+    edge = F.array(F.lit(STATES - 1))
+    return let(F.concat(edge, places, edge), lambda p: F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), lambda x, y: x * STATES + y))
 
 
 def ratios(found: DataFrame) -> list[float] | None:
@@ -74,26 +74,19 @@ def ratios(found: DataFrame) -> list[float] | None:
     return [round(a - b, 4) for a, b in zip(logs[True], logs[False])]
 
 
-def outside(token: Column, base: Column) -> Column:
-    """The parts of a token outside base spans, as array<struct<s, e, m>>; parts too short, or without a letter, are left out."""
-    part = lambda s, e: F.struct(s.alias("s"), e.alias("e"), F.substring(token["m"], s - token["s"] + 1, e - s).alias("m"))
-    touching = F.array_sort(F.filter(base, lambda b: (b["s"] < token["e"]) & (token["s"] < b["e"])))
-    cut = F.aggregate(
-        touching,
-        F.struct(token["s"].alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out")),
-        lambda acc, b: F.struct(F.greatest(acc["at"], b["e"]).alias("at"), F.when(b["s"] > acc["at"], F.concat(acc["out"], F.array(part(acc["at"], b["s"])))).otherwise(acc["out"]).alias("out")),
-        lambda acc: F.when(acc["at"] < token["e"], F.concat(acc["out"], F.array(part(acc["at"], token["e"])))).otherwise(acc["out"]),
-    )
-    return F.filter(cut, lambda x: (x["e"] - x["s"] >= SHORTEST) & x["m"].rlike("[A-Za-z]"))
-
-
 def scanned(docs: DataFrame) -> DataFrame:
     """(doc_id, base, tokens, values): base spans, tokens to judge outside them, and the random strings."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    own = computed(computed(docs.select("doc_id", text.alias("text")), "base", base_spans(F.col("text"))), "all", matches(F.col("text"), TOKEN, F.lit(True)))
-    free = F.when(F.size("base") == 0, F.col("all")).otherwise(F.flatten(F.transform("all", lambda t: outside(t, F.col("base")))))
-    values = F.transform("base", lambda b: F.regexp_extract(F.substring(F.col("text"), b["s"] + 1, b["e"] - b["s"]), r"([A-Za-z0-9+/_=-]+)\.?$", 1))
-    return own.select("doc_id", "base", free.alias("tokens"), values.alias("values"))
+    text = F.col("text")
+    own = computed(docs.select("doc_id", F.coalesce(text, F.lit("")).alias("text")), "base", base_spans(text))
+    own = computed(computed(own, "all", matches(text, TOKEN, F.lit(True))), "parts", F.when(F.size("base") > 0, pieces(text)).otherwise(F.array().cast("array<string>")))
+    spelt = lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), cut(F.col("parts"), x["s"], x["e"] - x["s"]).alias("m"))
+    judged = computed(own, "met", met(F.col("all"), F.col("base")))
+    whole = F.transform(F.filter("met", lambda x: x["k"].isNull()), lambda x: x["x"])
+    part = F.transform(F.filter(outside(F.transform(F.filter("met", lambda x: x["k"].isNotNull()), lambda x: x["x"]), F.col("base")), lambda x: x["e"] - x["s"] >= SHORTEST), spelt)
+    # parts without a letter are no tokens
+    free = F.when(F.size("base") == 0, F.col("all")).otherwise(F.concat(whole, F.filter(part, lambda x: x["m"].rlike("[A-Za-z]"))))
+    values = F.transform("base", lambda b: F.regexp_extract(cut(F.col("parts"), b["s"], b["e"] - b["s"]), r"([A-Za-z0-9+/_=-]+)\.?$", 1))
+    return judged.select("doc_id", "base", free.alias("tokens"), values.alias("values"))
 
 
 def ordinary_words(docs: DataFrame) -> DataFrame:
