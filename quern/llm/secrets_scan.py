@@ -6,12 +6,13 @@ ratio, and a token whose mean ratio is above a threshold is a secret of kind `ra
 second character's by a share of BACK_OFF, so that characters which ordinary words lack tell even after a character that they lack too; each character
 has a share of SMOOTHING at least, whatever the size of the sample.
 
-The models are trained on samples that all documents label: the values that the base patterns found are random strings, and plain
-words that occur RECURRING times or more are ordinary, since a random string does not come again. A distinct string of n
-occurrences counts 1 + log2(n) times, so that copies of a document weigh little. Their tables are counts of character pairs, at most 67 x 67 entries by construction, and enter
+The models are trained on labelled samples: keys over the usual alphabets and identifiers of the usual shapes, uuids, dates and paths
+included, made by rule (secret_samples), and what all documents label: the values that the base patterns found are random strings,
+and plain words that occur RECURRING times or more are ordinary. A distinct string of n occurrences counts 1 + log2(n) times, so that
+copies of a document weigh little. The threshold is the score that parts labelled strings of another seed best. Their tables are counts of character pairs, at most 67 x 67 entries by construction, and enter
 the query as one literal array. Everything is DataFrame functions; texts are never shuffled.
 
-Defined cases: a null or empty text has no spans; long texts are scanned whole; without strings of either kind no span is added;
+Defined cases: a null or empty text has no spans; long texts are scanned whole;
 repeated rows give repeated rows; an empty table gives an empty table.
 """
 
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import computed, stored, table
+from .secret_samples import identifier_strings, key_strings
 from .spans import cut, let, matches, met, outside, pieces, spans_text, tagged
 
 KINDS = ("assign", "access", "hex", "random")
@@ -35,7 +37,9 @@ STATES = len(ALPHABET) + 1
 SHORTEST = 12
 TOKEN = rf"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{{{SHORTEST},}}+"
 ORDINARY = r"(?<![A-Za-z0-9+/_=.@-])[A-Za-z_-]{8,}+(?![A-Za-z0-9+/_=@])"
-THRESHOLD, SMOOTHING, BACK_OFF = 1.0, 1e-4, 0.1
+SMOOTHING, BACK_OFF = 1e-4, 0.1
+#: Seeds of the labelled strings that are learned from and of those that set the threshold, and how many missed keys a false alarm costs.
+TRAINED, HELD_OUT, COST = 1, 2, 5
 #: Occurrences of an ordinary word in all documents.
 RECURRING = 5
 
@@ -57,14 +61,12 @@ def pairs(token: Column) -> Column:
     return let(F.concat(edge, places, edge), lambda p: F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), lambda x, y: x * STATES + y))
 
 
-def ratios(found: DataFrame) -> list[float] | None:
+def ratios(found: DataFrame) -> list[float]:
     """The log-likelihood ratio of each transition, random over ordinary; found: (random, pair), one row a transition count n."""
     rows = found.groupBy("random", "pair").agg(F.sum("n").alias("n")).collect()  # at most 2 x STATES x STATES
     counts = {True: [0] * STATES**2, False: [0] * STATES**2}
     for r in rows:
         counts[r.random][r.pair] += r.n
-    if len({r.random for r in rows}) < 2:
-        return None
     logs = {}
     for kind, c in counts.items():
         total = sum(c)
@@ -95,19 +97,36 @@ def ordinary_words(docs: DataFrame) -> DataFrame:
     return words.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= RECURRING)
 
 
-def find_secrets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, base, added): span arrays for each document."""
+def score_of(ratio: Column, token: Column) -> Column:
+    """The mean log-likelihood ratio of a token's pairs."""
+    return F.aggregate(pairs(token), F.lit(0.0), lambda a, p: a + F.element_at(ratio, p + 1)) / (F.length(token) + 1)
+
+
+def threshold_of(spark: SparkSession, ratio: Column) -> float:
+    """The score that parts held-out keys and identifiers best: most keys above it, less COST times the share of identifiers above it."""
+    held = key_strings(spark, HELD_OUT).select(F.lit(True).alias("random"), "w").union(identifier_strings(spark, HELD_OUT).select(F.lit(False), "w"))
+    rows = held.filter(F.length("w") >= SHORTEST).select("random", score_of(ratio, F.col("w")).alias("score")).collect()  # a bounded sample
+    rows.sort(key=lambda r: -r.score)
+    n, hits, best, at = {k: max(1, sum(r.random == k for r in rows)) for k in (True, False)}, {True: 0, False: 0}, 0.0, rows[0].score
+    for r, after in zip(rows, [*rows[1:], rows[-1]]):
+        hits[r.random] += 1
+        gain = hits[True] / n[True] - COST * hits[False] / n[False]
+        if gain > best:
+            best, at = gain, (r.score + after.score) / 2
+    return at
+
+
+def find_secrets(docs: DataFrame, threshold: float | None = None) -> DataFrame:
+    """(doc_id, base, added): span arrays for each document. threshold: instead of the one that held-out strings give."""
+    spark = docs.sparkSession
     found = stored(scanned(docs), "secrets")
     random = found.select(F.explode("values").alias("w")).filter(F.length("w") >= 12).groupBy("w").agg(F.count("*").alias("n"))
-    both = random.select(F.lit(True).alias("random"), "w", "n").union(ordinary_words(docs).select(F.lit(False), "w", "n"))
+    labelled = key_strings(spark, TRAINED).select(F.lit(True).alias("random"), "w", F.lit(1).alias("n")).union(identifier_strings(spark, TRAINED).select(F.lit(False), "w", F.lit(1)))
+    both = random.select(F.lit(True).alias("random"), "w", "n").union(ordinary_words(docs).select(F.lit(False), "w", "n")).union(labelled)
     weighed = both.select("random", "w", (1 + F.floor(F.log2("n"))).alias("n"))
-    table_ = ratios(weighed.select("random", "n", F.explode(pairs(F.col("w"))).alias("pair")))
-    if table_ is None:
-        added = F.array().cast("array<struct<s:int,k:int,e:int,kind:string>>")
-    else:
-        ratio = F.lit(table_)
-        score = lambda t: F.aggregate(pairs(t), F.lit(0.0), lambda a, p: a + F.element_at(ratio, p + 1)) / (F.length(t) + 1)
-        added = tagged(F.filter("tokens", lambda t: score(t["m"]) > threshold), KINDS, "random")
+    ratio = F.lit(ratios(weighed.select("random", "n", F.explode(pairs(F.col("w"))).alias("pair"))))
+    bound = threshold_of(spark, ratio) if threshold is None else threshold
+    added = tagged(F.filter("tokens", lambda t: score_of(ratio, t["m"]) > bound), KINDS, "random")
     return found.select("doc_id", "base", added.alias("added"))
 
 
