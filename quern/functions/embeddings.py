@@ -1,4 +1,4 @@
-"""Vector expressions over array columns."""
+"""Embedding expressions over array columns."""
 
 from __future__ import annotations
 
@@ -19,7 +19,7 @@ def norm(v: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """0 where either vector is all zeros."""
+    """0 where either embedding is all zeros."""
     n = norm(a) * norm(b)
     return F.when(n == 0, F.lit(0.0)).otherwise(dot(a, b) / n)
 

@@ -29,11 +29,11 @@ def dup_by_hash(new: DataFrame, stored: DataFrame) -> DataFrame:
     return new.withColumn("content_hash", content_hash()).join(stored.select(content_hash().alias("content_hash")), "content_hash", "left_semi")
 
 
-def near_dup(new: DataFrame, vectors: DataFrame, k: int = 5, least: float = 0.95) -> DataFrame:
-    """new (query_id, vec) with a stored vector among the k nearest of more than least relevance."""
+def near_dup(new: DataFrame, embeddings: DataFrame, k: int = 5, least: float = 0.95) -> DataFrame:
+    """new (query_id, vec) with a stored embedding among the k nearest of more than least relevance."""
     from .dense import knn_cosine, with_relevance
 
-    hits = with_relevance(knn_cosine(vectors, new, k)).filter(F.round("relevance", 6) > least)
+    hits = with_relevance(knn_cosine(embeddings, new, k)).filter(F.round("relevance", 6) > least)
     return hits.groupBy("query_id").agg(F.max("relevance").alias("relevance"), F.min_by("doc_id", F.struct("rank")).alias("doc_id"))
 
 

@@ -14,19 +14,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import doubles, norm, unit
+from ..functions.embeddings import doubles, norm, unit
 from .ranking import top_k
 
-#: Bytes of query vectors that are sent to the tasks at a time.
+#: Bytes of query embeddings that are sent to the tasks at a time.
 QUERY_BYTES = 16 << 20
 
 
-def _matrix(vectors, dimensions: int) -> np.ndarray:
-    return np.array([np.zeros(dimensions) if v is None else np.asarray(v, float) for v in vectors]).reshape(-1, dimensions)
+def _matrix(embeddings, dimensions: int) -> np.ndarray:
+    return np.array([np.zeros(dimensions) if v is None else np.asarray(v, float) for v in embeddings]).reshape(-1, dimensions)
 
 
 def knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", exclude_self: bool = False) -> DataFrame:
-    """(query_id, doc_id, score, rank): corpus (doc_id, vec), queries (query_id, vec). A zero vector has cosine 0."""
+    """(query_id, doc_id, score, rank): corpus (doc_id, vec), queries (query_id, vec). A zero embedding has cosine 0."""
     spark = corpus.sparkSession
     first = queries.filter(F.col("vec").isNotNull()).select(F.size("vec").alias("d")).head()
     if first is None:
@@ -94,7 +94,7 @@ def normalize_vectors(df: DataFrame, vec: str = "vec") -> DataFrame:
 
 
 def mean_pool(tokens: DataFrame) -> DataFrame:
-    """(doc_id, vec): the unit mean of the unmasked token vectors (doc_id, pos, vec, mask)."""
+    """(doc_id, vec): the unit mean of the unmasked token embeddings (doc_id, pos, vec, mask)."""
     parts = tokens.filter("mask").select("doc_id", F.posexplode("vec").alias("i", "x")).groupBy("doc_id", "i").agg(F.avg("x").alias("x"))
     return normalize_vectors(parts.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vec")))
 
@@ -108,9 +108,9 @@ def mask_punct(tokens: DataFrame, token: str = "token") -> DataFrame:
 
 
 def maxsim(doc_tokens: DataFrame, query_tokens: DataFrame, k: int) -> DataFrame:
-    """Sum over query tokens of the best cosine among a document's tokens. Both tables: (id, pos, vec) with unit vectors made here.
+    """Sum over query tokens of the best cosine among a document's tokens. Both tables: (id, pos, vec) with unit embeddings made here.
 
-    A document's vectors meet a block of whole queries in one matrix product, and leave with one maximum a query token.
+    A document's embeddings meet a block of whole queries in one matrix product, and leave with one maximum a query token.
     """
     spark = doc_tokens.sparkSession
     asked = query_tokens.select("query_id", "pos", doubles(F.col("vec")).alias("vec"))
@@ -149,7 +149,7 @@ def sparse_encode(weights: DataFrame, pooling: str = "max", alpha: float = 0.0)
 
 
 def sparse_dot(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Dot products of sparse vectors (id, term, w); pairs without a common term are absent."""
+    """Dot products of sparse embeddings (id, term, w); pairs without a common term are absent."""
     q = queries.select("query_id", "term", F.col("w").alias("qw"))
     return top_k(docs.join(q, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("score")), k)
 
@@ -162,8 +162,8 @@ def knn_ann(corpus: DataFrame, queries: DataFrame, k: int, refine: int | None =
 
 
 def pair_distance(df: DataFrame, a: str, b: str) -> DataFrame:
-    """distance = 1 - cosine of two vector columns."""
-    from ..functions.vectors import cosine
+    """distance = 1 - cosine of two embedding columns."""
+    from ..functions.embeddings import cosine
 
     return df.withColumn("distance", 1 - cosine(F.col(a), F.col(b)))
 

@@ -1,4 +1,4 @@
-"""Embedding jobs: quantisation, vocabularies, feature vectors and reuse of stored vectors."""
+"""Embedding jobs: quantisation, vocabularies, features and reuse of stored embeddings."""
 
 from __future__ import annotations
 
@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from ..functions.clusters import codebooks, encode
 from ..functions.text import contained, raw_words, share, words
 
-from ..functions.vectors import cosine, norm
+from ..functions.embeddings import cosine, norm
 from .monitor import dot_sentences
 
 
 def quantize_int8(df: DataFrame, vec: str = "vec") -> DataFrame:
-    """q, scale = max |x| / 127 (1 for a zero vector) and norm; halves round to even."""
+    """q, scale = max |x| / 127 (1 for a zero embedding) and norm; halves round to even."""
     top = F.array_max(F.transform(vec, lambda x: F.abs(x.cast("double"))))
     scale = F.when(top > 0, top / 127).otherwise(F.lit(1.0))
     return df.withColumn("scale", scale).withColumn("q", F.transform(vec, lambda x: F.bround(x.cast("double") / F.col("scale"), 0).cast("tinyint"))).withColumn("norm", norm(F.col(vec)))
@@ -29,7 +29,7 @@ def quantize_binary(df: DataFrame, vec: str = "vec") -> DataFrame:
 
 
 def quantize_pq(df: DataFrame, parts: int = 8, centroids: int = 256, sample_rows: int = 20_000, vec: str = "vec") -> tuple[DataFrame, DataFrame]:
-    """Rows with codes array<int>, and the codebook (sub, code, centroid): a k-means a sub-vector, fitted on a bounded sample."""
+    """Rows with codes array<int>, and the codebook (sub, code, centroid): a k-means a sub-embedding, fitted on a bounded sample."""
     spark = df.sparkSession
     x = np.array([r[0] for r in df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select(vec).collect()], float)
     books = codebooks(x, parts, centroids)
@@ -63,7 +63,7 @@ def quantize(df: DataFrame, kind: str = "int8") -> DataFrame:
 
 
 def quantization_stats(original: DataFrame, kind: str = "int8") -> DataFrame:
-    """One row: vectors, compression ratio, mean 1 - cosine to the original over all rows, MB saved."""
+    """One row: embeddings, compression ratio, mean 1 - cosine to the original over all rows, MB saved."""
     back = dequantize(quantize(original.withColumn("_v", F.col("vec")), kind), kind)
     own = back.select(F.size("_v").alias("d"), (1 - cosine(F.col("vec"), F.col("_v"))).alias("loss"))
     small = F.col("d") + 8 if kind == "int8" else F.ceil(F.col("d") / 8)
@@ -97,7 +97,7 @@ def domain_boost(rows: DataFrame, terms: Column) -> DataFrame:
 
 
 def domain_embeddings(rows: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
-    """Vectors boosted where their domain has a vocabulary (key, terms)."""
+    """Embeddings boosted where their domain has a vocabulary (key, terms)."""
     own = rows.join(vocabulary.select(key, "terms"), key, "left")
     return domain_boost(own, F.coalesce("terms", F.array().cast("array<string>")))
 
@@ -145,7 +145,7 @@ def combine_vectors(parts: dict[str, Column]) -> Column:
 
 def multi_vector_search(corpus: DataFrame, queries: DataFrame, kinds: tuple[str, ...], k: int) -> DataFrame:
     """Weighted mean of cosines over the kinds: columns of both tables. Scaled unit parts side by side make it one product."""
-    from ..functions.vectors import unit
+    from ..functions.embeddings import unit
     from .dense import knn
 
     total = sum(PART_WEIGHTS[n] for n in kinds)
@@ -154,12 +154,12 @@ def multi_vector_search(corpus: DataFrame, queries: DataFrame, kinds: tuple[str,
 
 
 def embedding_pipeline(rows: DataFrame, key: str) -> DataFrame:
-    """Vocabulary, boosted vectors and int8 form of rows (doc_id, key, text, vec)."""
+    """Vocabulary, boosted embeddings and int8 form of rows (doc_id, key, text, vec)."""
     return quantize_int8(domain_embeddings(rows, domain_vocabulary(rows, key), key))
 
 
 def embedding_memo(texts: DataFrame, memo: DataFrame, model: str) -> tuple[DataFrame, DataFrame]:
-    """Texts with a stored vector of the model, and those to encode; memo: (model, text_hash, vec)."""
+    """Texts with a stored embedding of the model, and those to encode; memo: (model, text_hash, vec)."""
     own = texts.withColumn("text_hash", F.sha2("text", 256))
     known = memo.filter(F.col("model") == model).select("text_hash", "vec")
     return own.join(known, "text_hash"), own.join(known, "text_hash", "left_anti")

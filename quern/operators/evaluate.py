@@ -134,13 +134,13 @@ def rouge_l(rows: DataFrame) -> DataFrame:
 
 
 def embedding_score(a: Column, b: Column) -> Column:
-    from ..functions.vectors import cosine
+    from ..functions.embeddings import cosine
 
     return cosine(a, b)
 
 
 def groundedness(answer_vec: Column, context_vec: Column) -> Column:
-    from ..functions.vectors import cosine
+    from ..functions.embeddings import cosine
 
     return clamp(cosine(answer_vec, context_vec))
 

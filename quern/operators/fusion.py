@@ -80,7 +80,7 @@ def pair_rerank(hits: DataFrame, scorer: Callable | None = None, score: str = "c
 
 def pairwise_diversity(hits: DataFrame) -> DataFrame:
     """(query_id, a, b, diversity): 1 - cosine of a query's candidates (query_id, doc_id, vec), a top-k list of the caller's."""
-    from ..functions.vectors import cosine
+    from ..functions.embeddings import cosine
 
     x, y = (hits.select("query_id", F.col("doc_id").alias(n), F.col("vec").alias(f"v{n}")) for n in ("a", "b"))
     return x.join(y, "query_id").filter("a < b").select("query_id", "a", "b", (1 - cosine(F.col("va"), F.col("vb"))).alias("diversity"))

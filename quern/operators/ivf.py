@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clusters import codebooks, encode, kmeans, nearest, tables
-from ..functions.vectors import dot, unit
+from ..functions.embeddings import dot, unit
 from ..sources.shared import kept
 from .ranking import small_side, top_k
 
-#: Bytes of query vectors sent to the tasks at a time, rows of the sample, most lists, and the share of neighbours that probes must hold.
+#: Bytes of query embeddings sent to the tasks at a time, rows of the sample, most lists, and the share of neighbours that probes must hold.
 QUERY_BYTES, SAMPLE_ROWS, MOST_LISTS, COVER = 4 << 20, 20_000, 4096, 0.97
 #: Sample rows that ask when probes are measured.
 TRIAL_ROWS = 500
@@ -46,8 +46,8 @@ class InvertedFile:
     probes: int
 
 
-def _unit_rows(vectors) -> np.ndarray:
-    x = np.array([np.asarray(v, float) for v in vectors])
+def _unit_rows(embeddings) -> np.ndarray:
+    x = np.array([np.asarray(v, float) for v in embeddings])
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
@@ -63,12 +63,12 @@ def probes_needed(sample: np.ndarray, centres: np.ndarray, k: int, cover: float
 
 
 def build(corpus: DataFrame, k: int, lists: int | None = None, parts: int | None = None) -> InvertedFile | None:
-    """The inverted file of corpus (doc_id, vec); None without a vector. Rows without a vector are left out."""
-    vectors = corpus.filter(F.col("vec").isNotNull()).select("doc_id", "vec")
-    rows = vectors.count()
+    """The inverted file of corpus (doc_id, vec); None without an embedding. Rows without an embedding are left out."""
+    embeddings = corpus.filter(F.col("vec").isNotNull()).select("doc_id", "vec")
+    rows = embeddings.count()
     if not rows:
         return None
-    sample = _unit_rows(r.vec for r in vectors.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS).collect())
+    sample = _unit_rows(r.vec for r in embeddings.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS).collect())
     centres = kmeans(sample, lists or min(MOST_LISTS, max(16, math.isqrt(rows) // 4)))
     books = codebooks(sample - centres[nearest(sample, centres)], parts or max(1, sample.shape[1] // 4))
     held = corpus.sparkSession.sparkContext.broadcast((centres, books))
@@ -82,7 +82,7 @@ def build(corpus: DataFrame, k: int, lists: int | None = None, parts: int | None
                 codes = encode(x - centres[at], books)
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), batch.column("doc_id"), pa.array([c.tobytes() for c in codes], pa.binary())], names=["list", "doc_id", "code"])
 
-    coded = vectors.mapInArrow(assign, f"list int, doc_id {vectors.schema['doc_id'].dataType.simpleString()}, code binary")
+    coded = embeddings.mapInArrow(assign, f"list int, doc_id {embeddings.schema['doc_id'].dataType.simpleString()}, code binary")
     stored = kept(coded.repartitionByRange("list", "doc_id").sortWithinPartitions("list"), "inverted-lists")
     return InvertedFile(stored, rows, centres, books, probes_needed(sample, centres, k))
 
@@ -138,7 +138,7 @@ def refine_rows(rows: int, k: int) -> int:
 
 
 def search(index: InvertedFile | None, corpus: DataFrame, queries: DataFrame, k: int, refine: int | None = None, exclude_self: bool = False) -> DataFrame:
-    """(query_id, doc_id, score, rank): the k best of the survivors by their exact cosine. A zero vector has cosine 0."""
+    """(query_id, doc_id, score, rank): the k best of the survivors by their exact cosine. A zero embedding has cosine 0."""
     if index is None:
         return corpus.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int")
     found = survivors(index, queries, refine or refine_rows(index.rows, k), exclude_self).select("query_id", "doc_id")

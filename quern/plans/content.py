@@ -73,19 +73,19 @@ def domain_vocabulary(spark, sf_dir):
     return _rounded(v.select("lang", "documents", "words", "unique_words", "density", F.array_join("terms", " ").alias("terms")))
 
 
-def _vectors(spark, sf_dir):
-    """A vector of four numbers a document, from its id."""
+def _embeddings(spark, sf_dir):
+    """An embedding of four numbers a document, from its id."""
     d = docs(spark, sf_dir)
     return d.withColumn("vec", F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (F.col("doc_id") % (i + 3)).cast("double")))
 
 
 def domain_boost(spark, sf_dir):
-    own = B.domain_boost(_vectors(spark, sf_dir), F.array(F.lit("the"), F.lit("de"), F.lit("of"), F.lit("der")))
+    own = B.domain_boost(_embeddings(spark, sf_dir), F.array(F.lit("the"), F.lit("de"), F.lit("of"), F.lit("der")))
     return _rounded(own.select("doc_id", "boost", F.col("vec")[0].alias("first")))
 
 
 def domain_embeddings(spark, sf_dir):
-    v = _vectors(spark, sf_dir)
+    v = _embeddings(spark, sf_dir)
     words = B.domain_vocabulary(v.filter("lang <> 'de'"), "lang")
     return _rounded(B.domain_embeddings(v, words, "lang").select("doc_id", "boost"))
 
@@ -105,7 +105,7 @@ def temporal_vector(spark, sf_dir):
 
 
 def multi_vector(spark, sf_dir):
-    own = B.multi_vector(_vectors(spark, sf_dir), AS_OF)
+    own = B.multi_vector(_embeddings(spark, sf_dir), AS_OF)
     return _summed(own.select("doc_id", F.concat("parts.semantic", "parts.structural", "parts.temporal").alias("v")), "v")
 
 
@@ -121,11 +121,11 @@ def multi_vector_search(spark, sf_dir):
 
 
 def embedding_pipeline(spark, sf_dir):
-    return _rounded(B.embedding_pipeline(_vectors(spark, sf_dir), "lang").select("doc_id", "scale", "norm"))
+    return _rounded(B.embedding_pipeline(_embeddings(spark, sf_dir), "lang").select("doc_id", "scale", "norm"))
 
 
 def embedding_memo(spark, sf_dir):
-    v = _vectors(spark, sf_dir)
+    v = _embeddings(spark, sf_dir)
     memo = v.filter("doc_id % 3 = 0").select(F.lit("m").alias("model"), F.sha2("text", 256).alias("text_hash"), "vec").dropDuplicates(["text_hash"])
     hit, miss = B.embedding_memo(v.select("doc_id", "text"), memo, "m")
     return hit.select("doc_id", F.lit(True).alias("reused")).union(miss.select("doc_id", F.lit(False)))
@@ -201,7 +201,7 @@ def validate_filenames(spark, sf_dir):
 
 
 def _hits(spark, sf_dir, n=8):
-    """For every twentieth vector its nearest vectors, each with the text of the document of that id."""
+    """For every twentieth embedding its nearest embeddings, each with the text of the document of that id."""
     v = corpus(spark, sf_dir)
     hits = dense.with_relevance(dense.knn_cosine(v, asked(v), n))
     texts = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), "text", "source", F.expr("timestamp '1998-01-01 00:00:00' + (doc_id % 1000) * interval '1 day'").alias("created_at"))

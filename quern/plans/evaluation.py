@@ -15,7 +15,7 @@ K = 10
 
 
 def _judged(spark, sf_dir):
-    """Neighbours of every twentieth vector; relevant are all vectors of the same label."""
+    """Neighbours of every twentieth embedding; relevant are all embeddings of the same label."""
     v = corpus(spark, sf_dir)
     hits = dense.knn(v, asked(v), K).select("query_id", "doc_id", "rank")
     q = asked(v).select("query_id", F.col("label").alias("l"))
@@ -92,17 +92,17 @@ def evaluate_generation(spark, sf_dir):
     return _rounded(E.evaluate_generation(_pairs(spark, sf_dir)))
 
 
-def _vector_pairs(spark, sf_dir):
+def _embedding_pairs(spark, sf_dir):
     v = corpus(spark, sf_dir)
     return v.select("doc_id", F.slice("vec", 1, 32).alias("a"), F.slice("vec", 33, 32).alias("b"))
 
 
 def embedding_score(spark, sf_dir):
-    return _rounded(_vector_pairs(spark, sf_dir).select("doc_id", E.embedding_score(F.col("a"), F.col("b")).alias("score")))
+    return _rounded(_embedding_pairs(spark, sf_dir).select("doc_id", E.embedding_score(F.col("a"), F.col("b")).alias("score")))
 
 
 def groundedness(spark, sf_dir):
-    return _rounded(_vector_pairs(spark, sf_dir).select("doc_id", E.groundedness(F.col("a"), F.col("b")).alias("score")))
+    return _rounded(_embedding_pairs(spark, sf_dir).select("doc_id", E.groundedness(F.col("a"), F.col("b")).alias("score")))
 
 
 def _requests(spark, sf_dir):

@@ -23,8 +23,8 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"), "label")
 
 
-def asked(vectors: DataFrame) -> DataFrame:
-    return vectors.filter(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "vec", "label")
+def asked(embeddings: DataFrame) -> DataFrame:
+    return embeddings.filter(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "vec", "label")
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -90,7 +90,7 @@ def normalize_vectors(spark, sf_dir):
 
 
 def tokens_of(v: DataFrame, name: str) -> DataFrame:
-    """Four token vectors of 16 numbers a vector."""
+    """Four token embeddings of 16 numbers an embedding."""
     parts = F.array(*(F.slice("vec", 1 + 16 * i, 16) for i in range(4)))
     return v.select(F.col("doc_id").alias(name), F.posexplode(parts).alias("pos", "vec"))
 
@@ -132,7 +132,7 @@ def knn_ann(spark, sf_dir):
 
 
 def _lists(spark, sf_dir):
-    """Dense and lexical lists over the same documents: keyword vectors on the dense side."""
+    """Dense and lexical lists over the same documents: keyword embeddings on the dense side."""
     docs = read(spark, sf_dir, "documents")
     q = known_items(docs)
     kd = fusion.keyword_vector(docs)
@@ -187,20 +187,20 @@ def pair_rerank(spark, sf_dir):
     return rounded(fusion.pair_rerank(a), "score").select("query_id", "doc_id", "score")
 
 
-def _with_vectors(spark, sf_dir):
+def _with_embeddings(spark, sf_dir):
     return _two(spark, sf_dir)[0].join(corpus(spark, sf_dir).select("doc_id", "vec"), "doc_id")
 
 
 def pairwise_diversity(spark, sf_dir):
-    return rounded(fusion.pairwise_diversity(_with_vectors(spark, sf_dir)), "diversity")
+    return rounded(fusion.pairwise_diversity(_with_embeddings(spark, sf_dir)), "diversity")
 
 
 def mmr(spark, sf_dir):
-    return fusion.mmr(_with_vectors(spark, sf_dir), K)
+    return fusion.mmr(_with_embeddings(spark, sf_dir), K)
 
 
 def rerank(spark, sf_dir):
-    return fusion.rerank(_with_vectors(spark, sf_dir), K)
+    return fusion.rerank(_with_embeddings(spark, sf_dir), K)
 
 
 def _memo(spark, sf_dir):

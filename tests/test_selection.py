@@ -9,13 +9,13 @@ import numpy as np
 from quern.operators import context, dense, evaluate, fusion
 
 
-def _vectors(spark, n=400, d=16, seed=3):
+def _embeddings(spark, n=400, d=16, seed=3):
     r = np.random.default_rng(seed)
     return spark.createDataFrame([(i, [float(x) for x in r.normal(size=d)]) for i in range(n)], "doc_id long, vec array<double>")
 
 
 def test_ann_recall(spark):
-    v = _vectors(spark)
+    v = _embeddings(spark)
     q = v.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
     exact = {(r.query_id, r.doc_id) for r in dense.knn_cosine(v, q, 5).collect()}
     near = {(r.query_id, r.doc_id) for r in dense.knn_ann(v, q, 5).collect()}
