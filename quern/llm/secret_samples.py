@@ -24,7 +24,7 @@ WORDS = (
     "quantity query queue quick random range rate read record redirect refresh region register release remote remove render replace report request reset resource response result return review right role root route "
     "row rule sales sample schedule schema screen script search section select sequence series server service session setting shape share sheet shipping show size snapshot sort source space split stack staff stage "
     "start state static status step stock storage store stream string student style submit subject summary supplier support switch symbol sync system table target task team template terminal test text theme thread "
-    "ticket time title token tool total track traffic transaction transfer type unit update upload url usage user utility valid value vector vendor version video view visit wait warehouse watch weather web week "
+    "ticket time title token tool total track traffic transaction transfer type unit update upload url usage user utility valid value vendor version video view visit wait warehouse watch weather web week "
     "weight widget width window word worker workflow wrapper write year zone"
 ).split()
 
