@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -44,6 +44,17 @@ def chunk_with(docs: DataFrame, chunker: Callable[[str], list[str]]) -> DataFram
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_index int, content string")
 
 
+def register_chunker(spark: SparkSession, name: str, chunker: Callable[[str], list[str]]) -> None:
+    """A caller's chunker as a table function of SQL: `from docs, lateral name(text)` gives (chunk_index, content) of each text; none of a null one."""
+
+    class Chunks:
+        def eval(self, text: str):
+            if text is not None:
+                yield from enumerate(chunker(text))
+
+    spark.udtf.register(name, F.udtf(Chunks, returnType="chunk_index int, content string"))
+
+
 def compute_on_miss(wanted: DataFrame, memo: DataFrame, on: list[str], compute: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """The values of wanted, stored or computed, and the computed ones alone, for appending to memo; compute gets the missing keys."""
     keys = wanted.select(*on).distinct()

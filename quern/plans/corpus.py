@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import chunks as C
 from ..operators import dedupe as D
 from ..operators import dense
+from ..operators import hooks as H
 from ..operators import stats as S
 from ..operators import store as T
 from .inputs import read
@@ -77,6 +78,18 @@ def chunk_documents(spark, sf_dir):
     return C.chunk_documents(docs(spark, sf_dir), "semantic").groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens"))
 
 
+#: Code points of a chunk of the registered chunker.
+WINDOW = 400
+
+
+def chunk_table_function(spark, sf_dir):
+    """A chunker of fixed windows, registered and called from SQL by a lateral join."""
+    H.register_chunker(spark, "quern_windows", lambda text: [text[k : k + WINDOW] for k in range(0, len(text), WINDOW)])
+    docs(spark, sf_dir).createOrReplaceTempView("quern_documents")
+    return spark.sql("""select d.doc_id, cast(c.chunk_index as bigint) as chunk_index, length(c.content) as n, sha2(c.content, 256) as content_sha256
+                        from quern_documents d, lateral quern_windows(d.text) c""").withColumn("n", F.col("n").cast("long"))
+
+
 def chunk_context(spark, sf_dir):
     made = C.chunk_documents(docs(spark, sf_dir), "sentences", max_tokens=256)
     return _longs(C.chunk_context(made)).select("doc_id", "chunk_index", F.sha2("context", 256).alias("context"))
@@ -376,4 +389,7 @@ SQL |= {
     "chunk_hybrid": f"select doc_id, chunk_index, chunk_type, sha256(content) as content, token_count, char_start from ({_hybrid('replace(text, chr(10), chr(10) || chr(10))', 256)})",
     "chunk_documents": f"select doc_id, count(*) as chunks, cast(sum(token_count) as bigint) as tokens from ({_hybrid('text', 1024)}) group by doc_id",
 }
-QUERIES = {f.__name__: f for f in (count_tokens, sentence_bounds, paragraph_bounds, section_bounds, chunk_fixed, chunk_sentences, chunk_by_bounds, chunk_hybrid, chunk_documents, chunk_context, chunk_stats, get_by_id, list_preview, list_page, delete_by_id, delete_by_filter, upsert_docs, patch_docs, doc_status, delete_file_cascade, validate_docs, validate_queries, validate_uploads, validate_strings, validate_payload_rows, flag_injection, strip_html, cond_relevance, append_docs, append_docs_meta, append_docs_checked, create_docs, document_metadata, dedupe_exact, processed_ledger, dup_by_hash, near_dup, doc_count, collection_stats, collection_status, document_stats, file_stats, latency_stats, ingest_stats, pipeline_stats, cache_log_stats, event_log)}
+SQL["chunk_table_function"] = f"""with w as (select doc_id, text, unnest(range((length(text) + {WINDOW - 1}) // {WINDOW})) as chunk_index from documents),
+c as (select doc_id, chunk_index, substr(text, chunk_index * {WINDOW} + 1, {WINDOW}) as content from w)
+select doc_id, chunk_index, length(content) as n, sha256(content) as content_sha256 from c"""
+QUERIES = {f.__name__: f for f in (count_tokens, sentence_bounds, paragraph_bounds, section_bounds, chunk_fixed, chunk_sentences, chunk_by_bounds, chunk_hybrid, chunk_documents, chunk_table_function, chunk_context, chunk_stats, get_by_id, list_preview, list_page, delete_by_id, delete_by_filter, upsert_docs, patch_docs, doc_status, delete_file_cascade, validate_docs, validate_queries, validate_uploads, validate_strings, validate_payload_rows, flag_injection, strip_html, cond_relevance, append_docs, append_docs_meta, append_docs_checked, create_docs, document_metadata, dedupe_exact, processed_ledger, dup_by_hash, near_dup, doc_count, collection_stats, collection_status, document_stats, file_stats, latency_stats, ingest_stats, pipeline_stats, cache_log_stats, event_log)}
