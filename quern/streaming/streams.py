@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators import monitor as M
 from ..operators.chunks import chunk_documents
@@ -38,37 +40,66 @@ def stream_event_log(events: DataFrame) -> DataFrame:
     return own.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("hour"), "event_type", "n")
 
 
-def stream_alerts(rows: DataFrame) -> DataFrame:
-    """(id, ts, metric, level, value): alerts while fewer than ten came before in the row's hour; an hour's count is its state, dropped 48 hours after it by event time."""
-    own = M.alert_candidates(M.score_interactions(rows).withColumn("ts", F.col("ts").cast("timestamp"))).filter(F.size("alerts") > 0)
-    keyed = own.withWatermark("ts", "1 hour").select(F.date_trunc("hour", "ts").alias("hour"), "id", "ts", "alerts")
-
-    def limit(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        before = state.get[0] if state.exists else 0
-        out = []
-        rows = list(parts)
-        for row in (rows[0] if len(rows) == 1 else pd.concat(rows)).sort_values(["ts", "id"]).itertuples():
+#: Hours after which an hour's count of alerts is forgotten, by event time.
+KEPT_HOURS = 48
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class HourlyLimit(StatefulProcessor):
+    """Lets alerts of an hour through while fewer than a bound came before; a timer drops the hour's count."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.count = handle.getValueState("count", StructType([StructField("n", LongType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = self.count.get()
+        if held is None:
+            self.handle.registerTimer(int(pd.Timestamp(key[0]).timestamp() * 1000) + (KEPT_HOURS + 1) * 3_600_000)
+        before, out = held[0] if held else 0, []
+        for row in pd.concat(list(rows)).sort_values(["ts", "id"]).itertuples():
             if before >= M.ALERTS_PER_HOUR:
                 break
             before += len(row.alerts)
             out += [(row.id, row.ts, a["metric"], a["level"], a["value"]) for a in row.alerts]
-        state.update((before,))
-        if state.getCurrentWatermarkMs() >= 0:
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(pd.Timestamp(key[0]).timestamp() * 1000) + 49 * 3_600_000))
-        yield pd.DataFrame(out, columns=["id", "ts", "metric", "level", "value"])
+        self.count.update((before,))
+        if out:
+            yield pd.DataFrame(out, columns=["id", "ts", "metric", "level", "value"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.count.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
-    return keyed.groupBy("hour").applyInPandasWithState(limit, "id long, ts timestamp, metric string, level string, value double", "n long", "append", "EventTimeTimeout")
 
+def limit_alerts(alerts: DataFrame) -> DataFrame:
+    """(id, ts, metric, level, value) of a stream of rows (id, ts, alerts), as many as an hour may give. The session's state goes to RocksDB."""
+    alerts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    keyed = alerts.filter(F.size("alerts") > 0).withWatermark("ts", "1 hour").select(F.date_trunc("hour", "ts").alias("hour"), "id", "ts", "alerts")
+    return keyed.groupBy("hour").transformWithStateInPandas(HourlyLimit(), "id long, ts timestamp, metric string, level string, value double", "Append", "EventTime")
 
-def stream_ingest(files: DataFrame, ledger_path: str, out_path: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None):
-    """Starts a restartable query: new documents (doc_id, text), without texts in the ledger, chunked and appended batch by batch."""
+
+def stream_alerts(rows: DataFrame) -> DataFrame:
+    """(id, ts, metric, level, value): alerts while fewer than ten came before in the row's hour."""
+    return limit_alerts(M.alert_candidates(M.score_interactions(rows).withColumn("ts", F.col("ts").cast("timestamp"))).select("id", "ts", "alerts"))
+
+
+def stream_ingest(files: DataFrame, ledger_path: str, out_path: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None, time: str | None = None, late: str = "1 hour"):
+    """Starts a restartable query: new documents (doc_id, text), without texts in the ledger, chunked and appended batch by batch.
+
+    With a column of event time, a text that comes again within `late` is dropped before the ledger is read, and rows later than that are
+    dropped; dropped_late() of the query tells how many.
+    """
+    own = files.withColumn("content_hash", content_hash())
+    if time:
+        own = own.withWatermark(time, late).dropDuplicatesWithinWatermark(["content_hash"])
 
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        own = batch.withColumn("content_hash", content_hash()).dropDuplicates(["content_hash"])
+        # computed once a batch, so that what the stream drops is counted once
+        own = batch.dropDuplicates(["content_hash"]).persist()
         try:
             known = spark.read.parquet(ledger_path).filter(F.col("batch") != n)
         except Exception as e:
@@ -80,5 +111,11 @@ def stream_ingest(files: DataFrame, ledger_path: str, out_path: str, checkpoint:
         fresh.select("content_hash").write.mode("overwrite").parquet(f"{ledger_path}/batch={n}")
         if on_batch:
             on_batch(fresh, n)
+        own.unpersist()
+
+    return own.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def dropped_late(query) -> int:
+    """Rows that the watermark of a query has dropped so far, in the progress that it keeps."""
+    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p["stateOperators"])
