@@ -278,14 +278,17 @@ def between_clusters(page: Lines, lines: list, content: np.ndarray, within: list
 def extract_main_text(pages: DataFrame, html: str = "html", keep_html: bool = False) -> DataFrame:
     """pages with text and n_chars, its code points; the column of html is dropped unless it is kept."""
     kept = [c for c in pages.columns if c not in ("text", "n_chars") and (keep_html or c != html)]
-    slim = pages.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{html}`").alias("_html"))
+    own = "_html"
+    while own in pages.columns:
+        own += "_"
+    slim = pages.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{html}`").alias(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "_html"):
-            text = [main_text(x) for x in part.column("_html").to_pylist()]
+        for part in slices(batches, own):
+            text = [main_text(x) for x in part.column(own).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], names=[*kept, "text", "n_chars"])
 
-    schema = slim.drop("_html").schema.add("text", "string").add("n_chars", "long")
+    schema = slim.drop(own).schema.add("text", "string").add("n_chars", "long")
     return slim.mapInArrow(run, schema)
 
 

@@ -61,9 +61,9 @@ def test_time_is_linear(text):
 
 def test_rows(spark):
     pages = [(1, None, "u", "old", 7, "h"), (2, "", "u", "old", 7, "h"), (3, f"<p>{say(90_000)}", "u", "old", 7, "h"), (3, f"<p>{say(90_000)}", "u", "old", 7, "h"), (None, "<p>é&lt;", None, "old", 7, "h")]
-    df = spark.createDataFrame(pages, "page_id long, html string, url string, text string, n_chars int, _page string").repartition(2)
+    df = spark.createDataFrame(pages, "page_id long, html string, url string, text string, n_chars int, _html string").repartition(2)
     out = html_text.extract_main_text(df)
-    got = sorted((str(r.page_id), r.url, r.text, r.n_chars, r._page) for r in out.collect())
+    got = sorted((str(r.page_id), r.url, r.text, r.n_chars, r._html) for r in out.collect())
     assert got == sorted([("1", "u", "", 0, "h"), ("2", "u", "", 0, "h"), *[("3", "u", say(90_000), len(say(90_000)), "h")] * 2, ("None", None, "é<", 2, "h")])
     assert html_text.extract_main_text(df.filter("false")).count() == 0
     assert "html" in html_text.extract_main_text(df, keep_html=True).columns
