@@ -34,6 +34,12 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def written(path: str) -> str:
+    """path, noted as one that drop_stored() removes."""
+    _written.append(path)
+    return path
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read again: it cuts the lineage and survives lost executors.
 
@@ -41,7 +47,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/quern/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    written(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -54,6 +60,14 @@ def drop_stored(spark: SparkSession) -> int:
     return gone
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, with underscores after it until no column of docs has it; Spark's names differ by more than the case of letters."""
+    held = {c.lower() for c in docs.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def text_bytes(column: str = "text") -> Column:
     """UTF-8 bytes of a text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

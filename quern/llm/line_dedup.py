@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_group, slices, stored, table, text_bytes
+from .common import by_group, free_name, slices, stored, table, text_bytes
 
 BLANKS = b" \t\n\x0b\x0c\r"
 #: Positions of a key, bits of a chunk of the filters, and the smallest filter and the largest that is broadcast (128 MB).
@@ -209,18 +209,20 @@ def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, max_
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, hashes_only: bool = False, max_bits: int = MAX_BITS) -> DataFrame:
-    """All columns of docs with text rewritten, and n_lines and n_dropped; hashes_only: doc_id, the counts and kept_sha256."""
-    drops = repeated_lines(docs, min_chars, min_docs, max_bits).select(F.col("doc_id").alias("_doc"), F.col("drop").alias("_drop"))
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    taken = docs.select("doc_id", "text") if hashes_only else docs.select(*columns)
-    joined = taken.join(drops.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc").withColumn("text", text_bytes())
+    """All columns of docs with text rewritten, and n_lines and n_dropped (in place of columns so named); hashes_only: doc_id, the counts
+    and kept_sha256."""
+    doc, lost_keys = free_name(docs, "_doc"), free_name(docs, "_drop")
+    drops = repeated_lines(docs, min_chars, min_docs, max_bits).select(F.col("doc_id").alias(doc), F.col("drop").alias(lost_keys))
+    columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    taken = docs.select("doc_id", "text") if hashes_only else docs.select(*(F.col(f"`{c}`") for c in columns))
+    joined = taken.join(drops.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col(doc), "left").drop(doc).withColumn("text", text_bytes())
     fields = [f for f in docs.schema.fields if f.name in (("doc_id",) if hashes_only else columns)]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_lines long, n_dropped long" + ", kept_sha256 string" * hashes_only
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             texts, before, lost = [], [], []
-            for raw, drop in zip(batch.column("text").to_pylist(), batch.column("_drop").to_pylist()):
+            for raw, drop in zip(batch.column("text").to_pylist(), batch.column(lost_keys).to_pylist()):
                 lines = raw.split(b"\n")
                 before.append(len(lines))
                 if drop:

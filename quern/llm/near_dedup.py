@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_group, slices, stored, table, text_bytes
+from .common import by_group, free_name, slices, stored, table, text_bytes
 
 BANDS, ROWS = 32, 6
 COORDINATES = BANDS * ROWS
@@ -373,8 +373,10 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, threshold: float = 0
 
 def keep_one(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
     """docs with one document, the least doc_id, of each class of near duplicates; rows without a doc_id stay."""
-    gone = near_duplicate_classes(docs, words, threshold).filter(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti").select(*docs.columns)
+    other = free_name(docs, "_gone")
+    classes = near_duplicate_classes(docs.select("doc_id", "text"), words, threshold)
+    gone = classes.filter(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias(other))
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(other), "left_anti")
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

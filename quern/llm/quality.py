@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table, text_bytes
+from .common import free_name, slices, stored, table, text_bytes
 
 PASSAGE_WORDS, TRAIN_DOCS = 64, 4000
 HIDDEN, ATTENTION, EPOCHS, RATE = 24, 12, 40, 0.01
@@ -161,8 +161,8 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", docs_limit: int = TRAIN_DOCS) -> AttentionModel:
     """A model from a bounded sample of the labelled documents that aren't held out."""
     known = labels.filter(~held_out(F.col("doc_id")) & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y"))
-    picked = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs_limit)
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("raw")).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    picked = known.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs_limit)
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("raw")).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("raw").alias("raw"), F.min("y").alias("y"))  # of repeated ids the least text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "raw"):
@@ -187,20 +187,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", docs_limit
 
 
 def score_quality(docs: DataFrame, model: AttentionModel, column: str = "score") -> DataFrame:
-    """All columns of docs and a score from 0 to 1."""
+    """All columns of docs and a score from 0 to 1, in place of a column so named."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    columns = [c for c in docs.columns if c != column]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != column)
+    raw_name = free_name(docs, "_raw")
+    columns = [c for c in docs.columns if c.lower() != column.lower()]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in columns)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
-        for batch in slices(batches, "_raw", 1 << 20):
+        for batch in slices(batches, raw_name, 1 << 20):
             if own.constant is not None:
                 scores = np.full(batch.num_rows, own.constant)
             else:
                 hs, es, counts = [], [], []
                 texts, stats = [], []
-                for raw in batch.column("_raw").to_pylist():
+                for raw in batch.column(raw_name).to_pylist():
                     t, s = passages(raw)
                     counts.append(len(t))
                     texts += t
@@ -212,19 +213,19 @@ def score_quality(docs: DataFrame, model: AttentionModel, column: str = "score")
                 scores = own.bags(np.concatenate(hs), np.concatenate(es), np.cumsum(counts) - counts)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(scores, pa.float64())], names=[*columns, column])
 
-    return docs.select(*columns, text_bytes().alias("_raw")).mapInArrow(score, f"{schema}, `{column}` double")
+    return docs.select(*(F.col(f"`{c}`") for c in columns), text_bytes().alias(raw_name)).mapInArrow(score, f"{schema}, `{column}` double")
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the documents that the classifier rejects."""
-    scored = score_quality(docs, train(docs, labels), "_score")
-    return scored.filter(F.col("_score") >= threshold).select(*docs.columns)
+    own = free_name(docs, "_score")
+    return score_quality(docs, train(docs, labels), own).filter(F.col(own) >= threshold).drop(own)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_quality(docs, train(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 QUERIES = {"op8_quality_classifier": op8_quality_classifier}

@@ -194,8 +194,8 @@ def document_statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) ->
 def train_trees(docs: DataFrame, labels: DataFrame, docs_limit: int = TRAIN_DOCS) -> Trees:
     """Trees from a bounded sample of the labelled documents that aren't held out."""
     known = labels.filter(~held_out(F.col("doc_id")) & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y"))
-    picked = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs_limit)
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    picked = known.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs_limit)
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))  # of repeated ids the least text
     rows = sorted(document_statistics(sample, ("doc_id", "y")).select("doc_id", "y", "stats").collect(), key=lambda r: r.doc_id)  # at most docs_limit
     x = np.array([r.stats for r in rows], float).reshape(-1, len(STATISTICS))
     return Trees(list(STATISTICS.values())).fit(x, np.array([r.y for r in rows], float))

@@ -1,34 +1,34 @@
 """URL filter: a sorted array of 64-bit digests, memory-mapped, probed by vectorised binary search, confirmed by whole strings.
 
-A blocklist is a table of entries `host` or `host/path-prefix`. Its index has three flat files: the sorted xxhash64 digests, the
-offsets and the bytes of the entries in the same order. Spark ships the files to each executor, where tasks map them; no task
-reads them whole. A url is probed by every suffix of its host and every directory prefix of its path; equal digests are
-confirmed against the stored string, so a collision never blocks a url.
-
-The index is shipped only while its entries take at most max_index_bytes; a larger blocklist is met by a Spark join on the
-digest and the string.
+A blocklist is a table of entries `host` or `host/path-prefix`, of any size. Spark sorts its xxhash64 digests by range: a shard is a
+run of digests that share their first bits, of about SHARD_BYTES, and one file in the shared folder with the sorted digests, the
+offsets and the strings of its entries in the same order. Tasks map the shards which their urls' digests fall in; neither they nor
+the driver read the list. A url is probed by every suffix of its host and every directory prefix of its path, as far as the longest
+entry goes; equal digests are confirmed against the stored string, so a collision never blocks a url. Urls are not shuffled.
 
 Rules come before the method: the longest rule whose host is the url's or above it, and whose path starts the url's path.
 
 Defined cases: a null url, or one without `://`, has an empty host and path, no rule, and is allowed; an empty blocklist allows
-everything that no rule blocks; repeated rows give repeated rows; an empty table gives an empty table.
+everything that no rule blocks, and null and repeated entries count as none and one; urls of any length are probed in time that
+grows with the longest entry; repeated rows give repeated rows; an empty table gives an empty table; columns of the table which are
+named like one of the five added ones (in any case of letters) are replaced, all others pass through.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 import xxhash
-from pyspark import SparkFiles
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import shared_folder, slices, table, written
 
 #: Host and path of a url.
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -38,8 +38,9 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 FIRST = ("ads", "adult", "best", "casino", "cheap", "free", "hot", "online", "spam")
 SECOND = ("bets", "casino", "farm", "loans", "pills", "track", "win", "x")
 DOMAINS = ("com", "net", "org", "example.com", "example.net", "example.org")
-#: The largest list that passes through the driver to become an index.
-INDEX_BYTES = 16 << 20
+#: Bytes of a shard, about; and the seed of Spark's xxhash64.
+SHARD_BYTES, SEED = 16 << 20, 42
+ADDED = ("host", "path", "rule", "verdict", "blocked")
 
 
 def host_of(url: Column) -> Column:
@@ -59,47 +60,105 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return rule, verdict
 
 
-def probe_keys(host: bytes, path: bytes) -> list[bytes]:
-    """The entries that would block a url: each suffix of its host, alone and with each directory prefix of its path."""
+def probe_keys(host: bytes, path: bytes, longest: int) -> list[bytes]:
+    """The entries of at most longest bytes that would block a url: each suffix of its host, alone and with each directory prefix of its path."""
     if not host:
         return []
-    parts = host.split(b".")
-    hosts = [b".".join(parts[i:]) for i in range(len(parts))]
-    cuts = [i + 1 for i, c in enumerate(path) if c == 47]
-    ends = [path[:i] for i in cuts] + ([path] if path and path[-1:] != b"/" else [])
-    return hosts + [h + p for h in hosts for p in ends]
-
-
-def build_index(entries: list[bytes], folder: str) -> list[str]:
-    """Writes digests, offsets and strings, sorted by digest and string."""
-    order = sorted((xxhash.xxh64_intdigest(e), e) for e in set(entries))
-    digests = np.array([d for d, _ in order], np.uint64)
-    offsets = np.concatenate(([0], np.cumsum([len(e) for _, e in order], dtype=np.int64))).astype(np.int64)
-    name = f"urls-{uuid.uuid4().hex}"
-    files = []
-    for kind, data in (("digests", digests.tobytes()), ("offsets", offsets.tobytes()), ("strings", b"".join(e for _, e in order))):
-        files.append(os.path.join(folder, f"{name}.{kind}"))
-        with open(files[-1], "wb") as f:
-            f.write(data)
-    return files
-
-
-class MappedIndex:
-    def __init__(self, digests: str, offsets: str, strings: str):
-        load = lambda path, kind: np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
-        self.digests, self.offsets, self.strings = load(digests, np.uint64), load(offsets, np.int64), load(strings, np.uint8)
+    end = host[-longest:] if longest else b""
+    hosts = [end[i + 1 :] for i, c in enumerate(end) if c == 46] + ([host] if len(host) <= longest else [])
+    ends = [path[: i + 1] for i, c in enumerate(path[:longest]) if c == 47] + ([path] if path and len(path) <= longest and path[-1:] != b"/" else [])
+    return hosts + [h + p for h in hosts for p in ends if len(h) + len(p) <= longest]
+
+
+def digests(keys: list[bytes]) -> np.ndarray:
+    """What Spark's xxhash64 gives for binary values."""
+    return np.fromiter((xxhash.xxh64_intdigest(k, SEED) for k in keys), np.uint64, len(keys)).view(np.int64)
+
+
+def packed(own: np.ndarray, entries: list[bytes]) -> bytes:
+    """A shard: its number of entries, their ascending digests, the offsets of their strings, and the strings."""
+    offsets = np.concatenate(([0], np.cumsum([len(e) for e in entries], dtype=np.int64)))
+    return b"".join((np.array([len(entries)], np.int64).tobytes(), own.astype(np.int64).tobytes(), offsets.astype(np.int64).tobytes(), *entries))
+
+
+def write_shards(entries: DataFrame, folder: str, bits: int) -> list[int]:
+    """One file in folder for each shard that has entries; their numbers."""
+    ranged = entries.withColumn("digest", F.xxhash64("entry"))
+    ranged = ranged.withColumn("shard", F.shiftrightunsigned("digest", 64 - bits).cast("int") if bits else F.lit(0))
+    ranged = ranged.repartition(1 << bits, "shard").sortWithinPartitions("shard", "digest", "entry")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = pa.fs.FileSystem.from_uri(folder)
+        files.create_dir(root, recursive=True)
+
+        def close(shard: int, runs: list[pa.RecordBatch]) -> int:
+            own = pa.Table.from_batches(runs)
+            name = f"{root}/{shard}"
+            attempt = f"{name}.{TaskContext.get().taskAttemptId()}"
+            with files.open_output_stream(attempt) as out:
+                out.write(packed(own["digest"].to_numpy(), own["entry"].to_pylist()))
+            files.move(attempt, name)  # attempts of one task write the same
+            return shard
+
+        shard, runs, done = -1, [], []
+        for batch in batches:
+            numbers = batch.column("shard").to_numpy()
+            starts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            for i, j in zip(starts, starts[1:]):
+                if j > i and numbers[i] != shard:
+                    done += [close(shard, runs)] if runs else []
+                    shard, runs = int(numbers[i]), []
+                if j > i:
+                    runs.append(batch.slice(i, j - i))
+        done += [close(shard, runs)] if runs else []
+        yield pa.RecordBatch.from_pydict({"shard": pa.array(done, pa.int32())})
+
+    return sorted({r.shard for r in ranged.mapInArrow(write, "shard int").collect()})  # one number for SHARD_BYTES of entries
+
+
+class UrlIndex:
+    """The shards of a list, each mapped by a task when it is first asked."""
+
+    def __init__(self, folder: str, shards: list[int], bits: int, longest: int, shipped: bool = False):
+        self.folder, self.shards, self.bits, self.longest, self.shipped, self.mapped = folder, set(shards), bits, longest, shipped, {}
+
+    def shard(self, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if number not in self.mapped:
+            path = SparkFiles.get(f"{os.path.basename(self.folder)}/{number}") if self.shipped else f"{pa.fs.FileSystem.from_uri(self.folder)[1]}/{number}"
+            data = np.memmap(path, np.uint8, "r")
+            at = 8 + 8 * int(data[:8].view(np.int64)[0])
+            self.mapped[number] = data[8:at].view(np.int64), data[at : 2 * at].view(np.int64), data[2 * at :]
+        return self.mapped[number]
 
     def contains(self, keys: list[bytes]) -> np.ndarray:
-        found = np.zeros(len(keys), bool)
-        if not len(self.digests) or not keys:
-            return found
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, keys), np.uint64)
-        low, high = np.searchsorted(self.digests, hashes, "left"), np.searchsorted(self.digests, hashes, "right")
-        for i in np.flatnonzero(high > low):  # digest matches alone are compared as strings
-            found[i] = any(self.strings[self.offsets[j] : self.offsets[j + 1]].tobytes() == keys[i] for j in range(low[i], high[i]))
+        found, own = np.zeros(len(keys), bool), digests(keys)
+        numbers = (own.view(np.uint64) >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
+        order = np.lexsort((own, numbers))
+        for run in np.split(order, np.flatnonzero(np.diff(numbers[order])) + 1):
+            if not len(run) or int(numbers[run[0]]) not in self.shards:
+                continue
+            stored, offsets, strings = self.shard(int(numbers[run[0]]))
+            low, high = np.searchsorted(stored, own[run], "left"), np.searchsorted(stored, own[run], "right")
+            for n in np.flatnonzero(high > low):  # digest matches alone are compared as strings
+                found[run[n]] = any(strings[offsets[j] : offsets[j + 1]].tobytes() == keys[run[n]] for j in range(low[n], high[n]))
         return found
 
 
+def build_index(blocklist: DataFrame, shard_bytes: int = SHARD_BYTES) -> UrlIndex:
+    """The index of a table of entries, in the shared folder. Tasks map it there; where that folder is no file system of theirs, Spark's
+    own file shipping brings the shards from it to each executor, which maps its copy."""
+    spark = blocklist.sparkSession
+    entries = blocklist.select(F.col("entry").cast("binary").alias("entry")).filter(F.col("entry").isNotNull())
+    size, longest = entries.agg(F.coalesce(F.sum(F.octet_length("entry") + 16), F.lit(0)), F.coalesce(F.max(F.octet_length("entry")), F.lit(0))).first()
+    bits = max(0, int(size) // shard_bytes).bit_length()
+    folder = written(f"{shared_folder(spark)}/quern/url-index-{uuid.uuid4().hex}")
+    index = UrlIndex(folder, write_shards(entries.distinct(), folder, bits) if longest else [], bits, longest)
+    if index.shards and not isinstance(pa.fs.FileSystem.from_uri(folder)[0], pa.fs.LocalFileSystem):
+        spark.sparkContext.addFile(folder, recursive=True)
+        index.shipped = True
+    return index
+
+
 def default_blocklist(spark: SparkSession) -> DataFrame:
     """(entry): `first-second.domain` hosts and `domain/part/` folders; most of them occur in no table of pages."""
     listed = lambda values: F.explode(F.array(*map(F.lit, values)))
@@ -108,41 +167,23 @@ def default_blocklist(spark: SparkSession) -> DataFrame:
     return hosts.union(domains.select("d", listed(sorted({*FIRST, *SECOND})).alias("p")).select(F.concat("d", F.lit("/"), "p", F.lit("/")).alias("entry")))
 
 
-def filter_urls(pages: DataFrame, blocklist: DataFrame, rules=RULES, max_index_bytes: int = INDEX_BYTES) -> DataFrame:
+def filter_urls(pages: DataFrame, blocklist: DataFrame, rules=RULES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """All columns of pages, and host, path, rule, verdict and blocked (the method's own answer)."""
-    spark = pages.sparkSession
-    entries = blocklist.select(F.col("entry").cast("binary").alias("entry")).filter(F.col("entry").isNotNull()).distinct()
-    parsed = pages.drop("host", "path", "rule", "verdict", "blocked").withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    size = entries.agg(F.sum(F.octet_length("entry") + 16)).first()[0] or 0
-    if size <= max_index_bytes:
-        files = build_index([r.entry for r in entries.toLocalIterator()], tempfile.mkdtemp(prefix="quern-urls-"))
-        for f in files:
-            spark.sparkContext.addFile(f)
-        names = [os.path.basename(f) for f in files]
-
-        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = MappedIndex(*(SparkFiles.get(n) for n in names))
-            for batch in slices(batches, "path", 1 << 20):
-                hosts, paths = (pa.compute.cast(batch.column(c), pa.binary()).to_pylist() for c in ("host", "path"))
-                keys = [probe_keys(h, p) for h, p in zip(hosts, paths)]
-                hit = index.contains([k for own in keys for k in own])
-                ends = np.cumsum([len(own) for own in keys], dtype=np.int64)
-                total = np.concatenate(([0], np.cumsum(hit)))[np.concatenate(([0], ends)).astype(np.int64)]
-                blocked = pa.array(np.diff(total) > 0)
-                yield pa.RecordBatch.from_arrays([*batch.columns, blocked], names=[*batch.schema.names, "blocked"])
-
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parsed.schema.fields)
-        judged = parsed.mapInArrow(probe, f"{schema}, blocked boolean")
-    else:
-        labels = F.split("host", r"\.")
-        hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-        steps = F.split("path", "/")
-        starts = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.when(i < F.size(steps), F.concat(F.array_join(F.slice(steps, 1, i), "/"), F.lit("/"))).otherwise(F.col("path")))
-        keys = F.array_distinct(F.concat(hosts, F.flatten(F.transform(hosts, lambda h: F.transform(starts, lambda p: F.concat(h, p))))))
-        distinct = parsed.select("host", "path").filter("host <> ''").distinct()
-        probes = distinct.select("host", "path", F.explode(keys).alias("entry")).withColumn("entry", F.col("entry").cast("binary")).withColumn("digest", F.xxhash64("entry"))
-        hits = probes.join(entries.withColumn("digest", F.xxhash64("entry")), ["digest", "entry"], "left_semi").select("host", "path", F.lit(True).alias("blocked")).distinct()
-        judged = parsed.join(hits, ["host", "path"], "left").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
+    kept = [c for c in pages.columns if c.lower() not in ADDED]
+    parsed = pages.select(*(F.col(f"`{c}`") for c in kept), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    index = build_index(blocklist, shard_bytes)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "path", 1 << 20):
+            hosts, paths = (pa.compute.cast(batch.column(c), pa.binary()).to_pylist() for c in ("host", "path"))
+            keys = [probe_keys(h, p, index.longest) for h, p in zip(hosts, paths)]
+            hit = index.contains([k for own in keys for k in own])
+            ends = np.cumsum([len(own) for own in keys], dtype=np.int64)
+            total = np.concatenate(([0], np.cumsum(hit)))[np.concatenate(([0], ends)).astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.diff(total) > 0)], names=[*batch.schema.names, "blocked"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parsed.schema.fields)
+    judged = parsed.mapInArrow(probe, f"{schema}, blocked boolean")
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     return judged.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, F.when(F.col("blocked"), "block").otherwise("allow")))
 

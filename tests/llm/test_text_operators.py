@@ -84,11 +84,11 @@ def test_sentencepiece_equals_library(spark):
 URLS = [None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/de/x?y", "https://a.example.net/en/p", "https://a.example.net/fr/p", "http://x.org/fr/1#t", "http://bad.host.de/x", "http://good.de/page", "http://good.de/spam/deep/1.html", "http://notbad.host.de/", "ftp://org/fr/", "http://ex%C3%A4.net"]
 
 
-@pytest.mark.parametrize("limit", [256 << 20, 0])
-def test_url_filter(spark, limit):
+@pytest.mark.parametrize("shard_bytes", [16 << 20, 8])
+def test_url_filter(spark, shard_bytes):
     pages = spark.createDataFrame([(i, u, 1) for i, u in enumerate(URLS * 2)], "page_id long, url string, verdict int")
-    block = spark.createDataFrame([("bad.host.de",), ("good.de/spam/",), (None,)], "entry string")
-    got = {r.page_id: r for r in url_filter.filter_urls(pages, block, max_index_bytes=limit).collect()}
+    block = spark.createDataFrame([("bad.host.de",), ("good.de/spam/",), (None,), ("bad.host.de",)], "entry string")
+    got = {r.page_id: r for r in url_filter.filter_urls(pages, block, shard_bytes=shard_bytes).collect()}
     for i, u in enumerate(URLS * 2):
         m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
         host, path = (m[1].translate(LOW), m[2]) if m else ("", "")
@@ -98,24 +98,59 @@ def test_url_filter(spark, limit):
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, rule, verdict or ("block" if own else "allow"))
 
 
-@pytest.mark.parametrize("limit", [16 << 20, 0])
-def test_url_filter_by_the_default_list(spark, limit):
+@pytest.mark.parametrize("shard_bytes", [16 << 20, 256])
+def test_url_filter_by_the_default_list(spark, shard_bytes):
     urls = ["http://cheap-pills.example.de/", "http://m.cheap-pills.example.org/a", "http://cheap-pills.org/", "http://pills-cheap.org/", "http://a.b.com/casino/x", "http://a.b.com/casino", "http://a.b.com/y/casino/", "http://x.com/win/"]
     pages = spark.createDataFrame([(i, u, "p", True) for i, u in enumerate(urls)], "page_id long, url string, path string, blocked boolean")
-    out = url_filter.filter_urls(pages, url_filter.default_blocklist(spark), max_index_bytes=limit)
+    out = url_filter.filter_urls(pages, url_filter.default_blocklist(spark), shard_bytes=shard_bytes)
     got = [r.blocked for r in out.orderBy("page_id").collect()]
     assert got == [False, True, True, False, True, False, False, True]
-    assert url_filter.filter_urls(pages.filter("false"), url_filter.default_blocklist(spark), max_index_bytes=limit).count() == 0
-    none = url_filter.filter_urls(pages, url_filter.default_blocklist(spark).filter("false"), max_index_bytes=limit)
+    assert url_filter.filter_urls(pages.filter("false"), url_filter.default_blocklist(spark), shard_bytes=shard_bytes).count() == 0
+    none = url_filter.filter_urls(pages, url_filter.default_blocklist(spark).filter("false"), shard_bytes=shard_bytes)
     assert not any(r.blocked for r in none.collect())
 
 
+def test_url_index_of_a_million_entries(spark):
+    """Sixteen shards; half of the urls' hosts are listed, and every sixth as a folder."""
+    listed = spark.range(1_000_000).selectExpr("if(id % 3 = 0, concat('h', id, '.example.com/x/'), concat('h', id, '.example.com')) as entry")
+    index = url_filter.build_index(listed, 4 << 20)
+    assert index.bits == 4 and len(index.shards) == 16
+    pages = spark.range(999_000, 1_001_000).selectExpr("id as page_id", "concat('http://www.h', id, '.example.com/', if(id % 2 = 0, 'x/1', 'y')) as url")
+    got = {r.page_id: r.blocked for r in url_filter.filter_urls(pages, listed, shard_bytes=4 << 20).select("page_id", "blocked").collect()}
+    assert got == {i: i < 1_000_000 and (i % 3 > 0 or i % 2 == 0) for i in range(999_000, 1_001_000)}
+
+
+def test_url_digests_are_those_of_spark(spark):
+    keys = [b"", b"a", b"host.de/path/", bytes(range(256)), b"x" * 1000]
+    rows = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i int, k binary").selectExpr("i", "xxhash64(k) as h").orderBy("i").collect()
+    assert [r.h for r in rows] == url_filter.digests([bytes(k) for k in keys]).tolist()
+
+
+def test_url_filter_of_very_long_urls(spark):
+    long = ["http://" + "a." * 60_000 + "bad.de/" + "d/" * 60_000, "http://x.bad.de/" + "e/" * 200_000, "http://" + "." * 50_000 + "/" * 50_000]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(long)], "page_id long, url string")
+    block = spark.createDataFrame([("bad.de",), ("worse.example.com/folder/",)], "entry string")
+    assert [r.blocked for r in url_filter.filter_urls(pages, block).orderBy("page_id").collect()] == [True, True, False]
+
+
 def test_url_index_confirms_collisions(tmp_path, monkeypatch):
-    monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda x: 7)
-    index = url_filter.MappedIndex(*url_filter.build_index([b"a.com", b"b.com"], str(tmp_path)))
+    monkeypatch.setattr(url_filter, "digests", lambda keys: __import__("numpy").full(len(keys), 7))
+    (tmp_path / "0").write_bytes(url_filter.packed(url_filter.digests("ab"), [b"a.com", b"b.com"]))
+    index = url_filter.UrlIndex(f"file://{tmp_path}", [0], 0, 5)
     assert index.contains([b"a.com", b"c.com", b"b.com"]).tolist() == [True, False, True]
 
 
+def test_url_index_shipped_by_spark(spark, tmp_path):
+    """Where the shared folder cannot be mapped, tasks map the copies that Spark's file shipping made."""
+    folder = tmp_path / "shipped-urls"
+    folder.mkdir()
+    (folder / "0").write_bytes(url_filter.packed(url_filter.digests([b"a.com"]), [b"a.com"]))
+    spark.sparkContext.addFile(str(folder), recursive=True)
+    index = url_filter.UrlIndex(str(folder), [0], 0, 5, shipped=True)
+    index.folder = "/elsewhere/shipped-urls"
+    assert spark.sparkContext.parallelize([b"a.com", b"b.com"], 2).map(lambda k: bool(index.contains([k])[0])).collect() == [True, False]
+
+
 @pytest.mark.parametrize("index_bytes", [64 << 20, 0])
 def test_decontamination(spark, monkeypatch, index_bytes):
     monkeypatch.setattr(decontaminate, "HOT_ROWS", 2)
