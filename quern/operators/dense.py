@@ -107,39 +107,81 @@ def mask_punct(tokens: DataFrame, token: str = "token") -> DataFrame:
     return tokens.filter(~F.col(token).isin(*PUNCTUATION))
 
 
-def maxsim(doc_tokens: DataFrame, query_tokens: DataFrame, k: int) -> DataFrame:
+#: Token rows beyond which a document is not brought together in one task.
+LONG_TOKENS = 100_000
+
+
+def _maxima(pdf: pd.DataFrame, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The documents of a batch, and the best cosine of each query token among the tokens of each."""
+    x = _matrix(pdf["vec"], q.shape[1])
+    s = q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
+    docs, at = np.unique(pdf["doc_id"].to_numpy(), return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    return docs, np.maximum.reduceat(s[:, order], np.searchsorted(at[order], np.arange(len(docs))), axis=1)
+
+
+def maxsim(doc_tokens: DataFrame, query_tokens: DataFrame, k: int, long_tokens: int = LONG_TOKENS) -> DataFrame:
     """Sum over query tokens of the best cosine among a document's tokens. Both tables: (id, pos, vec) with unit embeddings made here.
 
-    A document's embeddings meet a block of whole queries in one matrix product, and leave with one maximum a query token.
+    Token rows are brought together by document, once for all queries; a task reads them in that order and holds the maxima of one
+    unfinished document, so a batch leaves k rows a query. Queries go to the tasks in blocks of whole queries. A document of more than
+    long_tokens rows stays where it is instead: each batch leaves its maxima of the query tokens, which are then joined. There are at
+    most a long_tokens-th of the rows of those. Rows without doc_id count for no document.
     """
     spark = doc_tokens.sparkSession
     asked = query_tokens.select("query_id", "pos", doubles(F.col("vec")).alias("vec"))
     size = asked.agg(F.sum(F.size("vec").cast("long"))).first()[0] or 0
     blocks = max(1, -(-size * 8 // QUERY_BYTES))
+    tokens = doc_tokens.select("doc_id", "vec").filter(F.col("doc_id").isNotNull())
+    lengthy = tokens.groupBy("doc_id").agg(F.count("*").alias("n")).filter(F.col("n") > long_tokens).select("doc_id")
+    any_long = bool(lengthy.head(1))
+    usual = tokens.join(lengthy, "doc_id", "left_anti") if any_long else tokens
+    ordered = usual.repartition("doc_id").sortWithinPartitions("doc_id")
 
-    def search(block: int) -> DataFrame:
+    def search(block: int) -> list[DataFrame]:
         part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
         rows = part.orderBy("query_id", "pos").collect()  # at most about QUERY_BYTES
-        q = np.array([r.vec for r in rows], float).reshape(len(rows), -1)
+        q = np.array([r.vec for r in rows], float).reshape(len(rows), -1 if rows else 1)
         held = spark.sparkContext.broadcast((np.array([r.query_id for r in rows]), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
 
-        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, q = held.value
+        def best(docs: np.ndarray, top: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+            queries, starts = np.unique(ids, return_index=True)
+            s = np.add.reduceat(top, starts, axis=0)
+            order = np.lexsort((np.broadcast_to(docs, s.shape), -np.round(s, 6)), axis=1)[:, :k]
+            row = np.repeat(np.arange(len(queries)), order.shape[1])
+            return pd.DataFrame({"query_id": queries[row], "doc_id": docs[order.ravel()], "score": s[row, order.ravel()]})
+
+        def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            (ids, q), last, open_top = held.value, None, None
             for pdf in batches:
                 if not len(ids) or not len(pdf):
                     continue
-                x = _matrix(pdf["vec"], q.shape[1])
-                s = q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
-                docs, at = np.unique(pdf["doc_id"].to_numpy(), return_inverse=True)
-                order = np.argsort(at, kind="stable")
-                top = np.maximum.reduceat(s[:, order], np.searchsorted(at[order], np.arange(len(docs))), axis=1)
-                yield pd.DataFrame({"query_id": np.repeat(ids, len(docs)), "token": np.repeat(np.arange(len(ids)), len(docs)), "doc_id": np.tile(docs, len(ids)), "best": top.ravel()})
-
-        return doc_tokens.select("doc_id", "vec").mapInPandas(best, "query_id long, token long, doc_id long, best double")
-
-    found = reduce(DataFrame.unionByName, map(search, range(blocks)))
-    whole = found.groupBy("query_id", "token", "doc_id").agg(F.max("best").alias("best"))  # a document's tokens may lie in two batches
-    return top_k(whole.groupBy("query_id", "doc_id").agg(F.sum("best").alias("score")), k)
+                docs, top = _maxima(pdf, q)
+                if last is not None and docs[0] == last:
+                    top[:, 0] = np.maximum(top[:, 0], open_top)
+                elif last is not None:
+                    docs, top = np.concatenate(([last], docs)), np.column_stack((open_top, top))
+                last, open_top = docs[-1], top[:, -1].copy()
+                if len(docs) > 1:
+                    yield best(docs[:-1], top[:, :-1], ids)
+            if last is not None:
+                yield best(np.array([last]), open_top[:, None], ids)
+
+        def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, q = held.value
+            for pdf in batches:
+                if len(ids) and len(pdf):
+                    docs, top = _maxima(pdf, q)
+                    yield pd.DataFrame({"query_id": np.repeat(ids, len(docs)), "token": np.repeat(np.arange(len(ids)), len(docs)), "doc_id": np.tile(docs, len(ids)), "best": top.ravel()})
+
+        found = [ordered.mapInPandas(whole, "query_id long, doc_id long, score double")]
+        if any_long:
+            parts = tokens.join(lengthy, "doc_id", "left_semi").mapInPandas(pieces, "query_id long, token long, doc_id long, best double")
+            joined = parts.groupBy("query_id", "token", "doc_id").agg(F.max("best").alias("best"))
+            found.append(joined.groupBy("query_id", "doc_id").agg(F.sum("best").alias("score")))
+        return found
+
+    return top_k(reduce(DataFrame.unionByName, (df for block in range(blocks) for df in search(block))), k)
 
 
 def sparse_encode(weights: DataFrame, pooling: str = "max", alpha: float = 0.0) -> DataFrame:
