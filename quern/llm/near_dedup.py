@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import by_group, free_name, slices, stored, table, text_bytes
@@ -202,20 +202,32 @@ def similar(pairs: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
 
 
 def bucket_blocks(held: DataFrame, shorts: DataFrame, cells: DataFrame, total: int) -> DataFrame:
-    """(key, outside, block, m): the members of each bucket of more than two members and one class, in blocks.
+    """(key, outside, block, others, mains, m): the members of each bucket of more than two members and one class, in blocks.
 
-    held: (key, id, class). outside: not of the bucket's largest class. m: array<struct<id, class, bands, cells>>.
+    held: (key, id, class). outside: not of the bucket's largest class. m: array<struct<id, class, bands, cells>>. others and mains: into how
+    many blocks the bucket's members outside its largest class and those of it are dealt.
     """
     sized = held.join(cells.select("id", F.length("cells").cast("long").alias("b")), "id")
     most = sized.groupBy("key", "class").agg(F.count("*").alias("n"), F.sum("b").alias("b")).groupBy("key")
     most = most.agg(F.max(F.struct("n", "class", "b")).alias("main"), F.sum("n").alias("n"), F.sum("b").alias("b"), F.count("*").alias("classes")).filter("classes > 1 and n > 2")
     outside = F.col("class") != F.col("main.class")
-    members = F.when(outside, F.col("n") - F.col("main.n")).otherwise(F.col("main.n"))
-    size = F.when(outside, F.col("b") - F.col("main.b")).otherwise(F.col("main.b"))
-    number = F.greatest(F.ceil(members / BLOCK_MEMBERS), F.ceil(size / BLOCK_BYTES), F.lit(1))
-    dealt = by_group(held, stored(most.withColumn("all", F.col("n")), "most"), "key", total).withColumnRenamed("all", "n").select("key", "id", "class", outside.alias("outside"), F.pmod(F.xxhash64("id", F.lit(97)), number).alias("block"))
+
+    def blocks(members: Column, size: Column) -> Column:
+        return F.greatest(F.ceil(members / BLOCK_MEMBERS), F.ceil(size / BLOCK_BYTES), F.lit(1))
+
+    most = most.withColumns(
+        {
+            "all": F.col("n"),
+            "others": blocks(F.col("n") - F.col("main.n"), F.col("b") - F.col("main.b")),
+            "mains": blocks(F.col("main.n"), F.col("main.b")),
+        }
+    )
+    number = F.when(outside, F.col("others")).otherwise(F.col("mains"))
+    block = F.pmod(F.xxhash64("id", F.lit(97)), number).alias("block")
+    known = by_group(held, stored(most, "most"), "key", total).withColumnRenamed("all", "n")
+    dealt = known.select("key", "id", "class", outside.alias("outside"), block, "others", "mains")
     full = dealt.join(shorts.select("id", "bands"), "id").join(cells, "id")
-    return full.groupBy("key", "outside", "block").agg(F.collect_list(F.struct("id", "class", "bands", "cells")).alias("m"))
+    return full.groupBy("key", "outside", "block", "others", "mains").agg(F.collect_list(F.struct("id", "class", "bands", "cells")).alias("m"))
 
 
 def shared_cells(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -282,9 +294,12 @@ def block_links(held: DataFrame, shorts: DataFrame, cells: DataFrame, threshold:
             if ends:
                 yield pa.RecordBatch.from_pydict({"a": pa.array([min(e) for e in ends], pa.int64()), "b": pa.array([max(e) for e in ends], pa.int64())})
 
-    left = blocks.filter("outside").select("key", F.col("block").alias("_block"), "m")
-    right = blocks.select("key", "outside", "block", F.col("m").alias("m2"))
-    met = left.join(right, "key").filter(~F.col("outside") | (F.col("_block") <= F.col("block")))
+    # either side of a bucket is dealt to about as many groups as a group has blocks, and two groups meet under a key of their own
+    rows, columns = F.floor(F.sqrt("others")), F.floor(F.sqrt(F.col("others") + F.col("mains")))
+    each = F.when(F.col("outside"), F.col("block")).otherwise(F.col("others") + F.col("block"))
+    left = blocks.filter("outside").select("key", F.pmod("block", rows).alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), columns - 1)).alias("q"), F.col("block").alias("_block"), "m")
+    right = blocks.select("key", F.explode(F.sequence(F.lit(0).cast("long"), rows - 1)).alias("p"), F.pmod(each, columns).alias("q"), "outside", "block", F.col("m").alias("m2"))
+    met = left.join(right, ["key", "p", "q"]).filter(~F.col("outside") | (F.col("_block") <= F.col("block")))
     return met.select("key", "m", "m2", (F.col("outside") & (F.col("_block") == F.col("block"))).alias("same")).mapInArrow(link, "a long, b long")
 
 
