@@ -38,6 +38,8 @@ PROBES, CHUNK_BITS, MIN_BITS, MAX_BITS = 3, 1 << 20, 1 << 20, 1 << 30
 SHARD_BITS = 1 << 22
 #: Keys that a task gathers before it sends their positions on.
 FLUSH_KEYS = 200_000
+#: Bytes of lost lines that a partition may hold, about, for them to meet their documents in a hash table.
+HASH_BYTES = 32 << 20
 
 
 def line_key(line: bytes) -> bytes:
@@ -198,24 +200,29 @@ def sharded_suspects(docs: DataFrame, shards: int, chars: int) -> DataFrame:
     return texts.join(asked, "doc_id").mapInArrow(lines, "doc_id long, key binary")
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, drop): the keys whose lines that document loses; documents that lose none are absent."""
+def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, max_bits: int = MAX_BITS) -> tuple[DataFrame, int]:
+    """(doc_id, drop): the keys whose lines that document loses; documents that lose none are absent. And a bound of its keys' bytes."""
     bits = filter_bits(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     found = stored(suspects(docs, bits, min_chars) if bits <= max_bits else sharded_suspects(docs, max(4, bits // SHARD_BITS), min_chars), "line-suspects")
     counted = found.groupBy("key").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keep"))
     repeated = stored(counted.filter(F.col("n") >= min_docs), "repeated-lines")
-    lost = by_group(found, repeated, "key", found.count()).filter(F.col("doc_id") != F.col("keep")).select("doc_id", "key")
-    return lost.groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
+    total, size = found.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("key")), F.lit(0))).first()
+    lost = by_group(found, repeated, "key", total).filter(F.col("doc_id") != F.col("keep")).select("doc_id", "key")
+    return lost.groupBy("doc_id").agg(F.collect_set("key").alias("drop")), size
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, hashes_only: bool = False, max_bits: int = MAX_BITS) -> DataFrame:
     """All columns of docs with text rewritten, and n_lines and n_dropped (in place of columns so named); hashes_only: doc_id, the counts
     and kept_sha256."""
     doc, lost_keys = free_name(docs, "_doc"), free_name(docs, "_drop")
-    drops = repeated_lines(docs, min_chars, min_docs, max_bits).select(F.col("doc_id").alias(doc), F.col("drop").alias(lost_keys))
+    drops, size = repeated_lines(docs, min_chars, min_docs, max_bits)
+    drops = drops.select(F.col("doc_id").alias(doc), F.col("drop").alias(lost_keys))
+    # a hash join leaves the texts unsorted; where a partition of the lost lines may be large, Spark sorts and spills instead
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drops = drops.hint("shuffle_hash" if size <= parts * HASH_BYTES else "merge")
     columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     taken = docs.select("doc_id", "text") if hashes_only else docs.select(*(F.col(f"`{c}`") for c in columns))
-    joined = taken.join(drops.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col(doc), "left").drop(doc).withColumn("text", text_bytes())
+    joined = taken.join(drops, F.col("doc_id").cast("long") == F.col(doc), "left").drop(doc).withColumn("text", text_bytes())
     fields = [f for f in docs.schema.fields if f.name in (("doc_id",) if hashes_only else columns)]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_lines long, n_dropped long" + ", kept_sha256 string" * hashes_only
 

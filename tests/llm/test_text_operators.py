@@ -62,6 +62,13 @@ def test_line_dedup_full_filter_gives_the_same(spark, monkeypatch):
     assert sorted(map(str, line_dedup.dedup_lines(docs, hashes_only=True).collect())) == want
 
 
+def test_line_dedup_by_sorting_gives_the_same(spark, monkeypatch):
+    docs = documents(spark)
+    want = sorted(map(str, line_dedup.dedup_lines(docs, hashes_only=True).collect()))
+    monkeypatch.setattr(line_dedup, "HASH_BYTES", 0)
+    assert sorted(map(str, line_dedup.dedup_lines(docs, hashes_only=True).collect())) == want
+
+
 @pytest.mark.parametrize("f", [lambda d: line_dedup.dedup_lines(d), lambda d: pieces.piece_digests(d, pieces.model_path()), lambda d: decontaminate.contamination(d, d.selectExpr("doc_id item_id", "text"))])
 def test_empty_tables(spark, f):
     assert f(spark.createDataFrame([], SCHEMA)).count() == 0
