@@ -28,9 +28,11 @@ from .common import slices, table
 
 BLANK = "▁"
 #: Words that a Python worker remembers before it starts anew: memory alone depends on it.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Symbols that the merge rounds hold at a time.
-ROUND_SYMBOLS = 1 << 20
+ROUND_SYMBOLS = 1 << 17
+#: Bytes of text whose words are held as objects at a time.
+WORD_BYTES = 1 << 20
 NONE = np.int64(1) << 60
 WORD = re.compile(f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
 
@@ -233,13 +235,17 @@ def learn_words(path: str, words: list[str]) -> _Words:
     return seen
 
 
-def piece_digests(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
-    """keep columns and n_tokens, ids_sha256, decoded_sha256 of each whole text; with_ids: ids array<int> and decoded as well."""
+def piece_digests(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False, with_text: bool | None = None) -> DataFrame:
+    """keep columns and n_tokens, ids_sha256, decoded_sha256 of each whole text.
+
+    with_ids: ids array<int> as well; with_text: decoded as well, as with_ids unless said.
+    """
+    with_text = with_ids if with_text is None else with_text
     fields = [docs.schema[c] for c in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text", 2 << 20):
+        for batch in slices(batches, "_text", WORD_BYTES):
             split = [split_words(t) for t in batch.column("_text").to_pylist()]
             seen = learn_words(path, [w for words in split for w in words])
             counts, hashes, decoded, all_ids, texts = [], [], [], [], []
@@ -251,11 +257,15 @@ def piece_digests(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",
                 hashes.append(hashlib.sha256(ids.encode()).hexdigest())
                 decoded.append(hashlib.sha256(text.encode()).hexdigest())
                 if with_ids:
-                    all_ids.append([int(x) for x in ids.split(",")] if own else [])
+                    all_ids.append(np.fromstring(ids, np.int32, sep=",") if own else np.zeros(0, np.int32))
+                if with_text:
                     texts.append(text)
             out = {c: batch.column(c) for c in keep} | {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(hashes, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
             if with_ids:
-                out |= {"ids": pa.array(all_ids, pa.list_(pa.int32())), "decoded": pa.array(texts, pa.string())}
+                starts = np.cumsum([0, *map(len, all_ids)]).astype(np.int32)
+                out["ids"] = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(all_ids)))
+            if with_text:
+                out["decoded"] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_pydict(out)
 
     return docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text")).mapInArrow(encode, schema)
