@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clamp, raw_words, share, strip, word_set, words
 from .order import exact_quantiles
 from .monitor import dot_sentences, variance
+from .ranking import small_side
 
 
 def judged(hits: DataFrame, golden: DataFrame) -> DataFrame:
@@ -24,6 +25,23 @@ def judged(hits: DataFrame, golden: DataFrame) -> DataFrame:
     return n.join(marked, "query_id", "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
 
 
+def judged_by_label(hits: DataFrame, queries: DataFrame, items: DataFrame) -> DataFrame:
+    """judged where the golden documents of a query (query_id, label) are all items (doc_id, label) of its label, without a row for a golden pair.
+
+    Items are counted by their labels, so a query's n_relevant is looked up, and a hit's labels are compared. A query or item with
+    several labels counts each pair once; null labels are no label.
+    """
+    q = queries.groupBy("query_id").agg(F.collect_set("label").alias("_asked"))
+    d = items.groupBy("doc_id").agg(F.array_sort(F.collect_set("label")).alias("_own"))
+    asked, classes = q.select(F.array_sort("_asked").alias("_asked")).distinct(), d.groupBy("_own").agg(F.count("*").alias("_c"))
+    met = asked.withColumn("_l", F.explode("_asked")).join(classes.withColumn("_l", F.explode("_own")), "_l").select("_asked", "_own", "_c").distinct()
+    n = small_side(met.groupBy("_asked").agg(F.sum("_c").alias("n_relevant")))
+    own = q.withColumn("_asked", F.array_sort("_asked")).join(n, "_asked").select("query_id", "n_relevant", "_asked")
+    marked = own.join(hits, "query_id", "left").join(d, "doc_id", "left")
+    rel = F.coalesce(F.arrays_overlap("_asked", "_own").cast("int"), F.lit(0))
+    return marked.withColumn("rel", rel).select("query_id", "n_relevant", *(c for c in hits.columns if c != "query_id"), "rel")
+
+
 def _hit(k: int) -> Column:
     return F.when(F.col("rank") <= k, F.col("rel")).otherwise(0)
 

@@ -18,9 +18,7 @@ def _judged(spark, sf_dir):
     """Neighbours of every twentieth embedding; relevant are all embeddings of the same label."""
     v = corpus(spark, sf_dir)
     hits = dense.knn(v, asked(v), K).select("query_id", "doc_id", "rank")
-    q = asked(v).select("query_id", F.col("label").alias("l"))
-    golden = q.join(v.select("doc_id", "label"), F.col("l") == F.col("label")).select("query_id", "doc_id")
-    return E.judged(hits, golden)
+    return E.judged_by_label(hits, asked(v), v)
 
 
 def _metrics(spark, sf_dir):
