@@ -17,7 +17,7 @@ def chosen(rows, vectors, k):
     s = np.array([c for _, c in rows])
     relevance = (s - s.min()) / (s.max() - s.min()) if s.max() > s.min() else s
     unit = [vectors[d] / max(np.linalg.norm(vectors[d]), 1e-300) for d, _ in rows]
-    out = [int(np.argmax(relevance))]
+    out = [int(np.argmax(np.round(relevance, 9)))]
     while len(out) < min(k, len(rows)):
         rest = [i for i in range(len(rows)) if i not in out]
         out.append(max(rest, key=lambda i: (round(0.7 * relevance[i] - 0.3 * max(unit[i] @ unit[j] for j in out), 9), -i)))
