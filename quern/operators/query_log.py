@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import best_of, contained, matched, once, words
+from ..sources.shared import kept
+from .skew import join_groups
 
 # Word lists and patterns of the rules, in the order in which the first of equal scores wins.
 TYPES = {
@@ -168,41 +170,72 @@ def expand_temporal(queries: DataFrame) -> DataFrame:
 
 def expand_semantic(queries: DataFrame, limit: int = 4) -> DataFrame:
     """Reformulations by type, then by intent."""
-    own = classify_queries(queries)
+    return _expand_semantic(classify_queries(queries), limit).select(*queries.columns, "variations")
+
+
+def _expand_semantic(own: DataFrame, limit: int = 4) -> DataFrame:
     made = [(((F.col("query_type") == k) | (F.col("intent") == k)) & F.contains(low(), F.lit(t)), F.replace("text", F.lit(t), F.lit(e))) for k, t, e in VARIATIONS]
     # a factual question must begin with its phrase
     made = [(ok & F.startswith(low(), F.lit(t)), v) if k == "factual" else (ok, v) for (ok, v), (k, t, _) in zip(made, VARIATIONS)]
-    return own.withColumn("variations", _chosen(made, limit)).select(*queries.columns, "variations")
+    return own.withColumn("variations", _chosen(made, limit))
 
 
 def expand_queries(queries: DataFrame, limit: int = 8) -> DataFrame:
     """new_terms: words of all expansions that the query lacks, sorted; combined: the query with the first limit of them."""
-    own = expand_semantic(expand_hierarchy(expand_domain(expand_synonyms(queries))))
+    return _expand_queries(classify_queries(queries), limit).select(*queries.columns, "new_terms", "combined")
+
+
+def _expand_queries(own: DataFrame, limit: int = 8) -> DataFrame:
+    """expand_queries of classified queries, with all their columns."""
+    columns = own.columns
+    own = _expand_semantic(expand_hierarchy(expand_domain(expand_synonyms(own))))
     joined = F.lower(F.array_join(F.concat("synonyms", "domain_terms", "hierarchy", "variations"), " "))
     own = once(own, "new_terms", F.array_sort(F.array_except(F.array_distinct(words(joined)), words(F.col("text")))))
     combined = F.when(F.size("new_terms") > 0, F.concat_ws(" ", "text", F.array_join(F.slice("new_terms", 1, limit), " "))).otherwise(F.col("text"))
-    return own.withColumn("combined", combined).select(*queries.columns, "new_terms", "combined")
+    return own.withColumn("combined", combined).select(*columns, "new_terms", "combined")
 
 
 def route_queries(queries: DataFrame, limit: int = 3) -> DataFrame:
     """(query_id, agent, affinity, optimized, rank): the agents with affinity above 0.3."""
-    own = classify_queries(queries)
+    routed = classify_queries(queries).select("query_id", F.posexplode(_routes(limit)).alias("pos", "r"))
+    return routed.select("query_id", "r.agent", "r.affinity", "r.optimized", (F.col("pos") + 1).alias("rank"))
+
+
+def _routes(limit: int = 3) -> Column:
+    """array<struct<minus, n, agent, affinity, optimized>> of a classified query, the best first."""
     made = []
     for n, (agent, (keys, kinds, intents, hint)) in enumerate(AGENTS.items()):
         hits = F.size(F.array_intersect(F.array_distinct(words(F.col("text"))), F.array(*map(F.lit, keys))))
         score = F.round(F.least(hits * 0.3 + F.col("query_type").isin(kinds).cast("int") * 0.4 + F.col("intent").isin(intents).cast("int") * 0.3, F.lit(1.0)), 6)
         text = F.when(F.contains(low(), F.lit(hint.split()[0])), F.col("text")).otherwise(F.concat(F.lit(f"{hint}: "), "text"))
         made.append(F.struct((-score).alias("minus"), F.lit(n).alias("n"), F.lit(agent).alias("agent"), score.alias("affinity"), text.alias("optimized")))
-    top = F.slice(F.array_sort(F.filter(F.array(*made), lambda s: s["affinity"] > 0.3)), 1, limit)
-    routed = own.select("query_id", F.posexplode(top).alias("pos", "r"))
-    return routed.select("query_id", "r.agent", "r.affinity", "r.optimized", (F.col("pos") + 1).alias("rank"))
+    return F.slice(F.array_sort(F.filter(F.array(*made), lambda s: s["affinity"] > 0.3)), 1, limit)
+
+
+def _process(queries: DataFrame) -> DataFrame:
+    own = once(classify_queries(queries), "_best", _routes(1))
+    return query_domains(query_keywords(_expand_queries(own))).withColumn("agent", F.get("_best", F.lit(0))["agent"]).drop("_best")
+
+
+#: Texts that a task analyses.
+TEXTS = 50_000
 
 
 def process_query_log(queries: DataFrame) -> DataFrame:
-    """Analysis, expansion and best route of each query."""
-    own = query_domains(query_keywords(classify_queries(expand_queries(queries))))
-    best = route_queries(queries).filter("rank = 1").select(F.col("query_id").alias("_q"), "agent")
-    return own.join(best, F.col("query_id") == F.col("_q"), "left").drop("_q")
+    """Analysis, expansion and best route of each query.
+
+    All of it follows from the text, and logs repeat their texts, so each distinct text is analysed once if there are half as many of them
+    as rows or fewer. Rows of common texts stay where they are (join_groups).
+    """
+    key = F.coalesce(F.concat(F.lit("="), F.col("text")), F.lit(""))  # a null text is a text of its own
+    texts = kept(queries.groupBy("text").agg(F.count("*").alias("n")), "query-texts")
+    distinct, total = texts.agg(F.count("*"), F.sum("n")).first()
+    if not distinct or 2 * distinct > total:
+        return _process(queries)
+    # short texts are few bytes and much work, so they are dealt out by their number
+    parts = max(queries.sparkSession.sparkContext.defaultParallelism, distinct // TEXTS)
+    groups = kept(_process(texts.repartition(parts, "text")).withColumn("_key", key).drop("text"), "query-analyses")
+    return join_groups(queries.withColumn("_key", key), groups, "_key", total).drop("_key")
 
 
 def suggest_queries(prefixes: DataFrame, log: DataFrame, limit: int = 5, latest: int = 100) -> DataFrame:
